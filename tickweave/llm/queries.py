@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
-from .common import read
+from . import langid, minhash_dedup, packing, toxicity
+from .common import crc_mod, read
+
+
+def word_tokenizer() -> str:
+    """Default of the tokenizer's path; callers elsewhere pass their own."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,4 +21,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    weights = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    scored = toxicity.score(docs, weights)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod("doc_id", 4) == 2).alias("held_out"))
+    counts = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), counts).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer())
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
+}
