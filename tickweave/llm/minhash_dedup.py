@@ -10,7 +10,7 @@ nodes from here on, so copies never meet each other. Each class posts itself und
 * skip: inside a posting list every class is first counted against the list's head only.
   Lists whose classes are then all in one component are skipped whole. The other lists
   are merged: every pair across components is counted, short lists by a join on the key,
-  long ones in blocks that emit only pairs above the match threshold.
+  long ones in blocks that emit only links between components, so at most one per class.
 
 Survivors are confirmed on their full shingle sets, then joined to components. With 48
 coordinates and 26 matches a pair at a similarity of exactly 0.8 is missed with a
@@ -33,8 +33,8 @@ COORDINATES = 48
 MATCHES = 26
 #: Longest posting list whose pairs are joined on the key; longer ones go in blocks.
 SHORT_LIST = 64
-#: Rows of a block of a long posting list.
-BLOCK = 512
+#: Rows, and shingles in all, of a block of a long posting list.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Word hashes kept in a task.
 CACHE = 400_000
 
@@ -113,24 +113,54 @@ def _sets(width: int):
     return run
 
 
-def _block_pairs(pdf):
-    """Pairs of two blocks of one posting list that collide often enough across components."""
-    import pandas as pd
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of an array column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]).astype(int)
+
+
+def _block_links(num: int, den: int):
+    """Links that join two components among the pairs of two blocks of one posting list."""
+
+    def run(table: pa.Table) -> pa.Table:
+        digests = table.column("digest").to_pylist()
+        side, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        sig = _lists(table.column("sig"))[0].reshape(len(digests), -1)
+        values, offsets = _lists(table.column("shingles"))
+        sizes = np.diff(offsets)
+        _, values = np.unique(values, return_inverse=True)
+        names = {r: i for i, r in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
+        root = np.array([names[r] for r in table.column("root").to_pylist()])
+        mark = np.zeros(values.max() + 1, np.int32)
+        own, other = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        found: list[tuple] = []
+        for i in own:
+            at = other[root[other] != root[i]]
+            small, large = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
+            at = at[den * small >= num * large]
+            at = at[(sig[at] == sig[i]).sum(axis=1) >= MATCHES]
+            if not len(at):
+                continue
+            mark[values[offsets[i] : offsets[i + 1]]] = 1
+            cells = np.concatenate([values[offsets[j] : offsets[j + 1]] for j in at])
+            shared = np.add.reduceat(mark[cells], np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+            mark[values[offsets[i] : offsets[i + 1]]] = 0
+            for j in at[den * shared >= num * (sizes[i] + sizes[at] - shared)]:
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    found.append((digests[i], digests[j]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    own = pdf[pdf.block == pdf.lo]
-    other = pdf[pdf.block == pdf.hi]
-    left, right = np.stack(own.sig.to_numpy()) if len(own) else None, np.stack(other.sig.to_numpy()) if len(other) else None
-    if left is None or right is None:
-        return pd.DataFrame({"a": [], "b": []})
-    roots = {r: i for i, r in enumerate(pdf.root.map(bytes).unique())}
-    lr, rr = (np.array([roots[bytes(r)] for r in x.root]) for x in (own, other))
-    out_a, out_b = [], []
-    da, db = own.digest.map(bytes).to_list(), other.digest.map(bytes).to_list()
-    for i in range(len(left)):
-        hits = np.flatnonzero(((right == left[i]).sum(axis=1) >= MATCHES) & (rr != lr[i]))
-        out_a += [min(da[i], db[j]) for j in hits]
-        out_b += [max(da[i], db[j]) for j in hits]
-    return pd.DataFrame({"a": out_a, "b": out_b})
+    return run
+
+
+def _shingles(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``digest, shingles`` of the named classes, from the text of the row that stands for each."""
+    sets = (
+        texts.join(classes.select("id").distinct(), "id", "left_semi").select("text")
+        .mapInArrow(_sets(width), "digest binary, shingles array<bigint>")
+    )
+    return sets.groupBy("digest").agg(F.any_value("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -143,9 +173,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
         .where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (same >= MATCHES))
         .select("a", "b", "n_a", "n_b", "id_a", "id_b")
     )
-    needed = likely.select(F.col("id_a").alias("id")).union(likely.select(F.col("id_b").alias("id"))).distinct()
-    sets = texts.join(needed, "id", "left_semi").select("text").mapInArrow(_sets(width), "digest binary, shingles array<bigint>")
-    sets = cut(sets.groupBy("digest").agg(F.any_value("shingles").alias("shingles")))
+    sets = cut(_shingles(likely.select(F.explode(F.array("id_a", "id_b")).alias("id")), texts, width))
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return (
         likely.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("s_a")), "a")
@@ -206,16 +234,17 @@ def near_duplicates(
         .join(short.select("key", F.col("digest").alias("b"), F.col("root").alias("rb")), "key")
         .where("a < b and ra <> rb").select("a", "b")
     )
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    far = open_lists.where(F.col("length") > SHORT_LIST).join(classes.select("digest", "id", "n", "sig"), "digest")
+    weight = far.groupBy("key").agg(F.sum("n").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     long = (
-        open_lists.where(F.col("length") > SHORT_LIST).withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
+        far.join(weight, "key").join(_shingles(far, texts, width), "digest")
+        .withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
-        .join(classes.select("digest", "sig"), "digest")
-        .select("key", "lo", "hi", "block", "digest", "root", "sig")
-        .groupBy("key", "lo", "hi").applyInPandas(_block_pairs, "a binary, b binary")
+        .select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "digest", "root", "sig", "shingles")
+        .groupBy("key", "lo", "hi").applyInArrow(_block_links(num, den), "a binary, b binary")
     )
-    more = cut(_confirmed(joined.union(long).distinct(), classes, texts, width, num, den))
+    more = cut(_confirmed(joined.distinct(), classes, texts, width, num, den).union(long).distinct())
     trees = connected_components(links.union(more))
 
     placed = classes.select("digest", "id", "copies").join(trees.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
