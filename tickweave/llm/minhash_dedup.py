@@ -259,3 +259,20 @@ def near_duplicates(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, alone).alias("kept"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, all columns kept.
+
+    The row with the group's least id stays. Rows that repeat an id and its text count as
+    one; of rows that share an id but not the text each stays that its id would keep. Rows
+    without id cannot be told apart by it, so they all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **how)
+    stays = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    again = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(id_col)
+    left = docs.join(stays, id_col, "left_semi")
+    once = left.join(again, id_col, "left_anti")
+    # only repeated ids pay for a shuffle of their texts
+    repeated = left.join(again, id_col, "left_semi").withColumn("text_hash", F.sha2(F.col(text_col).cast("binary"), 256))
+    return once.union(repeated.dropDuplicates([id_col, "text_hash"]).drop("text_hash")).union(docs.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -18,4 +18,43 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS co
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1}
+# For each rule in turn: does it fit; the longest that fits decides.
+OP2 = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT page_id, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule, h, p, verdict) AS (VALUES
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+  ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block'))
+SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM s LEFT JOIN (
+  SELECT s.page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM s JOIN r ON (s.host = h OR s.host LIKE '%.' || h) AND starts_with(s.path, p) GROUP BY s.page_id) m USING (page_id)
+"""
+
+OP5 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+OP8 = """
+WITH t AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations),
+c AS (
+  SELECT conv_id, place, role, text,
+    string_agg(sha256(concat(role IS NULL, '/', text IS NULL, '/', length(coalesce(role, '')), '/', coalesce(role, ''), coalesce(text, ''))), '')
+      OVER (PARTITION BY conv_id ORDER BY place) AS so_far,
+    place = max(place) OVER (PARTITION BY conv_id) AS last
+  FROM t),
+e AS (SELECT so_far, min(conv_id) AS conv_id, max(place)::BIGINT AS n_turns, count(*)::BIGINT AS n_collapsed FROM c WHERE last GROUP BY so_far),
+m AS (SELECT * FROM e WHERE so_far NOT IN (SELECT so_far FROM c WHERE NOT last))
+SELECT m.conv_id, m.n_turns, m.n_collapsed,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS chat
+FROM m JOIN c USING (conv_id) GROUP BY m.conv_id, m.n_turns, m.n_collapsed
+"""
+
+ORACLES = {"op1_minhash_near_dedup": OP1, "op2_url_filters": OP2, "op5_warc": OP5, "op8_chat_formatting": OP8}

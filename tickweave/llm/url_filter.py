@@ -12,6 +12,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Most rules of a list; a trie of so many takes a few hundred MB at the very most.
 MOST_RULES = 1_000_000
@@ -109,6 +110,6 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], url_col: str = "ur
         F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"),
         F.translate(F.regexp_extract(url, parts, 1), upper, lower).alias("host"), F.regexp_extract(url, parts, 2).alias("path"),
     )
-    schema = packed.schema.add("rule", "string").add("verdict", "string")
+    schema = StructType([*packed.schema, StructField("rule", StringType()), StructField("verdict", StringType())])
     trie = pages.sparkSession.sparkContext.broadcast(build(rules))
     return packed.mapInArrow(_judge(trie), schema).select("row.*", "host", "path", "rule", "verdict")
