@@ -41,6 +41,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
+OP6 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a AS vec_id, count(*)::BIGINT AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
 OP8 = """
 WITH t AS (
   SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM conversations),
@@ -57,4 +71,4 @@ SELECT m.conv_id, m.n_turns, m.n_collapsed,
 FROM m JOIN c USING (conv_id) GROUP BY m.conv_id, m.n_turns, m.n_collapsed
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op2_url_filters": OP2, "op5_warc": OP5, "op8_chat_formatting": OP8}
+ORACLES = {"op1_minhash_near_dedup": OP1, "op2_url_filters": OP2, "op5_warc": OP5, "op6_embedding_near_dedup": OP6, "op8_chat_formatting": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_multi_index, chat_format, langid, minhash_dedup, packing, toxicity, url_filter, warc
+from . import ann_multi_index, chat_format, hnsw_dedup, langid, minhash_dedup, packing, sentencepiece_lattice, toxicity, url_filter, warc
 from .common import crc_mod, new_folder, read
 
 #: The url lists of op2: (rule, verdict).
@@ -21,6 +21,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    """Default of the SentencePiece model's path; callers elsewhere pass their own."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -31,6 +38,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids, and whether they decode to its text (word marks in it count as spaces)."""
+    encoded = sentencepiece_lattice.encode(read(spark, sf_dir, "documents"), piece_model())
+    back = sentencepiece_lattice.decode(encoded, piece_model())
+    same = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+
+
 def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_multi_index.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -41,6 +56,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -66,8 +85,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_url_filters": op2_url_filters,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_approximate_neighbours": op4_approximate_neighbours,
     "op5_warc": op5_warc,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
