@@ -67,13 +67,13 @@ def chronological_split(rows: DataFrame, group: str, at: str, share: float = 0.7
 
 def robust_scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their median over their interquartile range; nulls become 0 with a flag of their own."""
-    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
-    out = rows.join(F.broadcast(stats))  # one row
-    for c in columns:
-        q = F.col(f"_{c}")
-        wide = F.when(q[2] > q[0], q[2] - q[0]).otherwise(1.0)
-        out = out.withColumn(f"{c}_missing", F.col(c).isNull().cast("int")).withColumn(c, (F.coalesce(F.col(c), q[1]) - q[1]) / wide)
-    return out.drop(*[f"_{c}" for c in columns])
+    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns]).first()
+    out = rows
+    for c, q in zip(columns, stats):
+        low, mid, high = q or (0.0, 0.0, 0.0)
+        wide = high - low if high > low else 1.0
+        out = out.withColumn(f"{c}_missing", F.col(c).isNull().cast("int")).withColumn(c, (F.coalesce(F.col(c), F.lit(mid)) - mid) / wide)
+    return out
 
 
 def rule_score(rules: dict[str, Column]) -> Column:

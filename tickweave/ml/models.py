@@ -17,7 +17,7 @@ FOREST = [{"maxDepth": d, "minInstancesPerNode": 5} for d in (3, 6)]
 
 def classifier(kind: str, params: dict, features: list[str], label: str):
     make = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}[kind]
-    more = {"numTrees": 40, "seed": 5} if kind == "forest" else {"maxIter": 10, "seed": 5} if kind == "boosted" else {"maxIter": 50}
+    more = {"numTrees": 40, "seed": 5} if kind == "forest" else {"maxIter": 10, "seed": 5} if kind == "boosted" else {"maxIter": 12}
     model = make(featuresCol="_x", labelCol=label, weightCol="_w", **more, **params)
     steps = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip")]
     steps.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True))

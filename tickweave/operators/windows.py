@@ -55,8 +55,8 @@ def daily_past_totals(rows: DataFrame, days: int | None, key: str = "wallet", da
     if days is not None:
         spread = daily.withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)))
     else:
-        last = rows.agg(F.max(day).alias("_last"))
-        spread = daily.join(F.broadcast(last)).where(F.col(day) < F.col("_last")).withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.col("_last"))))  # one row
+        last = rows.agg(F.max(day)).first()[0]
+        spread = daily.where(F.col(day) < last).withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.lit(last))))
     return spread.groupBy(key, F.col("_at").alias(day)).agg(F.sum("_v").alias("past"), F.sum("_n").alias("actions"), F.count(F.lit(1)).alias("active_days"))
 
 

@@ -1,4 +1,11 @@
 """Query catalogue: name -> builder, and name -> DuckDB SQL of the same result."""
 
+from . import basics, estimators, panels, temporal
+
+MODULES = [basics, temporal, panels, estimators]
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
+FLAGSHIP = temporal.large_ordinary_flow
