@@ -11,7 +11,6 @@ from ..sources.tables import table, ticks, trades
 from .binding import HORIZON, KICKOFF, RESOLUTION, T
 
 S = SparkSession
-COUNT = F.count(F.lit(1))
 
 
 def trade_normalize(spark: S, d: str) -> DataFrame:
@@ -27,7 +26,7 @@ TRADE_NORMALIZE = f"""WITH {T} SELECT event_id, market, wallet, sec, side, outco
 
 def phase_label(spark: S, d: str) -> DataFrame:
     at = trades(spark, d).withColumn("phase", m.phase(F.col("sec"), KICKOFF, RESOLUTION))
-    return at.groupBy("market", "phase").agg(COUNT.alias("n"), F.round(F.sum("value"), 4).alias("gross"))
+    return at.groupBy("market", "phase").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("gross"))
 
 
 PHASE = f"CASE WHEN sec >= {RESOLUTION} THEN 'resolved' WHEN sec < {KICKOFF} THEN 'prematch' ELSE 'inplay' END"
@@ -35,7 +34,7 @@ PHASE_LABEL = f"WITH {T} SELECT market, {PHASE} AS phase, count(*) AS n, round(s
 
 
 def price_decile(spark: S, d: str) -> DataFrame:
-    return trades(spark, d).groupBy("market", m.price_decile(F.col("price")).alias("decile")).agg(COUNT.alias("n"))
+    return trades(spark, d).groupBy("market", m.price_decile(F.col("price")).alias("decile")).agg(F.count("*").alias("n"))
 
 
 PRICE_DECILE = f"WITH {T} SELECT market, least(9, greatest(0, floor(price * 10)))::INT AS decile, count(*) AS n FROM t GROUP BY ALL"
@@ -44,7 +43,7 @@ BANDS = [86_400, 3 * 86_400, 7 * 86_400, 14 * 86_400]
 
 def time_band(spark: S, d: str) -> DataFrame:
     before = trades(spark, d).where(F.col("sec") < KICKOFF)
-    return before.groupBy(m.time_band(KICKOFF - F.col("sec"), BANDS).alias("band"), "market").agg(COUNT.alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return before.groupBy(m.time_band(KICKOFF - F.col("sec"), BANDS).alias("band"), "market").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
 TIME_BAND = f"""WITH {T} SELECT CASE {" ".join(f"WHEN {KICKOFF} - sec <= {e} THEN {i}" for i, e in enumerate(BANDS))} ELSE {len(BANDS)} END AS band, market,
@@ -63,7 +62,7 @@ SELECT market, bucket, round(sign(net) * ln(1 + abs(net)), 7) AS flow FROM n"""
 def brier_improvement(spark: S, d: str) -> DataFrame:
     won = F.when(F.col("wallet") % 2 == 0, 1.0).otherwise(0.0)
     gain = m.brier_improvement(F.col("price"), F.least(F.lit(1.0), F.col("price") + 0.1), won)
-    return trades(spark, d).groupBy("market", "dy").agg(F.round(F.avg(gain), 6).alias("gain"), COUNT.alias("n"))
+    return trades(spark, d).groupBy("market", "dy").agg(F.round(F.avg(gain), 6).alias("gain"), F.count("*").alias("n"))
 
 
 BRIER_IMPROVEMENT = f"""WITH {T}, w AS (SELECT market, dy, price AS p, least(1.0, price + 0.1) AS q, CASE WHEN wallet % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS o FROM t)
@@ -84,7 +83,7 @@ def market_regex_class(spark: S, d: str) -> DataFrame:
     kind = F.lit("other")
     for name, pattern in reversed(CLASSES):
         kind = F.when(F.col("p_type").rlike(pattern), name).otherwise(kind)
-    return table(spark, d, "part").groupBy(kind.alias("kind"), "p_brand").agg(COUNT.alias("n"))
+    return table(spark, d, "part").groupBy(kind.alias("kind"), "p_brand").agg(F.count("*").alias("n"))
 
 
 MARKET_REGEX_CLASS = f"""SELECT CASE {" ".join(f"WHEN regexp_matches(p_type, '{p}') THEN '{n}'" for n, p in CLASSES)} ELSE 'other' END AS kind, p_brand, count(*) AS n
@@ -92,7 +91,7 @@ FROM part GROUP BY ALL"""
 
 
 def canonical_bool(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(m.tri_state(F.col("o_orderstatus"), ["f"], ["o"]).alias("done")).agg(COUNT.alias("n"))
+    return table(spark, d, "orders").groupBy(m.tri_state(F.col("o_orderstatus"), ["f"], ["o"]).alias("done")).agg(F.count("*").alias("n"))
 
 
 CANONICAL_BOOL = "SELECT CASE lower(trim(o_orderstatus)) WHEN 'f' THEN true WHEN 'o' THEN false END AS done, count(*) AS n FROM orders GROUP BY ALL"
@@ -101,7 +100,7 @@ RULES = [("resolved", f"sec < {RESOLUTION}"), ("in_play", f"sec < {KICKOFF}"), (
 
 def exclusion_flow(spark: S, d: str) -> DataFrame:
     reason = m.first_failing([(name, F.expr(rule)) for name, rule in RULES])
-    return trades(spark, d).groupBy("market", F.coalesce(reason, F.lit("included")).alias("reason")).agg(COUNT.alias("n"))
+    return trades(spark, d).groupBy("market", F.coalesce(reason, F.lit("included")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 EXCLUSION_FLOW = f"""WITH {T} SELECT market, CASE {" ".join(f"WHEN NOT ({r}) THEN '{n}'" for n, r in RULES)} ELSE 'included' END AS reason, count(*) AS n FROM t GROUP BY ALL"""
@@ -110,7 +109,7 @@ EXCLUSION_FLOW = f"""WITH {T} SELECT market, CASE {" ".join(f"WHEN NOT ({r}) THE
 def exact_object_dedupe(spark: S, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_type", "value", "ts", "event_id").withColumn("page", F.lit(0))
     twice = rows.unionByName(rows.where("event_id % 5 = 0").withColumn("page", F.lit(1)))
-    return dedupe.exact_objects(twice, ["page", "event_id"]).groupBy("event_type", "page").agg(COUNT.alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return dedupe.exact_objects(twice, ["page", "event_id"]).groupBy("event_type", "page").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
 EXACT_OBJECT_DEDUPE = """WITH r AS (SELECT user_id, event_type, value, ts, event_id, 0 AS page FROM events UNION ALL SELECT user_id, event_type, value, ts, event_id, 1 FROM events WHERE event_id % 5 = 0),
@@ -140,7 +139,7 @@ def dim_enrich(spark: S, d: str) -> DataFrame:
     at = orders.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "left")
     at = at.join(table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_regionkey").alias("r_regionkey")), "c_nationkey", "left")
     at = at.join(table(spark, d, "region").select("r_regionkey", "r_name"), "r_regionkey", "left")
-    return at.groupBy("r_name", "n_name").agg(COUNT.alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return at.groupBy("r_name", "n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 DIM_ENRICH = """SELECT r_name, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey
@@ -149,7 +148,7 @@ LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey =
 
 def semi_required(spark: S, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(lines, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(COUNT.alias("n"))
+    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(lines, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
 SEMI_REQUIRED = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) GROUP BY ALL"
@@ -157,7 +156,7 @@ SEMI_REQUIRED = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_order
 
 def anti_missing(spark: S, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(COUNT.alias("n"))
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 ANTI_MISSING = "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY ALL"
@@ -165,8 +164,8 @@ ANTI_MISSING = "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey
 
 def full_outer_specs(spark: S, d: str) -> DataFrame:
     at = trades(spark, d).withColumn("bucket", F.expr("sec - sec % 3600"))
-    a = at.where("value >= 100").groupBy("market", "bucket").agg(COUNT.alias("n_large"))
-    b = at.where("value < 50").groupBy("market", "bucket").agg(COUNT.alias("n_small"))
+    a = at.where("value >= 100").groupBy("market", "bucket").agg(F.count("*").alias("n_large"))
+    b = at.where("value < 50").groupBy("market", "bucket").agg(F.count("*").alias("n_small"))
     return a.join(b, ["market", "bucket"], "full")
 
 
@@ -178,7 +177,7 @@ FULL JOIN (SELECT market, bucket, count(*) AS n_small FROM b WHERE value < 50 GR
 def key_intersection(spark: S, d: str) -> DataFrame:
     day = lambda cond: trades(spark, d).where(cond).select("wallet", "dy").distinct()
     both = day("price < 0.3").join(day("price > 0.6"), ["wallet", "dy"]).join(day("direction = 1"), ["wallet", "dy"])
-    return both.groupBy("dy").agg(COUNT.alias("n_wallets"))
+    return both.groupBy("dy").agg(F.count("*").alias("n_wallets"))
 
 
 KEY_INTERSECTION = f"""WITH {T} SELECT dy, count(*) AS n_wallets FROM (SELECT wallet, dy FROM t WHERE price < 0.3 INTERSECT SELECT wallet, dy FROM t WHERE price > 0.6
@@ -199,7 +198,7 @@ SELECT market, dy, count(is_in)::BIGINT AS n_member, round(sum(CASE WHEN is_in =
 
 
 def nonoverlap_grid(spark: S, d: str) -> DataFrame:
-    return trades(spark, d).withColumn("bucket", F.expr("sec - sec % 3600")).where(F.pmod("bucket", F.lit(3 * HORIZON)) == 0).groupBy("market", "bucket").agg(COUNT.alias("n"))
+    return trades(spark, d).withColumn("bucket", F.expr("sec - sec % 3600")).where(F.pmod("bucket", F.lit(3 * HORIZON)) == 0).groupBy("market", "bucket").agg(F.count("*").alias("n"))
 
 
 NONOVERLAP_GRID = f"WITH {T} SELECT market, sec - sec % 3600 AS bucket, count(*) AS n FROM t WHERE (sec - sec % 3600) % {3 * HORIZON} = 0 GROUP BY ALL"
@@ -211,7 +210,7 @@ def union_phase(spark: S, d: str) -> DataFrame:
     post = rows.where((F.col("sec") >= KICKOFF) & (F.col("sec") < RESOLUTION)).withColumn("post", F.lit(1))
     at = pre.unionByName(post)
     flow = F.col("value") * F.col("direction")
-    return at.groupBy("post", "market").agg(COUNT.alias("n"), F.round(F.sum(flow), 4).alias("net"), F.round(F.sum(flow * F.col("post")), 4).alias("net_post"))
+    return at.groupBy("post", "market").agg(F.count("*").alias("n"), F.round(F.sum(flow), 4).alias("net"), F.round(F.sum(flow * F.col("post")), 4).alias("net_post"))
 
 
 UNION_PHASE = f"""WITH {T} SELECT (sec >= {KICKOFF})::INT AS post, market, count(*) AS n, round(sum(value * direction), 4) AS net,

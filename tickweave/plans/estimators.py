@@ -16,7 +16,6 @@ from .binding import T
 from .panels import PANEL
 
 S = SparkSession
-COUNT = F.count(F.lit(1))
 
 
 def _panel(spark: S, d: str) -> DataFrame:
@@ -55,7 +54,7 @@ def wild_bootstrap(spark: S, d: str) -> DataFrame:
     cover, _ = fit.covariance(["dy"])
     t = abs(float(fit.beta[0] / cover[0, 0] ** 0.5))
     drawn = regression.wild_bootstrap(fit.rows, "y", ["x1", "x2"], "dy", 0, draws=1_999)
-    return drawn.agg(COUNT.alias("draws"), (F.sum(F.when(F.abs("t") > t, 1).otherwise(0)) / COUNT).alias("p"))
+    return drawn.agg(F.count("*").alias("draws"), (F.sum(F.when(F.abs("t") > t, 1).otherwise(0)) / F.count("*")).alias("p"))
 
 
 def fe_logit(spark: S, d: str) -> DataFrame:
@@ -66,7 +65,7 @@ def fe_logit(spark: S, d: str) -> DataFrame:
 
 
 def holm_adjust(spark: S, d: str) -> DataFrame:
-    by = trades(spark, d).groupBy(F.col("market").alias("family"), F.col("dy").cast("string").alias("test")).agg((F.abs(F.sum("direction")) / (50.0 * COUNT)).alias("p"))
+    by = trades(spark, d).groupBy(F.col("market").alias("family"), F.col("dy").cast("string").alias("test")).agg((F.abs(F.sum("direction")) / (50.0 * F.count("*"))).alias("p"))
     return tests.holm(by, "family").select("family", "test", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
@@ -99,7 +98,7 @@ def cluster_bootstrap(spark: S, d: str) -> DataFrame:
     rows = trades(spark, d).select("dy", (F.col("value") * (F.col("direction") + 1) / 2).alias("a"), (F.col("value") * (1 - F.col("direction")) / 2).alias("b"))
     drawn = tests.cluster_bootstrap(rows, "dy", "a", "b", draws=1_999)
     q = F.percentile("increment", F.array(F.lit(0.025), F.lit(0.975)))
-    return drawn.agg(COUNT.alias("draws"), F.avg("increment").alias("mean"), q.alias("q")).select("draws", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return drawn.agg(F.count("*").alias("draws"), F.avg("increment").alias("mean"), q.alias("q")).select("draws", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def _samples(spark: S, d: str) -> DataFrame:
@@ -116,7 +115,7 @@ def rule_score(spark: S, d: str) -> DataFrame:
     at = _samples(spark, d)
     rules = {"gross": F.col("gross") >= 150, "one_sided": F.col("size") >= 0.9 * F.col("gross"), "alone": F.col("n_wallets") == 1, "odd_hour": F.pmod("bucket", F.lit(7200)) == 3600}
     at = at.withColumn("score", ev.rule_score(rules))
-    return at.groupBy("score").agg(COUNT.alias("n"), F.sum(F.when(F.col("score") >= 3, 1).otherwise(0)).alias("flagged"))
+    return at.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.when(F.col("score") >= 3, 1).otherwise(0)).alias("flagged"))
 
 
 _SAMPLES = f"""{PANEL}, s AS (SELECT market || '-' || bucket AS key, bucket // 86400 AS dy, bucket, gross, abs(net) AS size, n_wallets,
@@ -158,7 +157,7 @@ SELECT dy, round(tp / (tp + fp), 8) AS "precision", round(tp / (tp + fn), 8) AS
 
 def group_folds(spark: S, d: str) -> DataFrame:
     at = ev.group_folds(_samples(spark, d), "dy", "label", 5)
-    return at.groupBy("fold").agg(COUNT.alias("n"), F.countDistinct("dy").alias("groups"), F.sum("label").alias("positives"))
+    return at.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("dy").alias("groups"), F.sum("label").alias("positives"))
 
 
 GROUP_FOLDS = f"""WITH {T}, {_SAMPLES}, g AS (SELECT dy, sum(label) AS pos, count(*) AS n FROM s GROUP BY ALL),
@@ -177,7 +176,7 @@ OOF_AUDIT = "SELECT 0::BIGINT AS dy, 0::BIGINT AS folds WHERE false"
 
 def chrono_split(spark: S, d: str) -> DataFrame:
     at = ev.chronological_split(_samples(spark, d), "dy", "bucket")
-    return at.groupBy("is_train").agg(COUNT.alias("n"), F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"))
+    return at.groupBy("is_train").agg(F.count("*").alias("n"), F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"))
 
 
 CHRONO_SPLIT = f"""WITH {T}, {_SAMPLES}, g AS (SELECT dy, row_number() OVER (ORDER BY min(bucket), dy) <= floor(count(*) OVER () * 0.75) AS is_train FROM s GROUP BY dy)
@@ -225,7 +224,7 @@ STREAM_PANEL = "SELECT event_type AS market, (floor(epoch(ts))::BIGINT // 3600)
 
 def stream_dedupe(spark: S, d: str) -> DataFrame:
     out = streams.run_once(streams.deduplicated(streams.event_stream(spark, d), ["event_id"]), spark, "append")
-    return out.groupBy("event_type").agg(COUNT.alias("n"), F.countDistinct("event_id").alias("ids"))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
 STREAM_DEDUPE = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY ALL"
@@ -233,7 +232,7 @@ STREAM_DEDUPE = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS i
 
 def stream_sessions(spark: S, d: str) -> DataFrame:
     out = streams.run_once(streams.sessions(streams.event_stream(spark, d)), spark)
-    return out.groupBy("wallet").agg(COUNT.alias("n_sessions"), F.max("n_events").alias("longest"), F.sum("n_events").alias("n_events"))
+    return out.groupBy("wallet").agg(F.count("*").alias("n_sessions"), F.max("n_events").alias("longest"), F.sum("n_events").alias("n_events"))
 
 
 STREAM_SESSIONS = """WITH g AS (SELECT user_id AS wallet, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

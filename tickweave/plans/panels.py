@@ -12,7 +12,6 @@ from ..sources.tables import table, trades
 from .binding import KICKOFF, LEAST_HISTORY, RESOLUTION, A, T
 
 S = SparkSession
-COUNT = F.count(F.lit(1))
 GAP = 21_600
 
 
@@ -28,7 +27,7 @@ MINUTE_PANEL = f"WITH {T}, {PANEL} SELECT market, bucket, n_trades, n_wallets, r
 def wallet_market_rollup(spark: S, d: str) -> DataFrame:
     buy = F.when(F.col("side") == "BUY", 1).otherwise(0)
     return trades(spark, d).groupBy("wallet", "market").agg(
-        COUNT.alias("n"), F.sum(buy).alias("buys"), F.sum(1 - buy).alias("sells"), F.round(F.sum("value"), 6).alias("volume"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec")
+        F.count("*").alias("n"), F.sum(buy).alias("buys"), F.sum(1 - buy).alias("sells"), F.round(F.sum("value"), 6).alias("volume"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec")
     )
 
 
@@ -37,15 +36,15 @@ WALLET_MARKET_ROLLUP = f"""WITH {T} SELECT wallet, market, count(*) AS n, count(
 
 
 def wallet_rollup(spark: S, d: str) -> DataFrame:
-    by = trades(spark, d).groupBy("wallet", "market").agg(COUNT.alias("n"), F.sum("value").alias("v"))
-    return by.groupBy("wallet").agg(F.sum("n").alias("n"), COUNT.alias("markets"), F.round(F.sum("v"), 6).alias("volume"))
+    by = trades(spark, d).groupBy("wallet", "market").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    return by.groupBy("wallet").agg(F.sum("n").alias("n"), F.count("*").alias("markets"), F.round(F.sum("v"), 6).alias("volume"))
 
 
 WALLET_ROLLUP = f"WITH {T} SELECT wallet, count(*) AS n, count(DISTINCT market) AS markets, round(sum(value), 6) AS volume FROM t GROUP BY ALL"
 
 
 def scalar_totals(spark: S, d: str) -> DataFrame:
-    return trades(spark, d).agg(COUNT.alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("volume"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+    return trades(spark, d).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("volume"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
 
 
 SCALAR_TOTALS = f"WITH {T} SELECT count(*) AS n, round(coalesce(sum(value), 0), 4) AS volume, min(sec) AS first_sec, max(sec) AS last_sec FROM t"
@@ -103,7 +102,7 @@ SELECT market, count(*) FILTER (value >= q AND value >= 0.01 * vol) AS "both", c
 
 def rate_mean(spark: S, d: str) -> DataFrame:
     """Rates per market and day, then their plain mean per day."""
-    cells = trades(spark, d).groupBy("market", "dy").agg((F.sum(F.when(F.col("direction") > 0, 1).otherwise(0)) / COUNT).alias("rate"))
+    cells = trades(spark, d).groupBy("market", "dy").agg((F.sum(F.when(F.col("direction") > 0, 1).otherwise(0)) / F.count("*")).alias("rate"))
     return cells.groupBy("dy").agg(F.round(F.avg("rate"), 9).alias("rate"))
 
 
@@ -111,7 +110,7 @@ RATE_MEAN = f"WITH {T}, c AS (SELECT market, dy, count(*) FILTER (direction > 0)
 
 
 def rate_pooled(spark: S, d: str) -> DataFrame:
-    return trades(spark, d).groupBy("dy").agg(F.round(F.sum(F.when(F.col("direction") > 0, 1).otherwise(0)) / COUNT, 9).alias("rate"))
+    return trades(spark, d).groupBy("dy").agg(F.round(F.sum(F.when(F.col("direction") > 0, 1).otherwise(0)) / F.count("*"), 9).alias("rate"))
 
 
 RATE_POOLED = f"WITH {T} SELECT dy, round(count(*) FILTER (direction > 0) / count(*), 9) AS rate FROM t GROUP BY ALL"
@@ -136,7 +135,7 @@ CORRELATIONS = f"WITH {T}, {PANEL} SELECT market, round(corr(gross, net), 8) AS
 
 
 def category_share(spark: S, d: str) -> DataFrame:
-    by = table(spark, d, "part").groupBy("p_brand", F.when(F.col("p_size") > 5, F.col("p_size")).alias("size")).agg(COUNT.alias("n"))
+    by = table(spark, d, "part").groupBy("p_brand", F.when(F.col("p_size") > 5, F.col("p_size")).alias("size")).agg(F.count("*").alias("n"))
     return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("p_brand")), 9))
 
 
@@ -145,9 +144,9 @@ SELECT *, round(n / sum(n) OVER (PARTITION BY p_brand), 9) AS share FROM b"""
 
 
 def two_sided_wallets(spark: S, d: str) -> DataFrame:
-    by = trades(spark, d).groupBy("market", "wallet").agg(F.countDistinct("direction").alias("sides"), COUNT.alias("n"))
+    by = trades(spark, d).groupBy("market", "wallet").agg(F.countDistinct("direction").alias("sides"), F.count("*").alias("n"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return by.groupBy("market").agg(COUNT.alias("wallets"), one(F.col("sides") == 2).alias("two_sided"), one(F.col("n") > 1).alias("repeated"))
+    return by.groupBy("market").agg(F.count("*").alias("wallets"), one(F.col("sides") == 2).alias("two_sided"), one(F.col("n") > 1).alias("repeated"))
 
 
 TWO_SIDED_WALLETS = f"""WITH {T}, b AS (SELECT market, wallet, count(DISTINCT direction) AS sides, count(*) AS n FROM t GROUP BY ALL)
@@ -268,7 +267,7 @@ NEXT_OPPOSITE = f"""WITH {T}, {A} SELECT a.market, a.action, min(b.sec) - a.sec
 
 def sequences_60s(spark: S, d: str) -> DataFrame:
     at = win.sequences(agg.actions(trades(spark, d)), ["market", "wallet"], ["sec", "action"], "direction", "sec", 8 * GAP)
-    return at.groupBy("market", "wallet", "sequence").agg(F.min("sec").alias("begin"), COUNT.alias("n_actions"), F.round(F.sum("gross"), 6).alias("gross"), F.min("direction").alias("direction"))
+    return at.groupBy("market", "wallet", "sequence").agg(F.min("sec").alias("begin"), F.count("*").alias("n_actions"), F.round(F.sum("gross"), 6).alias("gross"), F.min("direction").alias("direction"))
 
 
 SEQUENCES_60S = f"""WITH {T}, {A}, f AS (SELECT *, CASE WHEN lag(sec) OVER w IS NULL OR lag(direction) OVER w <> direction OR sec - lag(sec) OVER w > {8 * GAP} THEN 1 ELSE 0 END AS starts
@@ -348,7 +347,7 @@ def cell_support(spark: S, d: str) -> DataFrame:
     """Hours in which at least four markets trade, and markets whose direction varies in them."""
     at = agg.with_bucket(trades(spark, d))
     wide = at.groupBy("bucket").agg(F.countDistinct("market").alias("markets")).where("markets >= 4")
-    return at.join(wide, "bucket").groupBy("bucket", "market").agg(COUNT.alias("n"), (F.min("direction") != F.max("direction")).alias("varies"))
+    return at.join(wide, "bucket").groupBy("bucket", "market").agg(F.count("*").alias("n"), (F.min("direction") != F.max("direction")).alias("varies"))
 
 
 CELL_SUPPORT = f"""WITH {T}, b AS (SELECT *, sec - sec % 3600 AS bucket FROM t), w AS (SELECT bucket FROM b GROUP BY ALL HAVING count(DISTINCT market) >= 4)

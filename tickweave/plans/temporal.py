@@ -11,7 +11,6 @@ from ..sources.tables import ticks, trades
 from .binding import HORIZON, K, LEAST_HISTORY, T
 
 S = SparkSession
-COUNT = F.count(F.lit(1))
 AGE = 7_200
 
 
@@ -185,7 +184,7 @@ def coverage(spark: S, d: str) -> DataFrame:
     """Share of trades with a tick within each tolerance before them."""
     at = temporal.asof(trades(spark, d).select("market", "sec"), temporal.last_per_second(ticks(spark, d)))
     age = F.col("sec") - F.col("asof_sec")
-    return at.groupBy("market").agg(COUNT.alias("n"), *[F.sum(F.when(age <= s, 1).otherwise(0)).alias(f"within_{s}") for s in (600, 3600, 7200)])
+    return at.groupBy("market").agg(F.count("*").alias("n"), *[F.sum(F.when(age <= s, 1).otherwise(0)).alias(f"within_{s}") for s in (600, 3600, 7200)])
 
 
 COVERAGE = f"""WITH {T}, {K} SELECT t.market, count(*) AS n, {", ".join(f"count(*) FILTER (t.sec - k.sec <= {s}) AS within_{s}" for s in (600, 3600, 7200))}
