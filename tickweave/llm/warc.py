@@ -2,6 +2,7 @@
 
 ``write`` lays records out before any archive exists: equal payloads are found by digest,
 every record's length is known from its text, and a running sum per archive gives offsets.
+Payloads are shuffled once, when records go to their archives.
 That index is written as Parquet, then the archives are, by Spark's own text writer with the
 record separator as line end, so its commit protocol covers lost executors and any file
 system Spark can write. ``read_records`` takes index rows, sorts them by archive and offset,
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 LEAST_REVISIT = 100
 #: Target size of an archive; longest coalesced read; widest gap that a read bridges.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 64 << 20, 4 << 20, 64 << 10
+#: Most repeated payloads whose table (about 100 bytes each) is broadcast; more of them are joined by shuffle.
+BROADCAST_ROWS = 500_000
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
 HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF
@@ -41,18 +44,25 @@ def _record_id(id_col):
     return F.concat(F.lit("<urn:page:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(">"))
 
 
-def layout(pages: DataFrame) -> DataFrame:
-    """``page_id, url, archive, payload_bytes, payload_digest, record_type, refers_to, record``."""
+def _payloads(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"),
     )
-    # one row per digest and task before the shuffle; only digests that repeat are joined back
-    first = (
-        rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest")
+
+
+def repeated(pages: DataFrame) -> DataFrame:
+    """``payload_digest, first_id`` of payloads that several records share; one row per digest and task is shuffled."""
+    return (
+        _payloads(pages).where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
+
+
+def layout(pages: DataFrame, first: DataFrame) -> DataFrame:
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, record`` for a table from ``repeated``."""
+    rows = _payloads(pages)
     rows = rows.join(first, "payload_digest", "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn(
@@ -80,10 +90,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """
     spark = pages.sparkSession
     # rows go to archives by a hash of all that tells them apart, so one digest or site is no hot spot
-    laid = layout(pages).withColumn("length", F.octet_length("record").cast("long"))
-    staged = f"{folder}/staged"
-    laid.write.parquet(staged)
-    laid = spark.read.parquet(staged)
+    repeated(pages).write.parquet(f"{folder}/repeated")
+    first = spark.read.parquet(f"{folder}/repeated")
+    # a broadcast of checked size keeps payloads in place; both passes derive the same records from the same rows
+    laid = layout(pages, F.broadcast(first) if first.count() <= BROADCAST_ROWS else first).withColumn("length", F.octet_length("record").cast("long"))
     total = laid.agg(F.sum("length")).first()[0] or 0
     archives = max(8, -(-total // ARCHIVE_BYTES))
     key = F.xxhash64("page_id", "url", "payload_digest")
