@@ -10,7 +10,8 @@ nodes from here on, so copies never meet each other. Each class posts itself und
 * skip: inside a posting list every class is first counted against the list's head only.
   Lists whose classes are then all in one component are skipped whole. The other lists
   are merged: every pair across components is counted, short lists by a join on the key,
-  long ones in blocks that emit only links between components, so at most one per class.
+  long ones, put together by their head, in blocks that emit only links between
+  components, so at most one per class.
 
 Survivors are confirmed on their full shingle sets, then joined to components. With 48
 coordinates and 26 matches a pair at a similarity of exactly 0.8 is missed with a
@@ -234,8 +235,12 @@ def near_duplicates(
         .join(short.select("key", F.col("digest").alias("b"), F.col("root").alias("rb")), "key")
         .where("a < b and ra <> rb").select("a", "b")
     )
-    far = open_lists.where(F.col("length") > SHORT_LIST).join(classes.select("digest", "id", "n", "sig"), "digest")
-    weight = far.groupBy("key").agg(F.sum("n").alias("weight"))
+    # lists with the same head hold much the same classes, so these meet once per head and not once per list
+    far = cut(
+        open_lists.where(F.col("length") > SHORT_LIST).select(F.col("head").alias("key"), "digest", "root").distinct()
+        .join(classes.select("digest", "id", "n", "sig"), "digest")
+    )
+    weight = far.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("length") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     long = (
         far.join(weight, "key").join(_shingles(far, texts, width), "digest")
