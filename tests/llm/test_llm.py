@@ -152,6 +152,35 @@ def test_embedding_links(spark, monkeypatch):
     assert hnsw_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_beam_audit_sees_sparse_links_beside_a_hot_group():
+    rng = np.random.default_rng(4)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    centre = rng.normal(size=(1, 16))
+    hot = unit(centre + rng.normal(size=(700, 16)) * 0.001)
+    single = unit(rng.normal(size=(650, 16)))
+    pairs = np.concatenate([unit(single + rng.normal(size=single.shape) * 0.001), single])
+
+    class Blind(hnsw_dedup.Graph):
+        """Walks narrower than 128 see nothing but the row itself outside the hot group."""
+
+        def search(self, queries, beam, down_to=0):
+            near = queries @ self.unit.T
+            if beam < 128:
+                near = np.where((near < 1 - 1e-9) & ~((near[:, :700] > 0.9).all(axis=1))[:, None], -2.0, near)
+            ids = np.argsort(-near, axis=1, kind="stable")[:, :beam]
+            return ids, np.take_along_axis(near, ids, axis=1)
+
+    graph = Blind.__new__(Blind)
+    graph.unit = np.concatenate([hot, pairs])
+    graph.layers = []
+    assert hnsw_dedup.audited_beam(graph, 0.93) >= 128
+    # few rows with links: the audit draws on until it has met them
+    graph.unit = np.concatenate([unit(rng.normal(size=(4000, 16))), pairs[:3], pairs[650:653]])
+    graph.unit = graph.unit[((graph.unit @ graph.unit.T >= 0.93).sum(1) == 1) | (np.arange(len(graph.unit)) >= 4000)]
+    graph.search = lambda queries, beam, down_to=0: Blind.search(graph, queries, beam) if beam >= 128 else (np.zeros((len(queries), beam), int), np.full((len(queries), beam), -2.0))
+    assert hnsw_dedup.audited_beam(graph, 0.93) >= 128
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "größe " * 5000
     pages = [(1, "http://a/\r\nx", big), (2, "http://b", big), (3, None, None), (4, "", ""), (5, "http://c", "x" * 99), (6, "http://d", "x" * 99), (7, "u", "a\r\n\r\nb" * 40), (8, "u", "a\r\n\r\nb" * 40), (0, "v", big), (None, "n", big)]

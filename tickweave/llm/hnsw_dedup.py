@@ -3,8 +3,9 @@
 Equal vectors of a group form one class, so copies never meet. The classes of a group are
 dealt over shards of at most about ``SHARD_ROWS`` by a hash. Each shard builds a graph and
 audits it: a sample of its own classes is searched with the beam and by brute force, and the
-beam is widened until the audited recall of links reaches ``AUDIT_RECALL`` (a beam as wide
-as the shard finds everything). Then every class queries every shard of its group; a query
+beam is widened until the recall of links to other classes reaches ``AUDIT_RECALL`` among the
+rows of every order of link count that the graph's walk answers (a beam as wide as the shard
+finds everything). Then every class queries every shard of its group; a query
 whose beam is full of links goes on with a wider one. Links are verified by cosine in double
 precision. A task returns the number of links per class and a spanning forest of what it
 found, never all pairs, and the forests' components are united at the end.
@@ -26,8 +27,9 @@ from .graph import connected_components
 SHARD_ROWS, QUERY_ROWS = 8192, 2048
 #: Links of a node per layer (twice as many in the bottom one), beam of the build and first beam of a search.
 DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 48, 32
-#: Classes of a shard that are audited, and the recall of links that passes.
-AUDIT_ROWS, AUDIT_RECALL = 128, 0.995
+#: Classes with other links that are audited in a shard, least of them of each order of link count met (as
+#: far as the shard has them), and the mean recall of links of a class that passes.
+AUDIT_ROWS, AUDIT_LEAST, AUDIT_RECALL = 128, 32, 0.995
 #: Rows inserted, and queries searched, side by side.
 STEP = 256
 
@@ -161,9 +163,11 @@ class Graph:
 
         The width doubles up to a sixteenth of the shard; what is still full then, a query
         with more links than that, is compared with the whole shard, which costs no more.
+        The second result says which queries the walk answered, not that comparison.
         """
         rows = len(self.unit)
         out: list[np.ndarray | None] = [None] * len(queries)
+        walked = np.ones(len(queries), bool)
         left = np.arange(len(queries))
         while len(left):
             still = []
@@ -171,6 +175,7 @@ class Graph:
                 part = left[begin : begin + STEP]
                 if beam >= rows or beam > max(FIRST_BEAM * 8, rows // 16):
                     near = queries[part] @ self.unit.T
+                    walked[part] = False
                     for i, line in zip(part, near):
                         out[i] = np.flatnonzero(line >= threshold)
                     continue
@@ -183,7 +188,7 @@ class Graph:
                         out[i] = line[score >= threshold]
             left = np.array(still, int)
             beam *= 2
-        return out
+        return out, walked
 
 
 def _matrix(column) -> np.ndarray:
@@ -197,18 +202,45 @@ def _units(column) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def audit_sample(graph: Graph, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows with links to other rows, and those links by brute force.
+
+    Rows are drawn until ``AUDIT_ROWS`` of them have other links and ``AUDIT_LEAST`` are of
+    each order (power of two) of link count met, or until the shard has no more; of an order
+    no more than ``AUDIT_ROWS`` are kept. Rows with more links than the widest walk holds
+    (see ``links``) are audited but do not count towards ``AUDIT_ROWS``.
+    """
+    rows = len(graph.unit)
+    order = np.random.default_rng(11).permutation(rows)
+    most = max(FIRST_BEAM * 8, rows // 16)
+    sample, true, counts, few = [], [], {}, 0
+    for begin in range(0, rows, STEP):
+        part = order[begin : begin + STEP]
+        for i, line in zip(part.tolist(), graph.unit[part] @ graph.unit.T):
+            others = np.flatnonzero(line >= threshold)
+            others = others[others != i]
+            level = len(others).bit_length()
+            if level and counts.get(level, 0) < AUDIT_ROWS:
+                counts[level] = counts.get(level, 0) + 1
+                few += len(others) < most
+                sample.append(i)
+                true.append(others)
+        if few >= AUDIT_ROWS and min(counts.values()) >= AUDIT_LEAST:
+            break
+    return np.array(sample, int), true
+
+
 def audited_beam(graph: Graph, threshold: float) -> int:
-    """The least beam, doubling from FIRST_BEAM, whose links pass the audit."""
+    """The least beam, doubling from FIRST_BEAM, whose walks pass the audit at every order of link count."""
     rows = len(graph.unit)
-    sample = np.random.default_rng(11).choice(rows, min(rows, AUDIT_ROWS), replace=False)
-    queries = graph.unit[sample]
-    true = [np.flatnonzero(line >= threshold) for line in queries @ graph.unit.T]
-    wanted = sum(map(len, true))
+    sample, true = audit_sample(graph, threshold)
+    level = np.array([len(t).bit_length() for t in true], int)
     beam = FIRST_BEAM
-    while beam < rows:
-        found = graph.links(queries, beam, threshold)
-        hit = sum(len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(found, true))
-        if hit >= AUDIT_RECALL * wanted:
+    while beam < rows and len(sample):
+        found, walked = graph.links(graph.unit[sample], beam, threshold)
+        recall = np.array([len(np.intersect1d(a, b, assume_unique=True)) / len(b) for a, b in zip(found, true)])
+        # rows compared with the whole shard say nothing about the graph
+        if all(recall[own].mean() >= AUDIT_RECALL for k in set(level[walked].tolist()) if (own := walked & (level == k)).any()):
             break
         beam *= 2
     return beam
@@ -235,7 +267,7 @@ def _query(threshold: float):
         graph.unit, graph.layers = unit, layers
         own = left.column("id").to_numpy()
         queries = _units(left.column("vector"))
-        found = graph.links(queries, right.column("beam")[0].as_py(), threshold - 1e-9)
+        found, _ = graph.links(queries, right.column("beam")[0].as_py(), threshold - 1e-9)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
