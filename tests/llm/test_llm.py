@@ -136,6 +136,27 @@ def test_neighbours_recall_and_order(spark):
     assert ann_multi_index.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_recall_where_the_index_prunes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = np.float32(rng.normal(size=(3000, 16)))  # no clusters, so neighbours lie in many cells
+    data[:40] = data[0]  # more copies of a query than a query wants
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(data)], VECTORS)
+    monkeypatch.setattr(ann_multi_index, "CANDIDATES", 50)
+    walks = []
+    whole = ann_multi_index.audited_walk
+    monkeypatch.setattr(ann_multi_index, "audited_walk", lambda *a: walks.append(whole(*a)) or walks[-1])
+    found: dict = {}
+    for r in ann_multi_index.search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 20):
+        scores = data.astype(float) @ data[q].astype(float)
+        scores[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(3000), -scores))[:20].tolist()) & found[q])
+    assert hits >= 0.9 * 20 * 150
+    assert 50 < walks[0][0] and walks[0][1] >= 0.95
+
+
 def test_embedding_links(spark, monkeypatch):
     rows = vectors(2, 500)
     unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v, g in rows if g is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}

@@ -3,11 +3,14 @@
 Each half of a vector is quantised against its own codebook, so a cell is a pair of
 centroids. A query ranks the centroids of each half by inner product and walks cell pairs in
 falling order of the summed product with a heap until the cells it passed hold
-``CANDIDATES`` vectors; those are then reranked exactly, cell by cell, and the best merged.
+a number of vectors that is measured per table: a bounded set of queries is answered from all
+rows too, and the walk starts at ``CANDIDATES`` and doubles until it holds ``AUDIT_RECALL`` of
+those neighbours. What it passed is then reranked exactly, block by block, and the best merged.
 
-Equal vectors share one index entry that keeps as many ids as an answer can need, and cells
-are dealt out in blocks of ``BLOCK`` entries, so neither a repeated vector nor a crowded
-cell meets in one task.
+Equal vectors share one index entry that keeps as many ids as an answer can need. Cells next to
+each other form blocks of about ``BLOCK`` entries, and a crowded cell is dealt over several, so
+neither a repeated vector nor a crowded cell meets in one task, and a query hands on at most a
+block's best, not each cell's.
 """
 
 from __future__ import annotations
@@ -25,10 +28,14 @@ from .common import cut
 SAMPLE_ROWS = 8_192
 #: Entries per cell aimed at, most centroids of a half, rounds of k-means.
 CELL_ROWS, MOST_CENTROIDS, ROUNDS = 24, 256, 12
-#: Entries that a query's cells hold before the walk ends.
+#: Least entries that a query's cells hold before the walk ends.
 CANDIDATES = 4_000
-#: Entries of a block of a cell; queries of a block.
-BLOCK, QUERY_BLOCK = 1024, 1024
+#: Queries answered from all rows to measure the walk, and the recall of their neighbours that ends its doubling.
+AUDIT_QUERIES, AUDIT_RECALL = 128, 0.95
+#: Entries of a block; queries of a block.
+BLOCK, QUERY_BLOCK = 4096, 1024
+#: Queries whose scores are held side by side.
+STEP = 256
 
 
 def usable(vector):
@@ -91,35 +98,135 @@ def walk(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, wanted: int) ->
     return found
 
 
-def _traverse(books, sizes):
+def blocks_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per cell its first block and its number of blocks."""
+    many = np.maximum(1, -(-sizes // BLOCK))
+    first, block, held = np.zeros(len(sizes), np.int64), 0, 0
+    for cell in np.flatnonzero(sizes).tolist():
+        if held and held + sizes[cell] > BLOCK:
+            block, held = block + 1, 0
+        first[cell] = block
+        held += int(sizes[cell])
+        if many[cell] > 1:
+            block, held = block + int(many[cell]), 0
+    return first, many
+
+
+def _traverse(books, sizes, wanted: int):
     def run(batches):
         first, second = books.value
-        held = np.zeros(len(first) * len(second), np.int64)
-        cells, counts = sizes.value
-        held[cells] = counts
+        held = sizes.value
+        begin, many = blocks_of(held)
         half = first.shape[1]
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                m = _matrix(batch.column("vector"))
+                lefts, rights = m[:, :half] @ first.T, m[:, half:] @ second.T
+                owner, block, cells = [], [], []
+                for q, (a, b) in enumerate(zip(lefts, rights)):
+                    own: dict[int, list[int]] = {}
+                    for cell in walk(a, b, held, wanted):
+                        for k in range(begin[cell], begin[cell] + many[cell]):
+                            own.setdefault(int(k), []).append(cell)
+                    owner += [q] * len(own)
+                    block += own.keys()
+                    cells += own.values()
+                batch = batch.take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "block", "cells"])
+
+    return run
+
+
+def _nearest(asked, k: int):
+    """Per partition of placed entries, the ``k`` best of each audited query: its number, score, ids and cell."""
+
+    def run(batches):
+        queries = asked.value
+        best: list[list[tuple]] = [[] for _ in queries]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column("vector"))
-            lefts, rights = m[:, :half] @ first.T, m[:, half:] @ second.T
-            visits = [walk(a, b, held, CANDIDATES) for a, b in zip(lefts, rights)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visits, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+            scores = queries @ _matrix(batch.column("vector")).T
+            for q, own in enumerate(scores):
+                floor = best[q][-1][0] if len(best[q]) >= k else -np.inf
+                top = np.argpartition(-own, k - 1)[:k] if len(own) > k else np.arange(len(own))
+                new = [(float(own[e]), batch.column("ids")[e].as_py(), batch.column("cell")[e].as_py()) for e in top.tolist() if own[e] > floor]
+                best[q] = sorted(best[q] + new, key=lambda r: -r[0])[:k]
+        out = [(q, *r) for q, found in enumerate(best) for r in found]
+        columns = list(zip(*out)) if out else [(), (), (), ()]
+        kinds = [pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["q", "score", "ids", "cell"])
 
     return run
 
 
+def audited_walk(placed: DataFrame, queries: DataFrame, books, sizes: np.ndarray, k: int) -> tuple[int, float | None]:
+    """Entries that the walk must hold, and the recall it then has on the audited queries (None without queries).
+
+    ``queries`` holds ``query_id, vector``; ``sizes`` the entries per cell. A neighbour is
+    found if the cells before its own hold fewer entries than wanted.
+    """
+    some = queries.orderBy(F.xxhash64("query_id", F.lit("audit")), "query_id").limit(AUDIT_QUERIES).collect()
+    wanted, total = CANDIDATES, int(sizes.sum())
+    if not some:
+        return wanted, None
+    asked = np.array([r["vector"] for r in some], float)
+    shared = placed.sparkSession.sparkContext.broadcast(asked)
+    near = placed.select("ids", "vector", "cell").mapInArrow(_nearest(shared, k + 1), "q int, score double, ids array<bigint>, cell int")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.element_at("ids", 1))
+    exact: dict[int, list] = {}
+    for r in near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).orderBy("q", "place").collect():
+        exact.setdefault(r["q"], []).append(r)
+    first, second = books
+    half = first.shape[1]
+    before, weight = [], []  # of a neighbour: entries in the cells that come before its own, rows it stands for
+    for q, found in exact.items():
+        at = ((asked[q, :half] @ first.T)[:, None] + (asked[q, half:] @ second.T)[None, :]).ravel()
+        filled = np.flatnonzero(sizes)
+        order = filled[np.argsort(-at[filled], kind="stable")]
+        reached = np.zeros(len(sizes), np.int64)
+        reached[order] = np.cumsum(sizes[order]) - sizes[order]
+        left = k
+        for r in found:
+            rows = min(left, len(r["ids"]) - (some[q]["query_id"] in r["ids"]))
+            left -= rows
+            before.append(reached[r["cell"]])
+            weight.append(rows)
+    before, weight = np.array(before), np.array(weight, float)
+    if not weight.sum():
+        return wanted, None
+    recall = lambda: float(weight[before < wanted].sum() / weight.sum())
+    while wanted < total and recall() < AUDIT_RECALL:
+        wanted *= 2
+    return wanted, recall()
+
+
 def _rerank(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
+            right = right.sort_by("cell")
             queries, entries = _matrix(left.column("vector")), _matrix(right.column("vector"))
             names, ids = left.column("query_id").to_pylist(), right.column("ids").to_pylist()
-            scores = np.einsum("qd,ed->qe", queries, entries)
-            # equal products may tie across blocks, so ties at the end of the list all go on
-            for q, own in enumerate(scores):
-                floor = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
-                out += [(names[q], float(own[e]), ids[e]) for e in np.flatnonzero(own >= floor)]
+            held, starts = np.unique(right.column("cell").to_numpy(), return_index=True)
+            starts = np.append(starts, len(entries))
+            visits = left.column("cells").combine_chunks()
+            for begin in range(0, len(queries), STEP):
+                part = visits.slice(begin, STEP)
+                owner = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+                cells = part.flatten().to_numpy()
+                order = np.argsort(cells, kind="stable")
+                owner, cells = owner[order], cells[order]
+                scores = np.full((len(part), len(entries)), -np.inf)
+                low, high = np.searchsorted(cells, held, "left"), np.searchsorted(cells, held, "right")
+                for c in np.flatnonzero(high > low):
+                    asks, a, b = owner[low[c] : high[c]], starts[c], starts[c + 1]
+                    scores[asks, a:b] = np.einsum("qd,ed->qe", queries[begin + asks], entries[a:b])
+                # equal products may tie across blocks, so ties at the end of the list all go on
+                for q, own in enumerate(scores):
+                    floor = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+                    out += [(names[begin + q], float(own[e]), ids[e]) for e in np.flatnonzero((own >= floor) & (own > -np.inf))]
         columns = list(zip(*out)) if out else [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["query_id", "score", "ids"])
 
@@ -156,22 +263,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     placed = cut(entries.mapInArrow(_assign(books), "ids array<bigint>, vector array<float>, cell int"))
     sizes = placed.groupBy("cell").count()
     filled = sizes.collect()  # at most MOST_CENTROIDS ** 2 rows
-    held = spark.sparkContext.broadcast((np.array([r[0] for r in filled]), np.array([r[1] for r in filled])))
-    blocks = sizes.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    parts = max(1, -(-rows.where("asks").count() * CANDIDATES // (total * QUERY_BLOCK)))  # for about QUERY_BLOCK queries in a group
     queries = rows.where("asks").select(F.col("id").alias("query_id"), "vector").distinct()
-    visits = (
-        queries.mapInArrow(_traverse(books, held), "query_id bigint, vector array<float>, cells array<int>")
-        .select("query_id", "vector", F.explode("cells").alias("cell")).join(blocks, "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    per_cell = np.zeros(len(books.value[0]) * len(books.value[1]), np.int64)
+    per_cell[[r[0] for r in filled]] = [r[1] for r in filled]
+    wanted, _ = audited_walk(placed, queries, books.value, per_cell, k)
+    held = spark.sparkContext.broadcast(per_cell)
+    firsts, many = blocks_of(per_cell)
+    blocks = spark.createDataFrame([(r[0], int(firsts[r[0]]), int(many[r[0]])) for r in filled], "cell int, first int, blocks int")
+    parts = max(1, -(-rows.where("asks").count() * min(wanted, total) // (total * QUERY_BLOCK)))  # for about QUERY_BLOCK queries in a group
+    visits = queries.mapInArrow(_traverse(books, held, wanted), "query_id bigint, vector array<float>, block int, cells array<int>").withColumn(
+        "part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
     )
     held_rows = (
-        placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int"))
+        placed.join(F.broadcast(blocks), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("ids"), F.col("blocks"))).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
-    keys = ["cell", "block", "part"]
-    found = visits.select(*keys, "query_id", "vector").groupBy(*keys).cogroup(held_rows.select(*keys, "ids", "vector").groupBy(*keys)).applyInArrow(
+    keys = ["block", "part"]
+    found = visits.select(*keys, "query_id", "vector", "cells").groupBy(*keys).cogroup(held_rows.select(*keys, "ids", "vector", "cell").groupBy(*keys)).applyInArrow(
         _rerank(k + 1), "query_id bigint, score double, ids array<bigint>"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
