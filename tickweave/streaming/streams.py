@@ -23,14 +23,19 @@ def minute_panel(events: DataFrame, width: str = "1 hour", late: str = "2 hours"
     ).select("market", F.unix_seconds("w.start").alias("bucket"), "n_trades", "gross")
 
 
-def deduplicated(events: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
-    """First row of each key; state of keys older than the watermark goes."""
-    return events.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
+def deduplicated(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """First row of each key, whatever the order of the files; the state holds every key.
+
+    For a stream without end, ``late`` sets a watermark: state of keys older than it goes, and
+    so do rows that come later than it.
+    """
+    return events.dropDuplicates(keys) if late is None else events.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    """Per wallet, runs of events with gaps shorter than ``gap``."""
-    return events.withWatermark("at", late).groupBy("user_id", F.session_window("at", gap).alias("w")).agg(
+def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = None) -> DataFrame:
+    """Per wallet, runs of events with gaps shorter than ``gap``; ``late`` sets a watermark, beyond which rows are left out."""
+    timed = events if late is None else events.withWatermark("at", late)
+    return timed.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events")
     ).select(F.col("user_id").alias("wallet"), F.unix_seconds("w.start").alias("begin"), (F.unix_seconds("w.end")).alias("finish"), "n_events")
 
