@@ -95,6 +95,35 @@ def test_fixed_effects_and_clusters(spark):
     assert p.count() == 300 and p.select("draw").distinct().count() == 300
 
 
+def test_cluster_products_cut_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 3), float(i)) for i in range(12)], "c int, x double, y double")
+    monkeypatch.setattr(regression, "MOST_CLUSTERS", 12)
+    assert len(regression.cluster_products(rows, "y", ["x"], "c")[0]) == 12
+    monkeypatch.setattr(regression, "MOST_CLUSTERS", 11)
+    with pytest.raises(ValueError):
+        regression.cluster_products(rows, "y", ["x"], "c")
+
+
+def test_registered_queries_use_the_reference_draws(spark, monkeypatch):
+    from tickweave.plans import estimators
+
+    seen = {}
+    whole = ev.isolation_scores
+    monkeypatch.setattr(estimators.ev, "isolation_scores", lambda *a, **k: seen.update(k) or whole(*a, **k))
+    monkeypatch.setattr(estimators, "trades", lambda s, d: s.createDataFrame(
+        [(i, "m", i % 5, i * 600, i * 600 // 86400, float(i % 37), i % 37 / 500, "BUY", "YES", 1 if i % 3 else -1) for i in range(1200)],
+        "event_id long, market string, wallet long, sec long, dy long, value double, price double, side string, outcome string, direction int",
+    ))
+    assert estimators.wild_bootstrap(spark, "").first().draws == 9_999
+    assert estimators.cluster_bootstrap(spark, "").first().draws == 4_999
+    draws = []
+    real = tests.permutation_p
+    monkeypatch.setattr(estimators.tests, "permutation_p", lambda d: draws.append(d.count()) or real(d))
+    estimators.permutation_p(spark, "")
+    assert draws == [2_000]
+    assert estimators.isolation_screen(spark, "").count() and seen == {"trees": 500}
+
+
 def test_logit(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=500)

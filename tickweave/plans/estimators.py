@@ -53,7 +53,7 @@ def wild_bootstrap(spark: S, d: str) -> DataFrame:
     fit = _fit(spark, d)
     cover, _ = fit.covariance(["dy"])
     t = abs(float(fit.beta[0] / cover[0, 0] ** 0.5))
-    drawn = regression.wild_bootstrap(fit.rows, "y", ["x1", "x2"], "dy", 0, draws=1_999)
+    drawn = regression.wild_bootstrap(fit.rows, "y", ["x1", "x2"], "dy", 0)
     return drawn.agg(F.count("*").alias("draws"), (F.sum(F.when(F.abs("t") > t, 1).otherwise(0)) / F.count("*")).alias("p"))
 
 
@@ -91,12 +91,12 @@ SMD = f"""WITH {T} SELECT round((avg(value) FILTER (direction > 0) - avg(value)
 
 def permutation_p(spark: S, d: str) -> DataFrame:
     rows = trades(spark, d).select("dy", (F.col("direction") > 0).cast("int").alias("up"), "value")
-    return tests.permutation_p(tests.permutation(rows, "dy", "up", "value", draws=499))
+    return tests.permutation_p(tests.permutation(rows, "dy", "up", "value"))
 
 
 def cluster_bootstrap(spark: S, d: str) -> DataFrame:
     rows = trades(spark, d).select("dy", (F.col("value") * (F.col("direction") + 1) / 2).alias("a"), (F.col("value") * (1 - F.col("direction")) / 2).alias("b"))
-    drawn = tests.cluster_bootstrap(rows, "dy", "a", "b", draws=1_999)
+    drawn = tests.cluster_bootstrap(rows, "dy", "a", "b")
     q = F.percentile("increment", F.array(F.lit(0.025), F.lit(0.975)))
     return drawn.agg(F.count("*").alias("draws"), F.avg("increment").alias("mean"), q.alias("q")).select("draws", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
@@ -203,7 +203,7 @@ def nested_cv_forest(spark: S, d: str) -> DataFrame:
 
 def isolation_screen(spark: S, d: str) -> DataFrame:
     """The highest percent of hours by isolation score."""
-    at = ev.isolation_scores(_samples(spark, d), "key", FEATURES)
+    at = ev.isolation_scores(_samples(spark, d), "key", FEATURES, trees=500)
     n = at.count()
     return at.orderBy(F.desc("score"), "key").limit(max(1, -(-n // 100)))
 

@@ -117,11 +117,13 @@ class Fit:
 
 
 def cluster_products(rows: DataFrame, y: str, xs: list[str], cluster: str) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y of every cluster, the input of bootstraps."""
+    """X'X and X'y of every cluster, the input of bootstraps; an error beyond MOST_CLUSTERS."""
     k = len(xs)
     found = rows.groupBy(cluster).agg(
         *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(k)], *[F.sum(F.col(x) * F.col(y)).alias(f"q{i}") for i, x in enumerate(xs)]
-    ).orderBy(cluster).drop(cluster).limit(MOST_CLUSTERS).collect()
+    ).orderBy(cluster).drop(cluster).limit(MOST_CLUSTERS + 1).collect()
+    if len(found) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
     m = np.array([tuple(r) for r in found], float)
     return m[:, : k * k].reshape(-1, k, k), m[:, k * k :]
 
