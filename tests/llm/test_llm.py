@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,29 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_lattice.encode(docs(spark, []), queries.piece_model()).count() == 0
 
 
+def test_sentencepiece_of_long_texts_and_small_tables(spark, monkeypatch):
+    """Texts of many blocks and windows, and a task that forgets its stretches several times."""
+    model = sentencepiece_lattice.load(queries.piece_model())
+    rng = random.Random(8)
+    dense = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(20_000))
+    long = ["a" * 20_000, dense, " " * 2_000, "=" * 3_000, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5_000))]
+    for r in sentencepiece_lattice.encode(docs(spark, list(enumerate(long))), queries.piece_model()).collect():
+        assert r.ids == model.encode(long[r.doc_id])
+    for name, small in (("HELD_STRETCHES", 20), ("HELD_WORDS", 10), ("SLICE_CHARS", 60), ("SLICE_IDS", 40)):
+        monkeypatch.setattr(sentencepiece_lattice, name, small)
+    table = sentencepiece_lattice.Pieces(queries.piece_model())
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    texts = [" ".join(rng.choice(["alpha", "beta", "x1", "Ünder", "day.", "##", "☃"]) + rng.choice("abcdef") for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array(texts)], names=["id", "text"])
+    read = pa.Table.from_batches(sentencepiece_lattice._read(Value(table.bonds), table.longest)(iter([batch])))
+    restarts = sum(n == 0 for n in read.column("no").to_pylist())
+    assert restarts > 3 and sum(i is not None for i in read.column("id").to_pylist()) == 120
+
+
 def vectors(seed, n, size=16):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, size))

@@ -1,35 +1,48 @@
 """SentencePiece BPE encoding over a relational lattice, and decoding.
 
-Texts fall into words (a run of word marks and what follows it), since no piece reaches over
-the start of a word. Every distinct word is encoded once: its substrings of at most
-``LONGEST`` characters are exploded and equi-joined to the piece table, the edges found are
-grouped by word and end, and a Viterbi fold walks the ends with ``aggregate``. In a BPE
-model one piece can end the encoding of a prefix, namely that which no merge across its
-start would have broken up earlier. The fold keeps it: for each edge it looks at the
-lattice's edges that cross its start and compares their merge ranks with those of the pieces
-that the two neighbours were merged from. The result is the library's own encoding, unlike
-a plain sum of scores. The piece table is the vocabulary and is broadcast; encoded words are
-joined back to the documents and never meet in one task.
+Each task walks its documents once and nothing is shuffled. Texts fall into stretches, cut
+wherever no piece of the model holds the two characters that meet there, so that no merge can
+reach across. Each stretch that is new to the task becomes a row; its substrings of at most
+the longest piece's length are exploded and equi-joined to the piece table, the edges found
+are grouped by stretch, and a Viterbi fold walks them with ``aggregate``. The document rows
+follow the stretches they need, so the ids found are put in their places in the same pass.
+
+In a BPE model one piece can end the encoding of a prefix, namely that which no merge across
+its start would have broken up earlier. Grouping writes this into the edges: ``bad`` has a bit
+for every edge ending at an edge's start after which it cannot stand, since some lattice edge
+across that place comes before the merges that made the two neighbours. The fold keeps the
+edge of each end that stands after the edge kept at its start. The result is the library's
+own encoding, unlike a plain sum of scores.
+
+The piece table is the vocabulary, bounded by ``MOST_PIECES``, and is broadcast. The order of
+rows within a task matters (stretches, then the documents that hold them); explode, a
+broadcast join from the left and Arrow maps all keep it, and a stretch that were missing or
+incomplete would end the job with an error.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
-
 MARK = "▁"
-#: Most entries of a vocabulary that is broadcast.
-MOST_PIECES = 1_000_000
+#: Most entries of a vocabulary that is broadcast; longest piece (bits of ``bad``).
+MOST_PIECES, MOST_LENGTH = 1_000_000, 62
 NEVER = 2**31 - 1
-#: Distinct words that a task holds back before it passes them on.
-HELD_WORDS = 200_000
+#: Stretches (and characters of them) and words a task knows at a time; then it starts anew.
+HELD_STRETCHES, HELD_CHARS, HELD_WORDS = 120_000, 8_000_000, 150_000
+#: Words longer than this are not held.
+LONG_WORD = 64
+#: Characters of a row that is exploded; ends of a block that is folded at a time.
+WINDOW, BLOCK = 128, 256
+#: Text read, and ids written, at a time.
+SLICE_CHARS, SLICE_IDS = 1 << 20, 1 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 
 
@@ -57,126 +70,321 @@ def merges(word: str, rank: dict[str, int]) -> tuple[list[str], dict[str, tuple[
         parts[i : i + 2] = [whole]
 
 
-def piece_table(path: str) -> tuple[list[tuple], int]:
-    """Rows ``piece, id, rank, left, right`` of a model, and the id of its first byte piece.
+class Pieces:
+    """A model's pieces: ``rows`` of (piece, id), and by id the merge ``rank`` and the two spines.
 
-    ``left`` lists a piece's own length and those of its leading halves, each with the rank
-    of the merge that ends it; ``right`` does so for the trailing halves. Pieces that merging
-    never yields are left out.
+    ``left[id, n]`` is the rank of the merge that ends the leading part of n characters of a
+    piece (``NEVER`` for the piece itself), or -1 if no such part arises while it is merged;
+    ``right`` says so of trailing parts. Pieces that merging never yields are left out.
+    ``bonds`` are the character pairs inside pieces.
     """
-    model = load(path)
-    count = model.get_piece_size()
-    if count > MOST_PIECES:
-        raise ValueError(f"more than {MOST_PIECES} pieces")
-    plain = [i for i in range(count) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    first_byte = next((i for i in range(count) if model.is_byte(i)), -1)
-    rank = {model.id_to_piece(i): int(-model.get_score(i)) for i in plain}
-    split: dict[str, tuple[str, str]] = {}
-    rows = []
-    for i in plain:
-        piece = model.id_to_piece(i)
-        if len(piece) > 1:
-            parts, halves = merges(piece, rank)
-            if parts != [piece]:
-                continue
-            split[piece] = halves[piece]
-    for i in plain:
-        piece = model.id_to_piece(i)
-        if len(piece) > 1 and piece not in split:
-            continue
-        spines = []
-        for side in (0, 1):
-            part, spine = piece, [(len(piece), NEVER)]
-            while part in split:
-                ended, part = rank[part], split[part][side]
-                spine.append((len(part), ended))
-            spines.append(spine)
-        rows.append((piece, i, rank[piece], *spines))
-    return rows, first_byte
-
-
-_SPINE = "array<struct<size:int,ended:int>>"
-PIECES = f"piece string, id int, rank int, left {_SPINE}, right {_SPINE}"
-
-
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word, ids`` for a table of distinct words (a word begins with its marks)."""
-    rows, first_byte = piece_table(path)
-    longest = max(len(r[0]) for r in rows)
-    pieces = words.sparkSession.createDataFrame(rows, PIECES)
-    edges = (
-        words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
-        .select("word", "end", F.explode(F.sequence(F.greatest(F.lit(0), F.col("end") - longest), F.col("end") - 1)).alias("start"))
-        .withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
-        .join(F.broadcast(pieces), "piece", "left")  # at most MOST_PIECES rows
-        .where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    )
-    alone = F.array(F.struct(F.lit(1).alias("size"), F.lit(NEVER).alias("ended")))
-    edge = F.struct(
-        "start", "end", "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"),
-        F.coalesce("left", alone).alias("left"), F.coalesce("right", alone).alias("right"), "piece",
-    )
-    by_end = edges.groupBy("word", "end").agg(F.collect_list(edge).alias("edges"))
-    lattice = by_end.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    ends = F.col("ends")
-
-    def stands(taken, own):
-        """No merge across the edge's start comes before those that made its neighbours."""
-        def crossed(r, l):
-            over = F.element_at(ends, own["start"] + l["size"])["edges"]
-            return F.exists(over, lambda m: (m["start"] == own["start"] - r["size"]) & (m["rank"] < r["ended"]) & (m["rank"] <= l["ended"]) & m["id"].isNotNull())
-
-        before = F.element_at(taken, own["start"])["right"]
-        return (own["start"] == 0) | ~F.exists(before, lambda r: F.exists(own["left"], lambda l: crossed(r, l)))
-
-    kept = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["id"].alias("id"), e["right"].alias("right"), e["piece"].alias("piece"))
-    none = F.slice(F.transform(F.element_at(ends, 1)["edges"], kept), 1, 0)
-    taken = F.aggregate(
-        ends, none, lambda taken, here: F.concat(taken, F.transform(F.slice(F.filter(here["edges"], lambda e: stands(taken, e)), 1, 1), kept))
-    )
-    found = lattice.select("word", taken.alias("taken"))
-    last = F.size("taken")
-    empty = F.slice("taken", 1, 0)
-    walked = F.aggregate(
-        F.reverse("taken"), F.struct(last.alias("at"), empty.alias("path")),
-        lambda s, e: F.when(s["at"] == e["end"], F.struct(e["start"].alias("at"), F.concat(s["path"], F.array(e)).alias("path"))).otherwise(s),
-    )
-    as_bytes = lambda p: F.transform(
-        F.sequence(F.lit(1), F.octet_length(p)), lambda i: F.conv(F.hex(F.substring(F.encode(p, "UTF-8"), i, F.lit(1))), 16, 10).cast("int") + first_byte
+
+    def __init__(self, path: str):
+        model = load(path)
+        count = model.get_piece_size()
+        if count > MOST_PIECES:
+            raise ValueError(f"more than {MOST_PIECES} pieces")
+        plain = [i for i in range(count) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.first_byte = next((i for i in range(count) if model.is_byte(i)), -1)
+        if self.first_byte < 0:
+            raise ValueError("a model without byte pieces")
+        names = {i: model.id_to_piece(i) for i in plain}
+        rank = {names[i]: int(-model.get_score(i)) for i in plain}
+        split: dict[str, tuple[str, str]] = {}
+        for piece in names.values():
+            if len(piece) > 1:
+                parts, halves = merges(piece, rank)
+                if parts == [piece]:
+                    split[piece] = halves[piece]
+        self.rows = [(piece, i) for i, piece in names.items() if len(piece) == 1 or piece in split]
+        self.longest = max(len(piece) for piece, _ in self.rows)
+        if self.longest > MOST_LENGTH:
+            raise ValueError(f"a piece of more than {MOST_LENGTH} characters")
+        self.bonds = {piece[j : j + 2] for piece, _ in self.rows for j in range(len(piece) - 1)}
+        self.rank = np.zeros(count, np.int32)
+        self.left, self.right = (np.full((count, self.longest + 1), -1, np.int32) for _ in range(2))
+        for piece, i in self.rows:
+            self.rank[i] = rank[piece]
+            for side, spine in ((0, self.left), (1, self.right)):
+                part, spine[i, len(piece)] = piece, NEVER
+                while part in split:
+                    ended, part = rank[part], split[part][side]
+                    spine[i, len(part)] = ended
+
+
+def stretches_of(word: str, bonds: set[str]) -> list[str]:
+    """A word cut wherever two characters meet that no piece holds next to each other."""
+    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in bonds]
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+
+class _Numbers(dict):
+    """Number of each stretch, in order of appearance; ``new`` are those not yet passed on."""
+
+    def __init__(self):
+        self.new, self.chars = [], 0
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = number = len(self)
+        self.new.append((number, stretch))
+        self.chars += len(stretch)
+        return number
+
+
+class _Words(dict):
+    """Numbers of a word's stretches, as bytes."""
+
+    def __init__(self, numbers: _Numbers, bonds: set[str]):
+        self.numbers, self.bonds = numbers, bonds
+
+    def __missing__(self, word: str) -> bytes:
+        numbers = self.numbers
+        found = array("i", [numbers[s] for s in stretches_of(word, self.bonds)]).tobytes()
+        if len(word) <= LONG_WORD:
+            self[word] = found
+        return found
+
+
+#: ``seq`` is a document's stretch numbers as 32-bit integers; an array that is mostly null is slow to write to Arrow.
+READ = "no int, base int, own int, text string, id bigint, text_crc bigint, seq binary"
+LATTICE = "no int, chars int, blocks array<array<struct<at:int,k:int,size:int,id:int,bad:bigint>>>, id bigint, text_crc bigint, seq binary"
+
+
+def _lists(values: np.ndarray, lengths) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _read_batch(new: list[tuple[int, str]], done: list[tuple], longest: int) -> pa.RecordBatch:
+    """Rows of the new stretches, long ones in overlapping windows, then rows of documents."""
+    cut = []
+    for number, stretch in new:
+        for base in range(0, len(stretch), WINDOW):
+            own = stretch[base : base + WINDOW]
+            cut.append((number, base, len(own), stretch[base : base + len(own) + longest - 1]))
+    n, m = len(cut), len(done)
+    columns = list(zip(*cut)) or [()] * 4
+    front = [pa.concat_arrays([pa.array(c, k), pa.nulls(m, k)]) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+    rest = [pa.concat_arrays([pa.nulls(n, k), pa.array(c, k)]) for c, k in zip(list(zip(*done)) or [()] * 3, kinds)]
+    return pa.RecordBatch.from_arrays([*front, *rest], names=["no", "base", "own", "text", "id", "text_crc", "seq"])
+
+
+def _read(bonds, longest: int):
+    def run(batches):
+        numbers = _Numbers()
+        words = _Words(numbers, bonds.value)
+        for batch in batches:
+            done, chars = [], 0
+            for i in range(len(batch)):
+                if not done and (len(numbers) > HELD_STRETCHES or numbers.chars > HELD_CHARS):
+                    numbers = _Numbers()
+                    words = _Words(numbers, bonds.value)
+                if len(words) > HELD_WORDS:
+                    words.clear()
+                text = batch.column("text")[i].as_py() or ""
+                done.append((batch.column("id")[i].as_py(), zlib.crc32(text.encode()), b"".join([words[w] for w in words_of(text)])))
+                chars += len(text)
+                if chars > SLICE_CHARS or i + 1 == len(batch):
+                    yield _read_batch(numbers.new, done, longest)
+                    numbers.new, done, chars = [], [], 0
+
+    return run
+
+
+def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes, the group and the place in it of each member."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def lattice_of(no: np.ndarray, start: np.ndarray, size: np.ndarray, piece: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers, lengths and edge blocks of stretches, from the edges of whole stretches in order.
+
+    Edges are sorted by their end; ``k`` is an edge's place among those with the same end,
+    ``at`` the place (from 1) of its start among the ends folded so far, 0 at the beginning.
+    """
+    first = np.flatnonzero(np.diff(no, prepend=no[0] - 1))
+    word = np.repeat(np.arange(len(first)), np.diff(first, append=len(no)))
+    chars = np.maximum.reduceat(start + size, first)
+    base = np.cumsum(chars + 1) - (chars + 1)
+    begin = base[word] + start
+    order = np.argsort(begin + size, kind="stable")
+    word, start, size, piece, begin = (x[order] for x in (word, start, size, piece, begin))
+    end = begin + size
+    nodes = np.arange(base[-1] + chars[-1] + 2)
+    ending = np.searchsorted(end, nodes)
+    by_begin = np.argsort(begin, kind="stable")
+    starting = np.searchsorted(begin[by_begin], nodes)
+    k = np.arange(len(end)) - ending[end]
+    known, rank = np.maximum(piece, 0), table.rank
+
+    merge = np.flatnonzero(size > 1)  # every edge of two characters or more is a merge
+    group, place = _repeated(size[merge] - 1)
+    merge, node = merge[group], begin[merge][group] + 1 + place  # a merge and a node inside it
+    group, place = _repeated(ending[node + 1] - ending[node])
+    x = ending[node][group] + place
+    free = table.right[known[x], (node - begin[merge])[group]] > rank[known[merge]][group]
+    after = np.zeros(len(merge), np.int64)  # of the edges ending at the node, those that the merge would have broken up
+    np.bitwise_or.at(after, group[free], np.int64(1) << k[x[free]].astype(np.int64))
+    merge, node, after = (v[after != 0] for v in (merge, node, after))
+    group, place = _repeated(starting[node + 1] - starting[node])
+    y = by_begin[starting[node][group] + place]
+    free = table.left[known[y], (end[merge] - node)[group]] >= rank[known[merge]][group]
+    bad = np.zeros(len(end), np.int64)
+    np.bitwise_or.at(bad, y[free], after[group[free]])
+
+    block = (start + size - 1) // BLOCK
+    at = np.where(block > 0, start - block * BLOCK + table.longest, start)
+    cut = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(block, prepend=0) != 0))
+    edges = pa.StructArray.from_arrays(
+        [pa.array(c, t) for c, t in ((at, pa.int32()), (k, pa.int32()), (size, pa.int32()), (piece, pa.int32()), (bad, pa.int64()))], names=["at", "k", "size", "id", "bad"]
     )
-    ids = F.flatten(F.transform(F.reverse(walked["path"]), lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes(e["piece"]))))
-    return found.select("word", ids.alias("ids"))
-
-
-def _distinct_words(batches):
-    held: set[str] = set()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.update(words_of(text))
-            if len(held) >= HELD_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
-                held.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
-
-
-def _placed_words(batches):
-    row = TaskContext.get().partitionId() << 40
-    names = ["row", "id", "text_crc", "word", "places"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
-    for batch in batches:
-        out: list[tuple] = []
-        for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            places: dict[str | None, list[int]] = {}
-            for at, word in enumerate(words_of(text)):
-                places.setdefault(word, []).append(at)
-            crc = zlib.crc32((text or "").encode())
-            out += [(row, key, crc, word, at) for word, at in (places or {None: []}).items()]
-            row += 1
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(cut, len(end)), pa.int32()), edges)
+    outer = pa.array(np.concatenate([[0], np.cumsum(-(-chars // BLOCK))]), pa.int32())
+    return no[first], chars, pa.ListArray.from_arrays(outer, inner)
+
+
+def _runs(batch: pa.RecordBatch):
+    """Stretches of a batch's rows that are all of stretches or all of documents: (is of documents, rows)."""
+    doc = np.asarray(batch.column("no").is_null())
+    edges = np.flatnonzero(np.diff(doc)) + 1
+    for a, b in zip([0, *edges], [*edges, len(doc)]):
+        if b > a:
+            yield bool(doc[a]), batch.slice(a, b - a)
+
+
+def _grouped(table):
+    names = ["no", "chars", "blocks", "id", "text_crc", "seq"]
+    kind = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("k", pa.int32()), ("size", pa.int32()), ("id", pa.int32()), ("bad", pa.int64())])))
+
+    def laid(held: list[np.ndarray]) -> pa.RecordBatch:
+        no, chars, blocks = lattice_of(*held, table.value)
+        n = len(no)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(no, pa.int32()), pa.array(chars, pa.int32()), blocks.cast(kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names
+        )
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []  # edges of a stretch that may go on in the next batch
+        for batch in batches:
+            for docs, rows in _runs(batch):
+                if docs:
+                    if held:
+                        yield laid([np.concatenate(c) for c in zip(*held)])
+                        held = []
+                    m = len(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, kind), *[rows.column(c) for c in ("id", "text_crc", "seq")]], names=names
+                    )
+                    continue
+                new = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("no", "start", "size", "piece")]
+                last = int(np.searchsorted(new[0], new[0][-1]))
+                if last:
+                    held.append([c[:last] for c in new])
+                    yield laid([np.concatenate(c) for c in zip(*held)])
+                    held = []
+                elif held and held[-1][0][-1] != new[0][0]:
+                    yield laid([np.concatenate(c) for c in zip(*held)])
+                    held = []
+                held.append([c[last:] for c in new])
+        if held:
+            yield laid([np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+class _Known:
+    """Ids of the stretches known so far, by number."""
+
+    def __init__(self):
+        self.ids, self.filled = np.zeros(1024, np.int32), 0
+        self.first, self.count, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+
+    @staticmethod
+    def _room(column: np.ndarray, need: int) -> np.ndarray:
+        return column if need <= len(column) else np.concatenate([column, np.zeros(max(need - len(column), len(column)), column.dtype)])
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        n, m = self.size, len(counts)
+        self.ids = self._room(self.ids, self.filled + len(ids))
+        self.first, self.count = self._room(self.first, n + m), self._room(self.count, n + m)
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.count[n : n + m] = counts
+        self.first[n : n + m] = self.filled + np.cumsum(counts) - counts
+        self.filled, self.size = self.filled + len(ids), n + m
+
+    def of(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a row of stretches, and how many each has."""
+        if len(seq) and seq.max() >= self.size:
+            raise RuntimeError("a document came before its stretches")
+        counts = self.count[seq]
+        group, place = _repeated(counts)
+        return self.ids[self.first[seq][group] + place], counts
+
+
+def _back(sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, chars: np.ndarray, longest: int, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of stretches, and how many each has, from the edges kept at all of their ends."""
+    group, place = _repeated(lengths)
+    own = (place < BLOCK) | ((place - BLOCK) % (BLOCK + longest) >= longest)  # later blocks begin with the last ends before them
+    sizes, ids = sizes[own], ids[own]
+    if not np.array_equal(np.bincount(group[own], minlength=len(chars)), chars):
+        raise RuntimeError("a stretch without a path")
+    offset = np.cumsum(chars) - chars
+    at, live = chars.copy(), np.arange(len(chars))
+    steps = []
+    while len(live):
+        edge = offset[live] + at[live] - 1
+        steps.append((live, ids[edge]))
+        at[live] -= sizes[edge]
+        live = live[at[live] > 0]
+    word = np.concatenate([w for w, _ in steps])
+    counts = np.bincount(word, minlength=len(chars))
+    step = np.repeat(np.arange(len(steps)), [len(w) for w, _ in steps])
+    found = np.empty(len(word), np.int64)
+    found[(np.cumsum(counts) - 1)[word] - step] = np.concatenate([i for _, i in steps])
+    unknown = np.flatnonzero(found < 0)
+    if len(unknown):
+        spelled = [chr(-1 - int(found[i])).encode("utf-8", "surrogatepass") for i in unknown]
+        width = np.ones(len(found), np.int64)
+        width[unknown] = [len(s) for s in spelled]
+        counts = np.bincount(np.repeat(np.arange(len(chars)), counts), weights=width, minlength=len(chars)).astype(np.int64)
+        spread = np.repeat(found, width)
+        spread[np.repeat(found < 0, width)] = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64) + first_byte
+        found = spread
+    return found.astype(np.int32), counts
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _placed(longest: int, first_byte: int):
+    def run(batches):
+        known = _Known()
+        for batch in batches:
+            for docs, rows in _runs(batch):
+                if not docs:
+                    if rows.column("no")[0].as_py() == 0:
+                        known = _Known()
+                    sizes, lengths = _flat(rows.column("sizes"))
+                    ids, _ = _flat(rows.column("pieces"))
+                    chars = rows.column("chars").to_numpy(zero_copy_only=False).astype(np.int64)
+                    known.add(*_back(sizes, ids, lengths, chars, longest, first_byte))
+                    continue
+                seqs = rows.column("seq").to_pylist()
+                seq, lengths = np.frombuffer(b"".join(seqs), np.int32), [len(q) // 4 for q in seqs]
+                done, filled = 0, 0
+                for i in range(len(lengths)):
+                    filled += lengths[i]
+                    if filled > SLICE_IDS // 4 or i + 1 == len(lengths):
+                        part, seq = seq[:filled], seq[filled:]
+                        ids, counts = known.of(part)
+                        of_doc = np.bincount(np.repeat(np.arange(i + 1 - done), lengths[done : i + 1]), weights=counts, minlength=i + 1 - done).astype(np.int64)
+                        piece = rows.slice(done, i + 1 - done)
+                        yield pa.RecordBatch.from_arrays([piece.column("id"), _lists(ids, of_doc), piece.column("text_crc")], names=["id", "ids", "text_crc32"])
+                        done, filled = i + 1, 0
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,21 +392,38 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Null and empty texts have no ids. Rows that repeat, or lack an id, are encoded each; other
     columns are ignored; an empty table gives an empty result. ``text_crc32`` is that of the
-    text in UTF-8, by which a decoded text can be checked.
+    text in UTF-8, by which a decoded text can be checked. A task holds the longest stretch of
+    its documents, a text without any cut at worst; work is linear in it.
     """
-    spark: SparkSession = docs.sparkSession
+    table = Pieces(path)
+    longest, context = table.longest, docs.sparkSession.sparkContext
+    pieces = docs.sparkSession.createDataFrame(table.rows, "piece string, piece_id int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = rows.select("text").mapInArrow(_distinct_words, "word string").distinct()
-    folder = new_folder(spark, "encoded-words")
-    encode_words(words, path).write.parquet(folder)  # compact, and each word is folded once
-    encoded = spark.read.parquet(folder)
-    placed = rows.mapInArrow(_placed_words, "row bigint, id bigint, text_crc bigint, word string, places array<int>")
-    # a word's row per document, so frequent words make hot keys that adaptive execution splits
-    found = placed.join(encoded, "word", "left").select(
-        "row", "id", "text_crc", F.transform(F.coalesce("places", F.array().cast("array<int>")), lambda p: F.struct(p.alias("at"), F.col("ids").alias("ids"))).alias("parts")
+    read = rows.mapInArrow(_read(context.broadcast(table.bonds), longest), READ)
+    keys = ["no", "id", "text_crc", "seq"]
+    edges = (
+        read.select(*keys, "base", "own", "text", F.explode_outer(F.sequence(F.lit(0), F.col("own") - 1)).alias("from"))
+        .select(*keys, "base", "text", "from", F.explode_outer(F.sequence(F.lit(1), F.when(F.col("own").isNotNull(), F.least(F.lit(longest), F.length("text") - F.col("from"))))).alias("size"))
+        .select(*keys, (F.col("base") + F.col("from")).alias("start"), "size", F.substring("text", F.col("from") + 1, F.col("size")).alias("piece"))
+        .join(F.broadcast(pieces), "piece", "left")  # at most MOST_PIECES rows
+        .where(F.col("piece_id").isNotNull() | (F.col("size") == 1) | F.col("no").isNull())
+        .select("no", "start", "size", F.coalesce("piece_id", -1 - F.ascii("piece")).alias("piece"), "id", "text_crc", "seq")
     )
-    whole = found.groupBy("row").agg(F.max("id").alias("id"), F.max("text_crc").alias("text_crc32"), F.flatten(F.collect_list("parts")).alias("parts"))
-    return whole.select(F.col("id").alias(id_col), F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"), "text_crc32")
+    lattice = edges.mapInArrow(_grouped(context.broadcast(table)), LATTICE)
+    none = F.array().cast("array<struct<at:int,k:int,size:int,id:int,bad:bigint>>")
+
+    def stands(taken, edge):
+        return F.coalesce(F.getbit(edge["bad"], F.get(taken, edge["at"] - 1)["k"]), F.lit(0).cast("byte")) == 0
+
+    def fold(block, before):
+        return F.aggregate(block, before, lambda taken, edge: F.when(stands(taken, edge), F.concat(taken, F.array(edge))).otherwise(taken))
+
+    # a block of ends at a time, so that long stretches are not copied at each end
+    blocks = F.aggregate("blocks", F.array(none), lambda done, block: F.concat(done, F.array(fold(block, F.slice(F.element_at(done, -1), -longest, longest)))))
+    taken = lattice.select("no", "chars", F.flatten(blocks).alias("taken"), "id", "text_crc", "seq")
+    kept = taken.select("no", "chars", F.col("taken.size").alias("sizes"), F.col("taken.id").alias("pieces"), "id", "text_crc", "seq")
+    placed = kept.mapInArrow(_placed(longest, table.first_byte), "id bigint, ids array<int>, text_crc32 bigint")
+    return placed.select(F.col("id").alias(id_col), "ids", "text_crc32")
 
 
 def _decoded(table):
