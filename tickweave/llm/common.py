@@ -53,3 +53,17 @@ def crc_mod(column: str, modulus: int):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def larger_tasks(scan: DataFrame, size: int = 128 << 20) -> DataFrame:
+    """A file scan in tasks of about ``size`` bytes where its splits are smaller, but not fewer than the cores.
+
+    For operators that work once on what repeats within a task; nothing is shuffled.
+    """
+    spark = scan.sparkSession
+    found = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(found[-1:], 1)
+    split = int(found.rstrip("kmg")) * unit
+    now = scan.rdd.getNumPartitions()
+    least = max(-(-now * split // size), min(now, spark.sparkContext.defaultParallelism))
+    return scan.coalesce(least) if least < now else scan

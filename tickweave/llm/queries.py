@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_multi_index, chat_format, hnsw_dedup, langid, minhash_dedup, packing, sentencepiece_lattice, toxicity, url_filter, warc
-from .common import crc_mod, new_folder, read
+from .common import crc_mod, larger_tasks, new_folder, read
 
 #: The url lists of op2: (rule, verdict).
 URL_RULES = [
@@ -40,7 +40,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text (word marks in it count as spaces)."""
-    encoded = sentencepiece_lattice.encode(read(spark, sf_dir, "documents"), piece_model())
+    encoded = sentencepiece_lattice.encode(larger_tasks(read(spark, sf_dir, "documents")), piece_model())
     back = sentencepiece_lattice.decode(encoded, piece_model())
     same = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))

@@ -22,12 +22,13 @@ incomplete would end the job with an error.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
-from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +36,14 @@ MARK = "▁"
 #: Most entries of a vocabulary that is broadcast; longest piece (bits of ``bad``).
 MOST_PIECES, MOST_LENGTH = 1_000_000, 62
 NEVER = 2**31 - 1
-#: Stretches (and characters of them) and words a task knows at a time; then it starts anew.
-HELD_STRETCHES, HELD_CHARS, HELD_WORDS = 120_000, 8_000_000, 150_000
-#: Words longer than this are not held.
-LONG_WORD = 64
+#: Stretches, and characters of them, that a task knows at a time; then it starts anew.
+HELD_STRETCHES, HELD_CHARS = 500_000, 16_000_000
 #: Characters of a row that is exploded; ends of a block that is folded at a time.
 WINDOW, BLOCK = 128, 256
-#: Text read, and ids written, at a time.
-SLICE_CHARS, SLICE_IDS = 1 << 20, 1 << 20
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+#: Text read, edges grouped, and ids written, at a time.
+SLICE_CHARS, GROUP_EDGES, SLICE_IDS = 1 << 20, 50_000, 1 << 20
+#: Base of the polynomial hash by which a task tells stretches apart (modulo 2**64).
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def load(path: str):
@@ -112,81 +108,106 @@ class Pieces:
                     spine[i, len(part)] = ended
 
 
-def stretches_of(word: str, bonds: set[str]) -> list[str]:
-    """A word cut wherever two characters meet that no piece holds next to each other."""
-    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in bonds]
-    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
-
-
-class _Numbers(dict):
-    """Number of each stretch, in order of appearance; ``new`` are those not yet passed on."""
-
-    def __init__(self):
-        self.new, self.chars = [], 0
-
-    def __missing__(self, stretch: str) -> int:
-        self[stretch] = number = len(self)
-        self.new.append((number, stretch))
-        self.chars += len(stretch)
-        return number
-
+class Bonds:
+    """Which characters of a model's pieces stand next to each other in some piece."""
 
-class _Words(dict):
-    """Numbers of a word's stretches, as bytes."""
+    def __init__(self, table: Pieces):
+        chars = sorted({c for pair in table.bonds for c in pair})
+        self.of = np.zeros(ord(chars[-1]) + 2 if chars else 1, np.int32)  # 0: in no bond
+        self.of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.many = len(chars) + 1
+        self.bound = np.zeros(self.many * self.many, bool)
+        for pair in table.bonds:
+            a, b = (int(self.of[ord(c)]) for c in pair)
+            self.bound[a * self.many + b] = True
 
-    def __init__(self, numbers: _Numbers, bonds: set[str]):
-        self.numbers, self.bonds = numbers, bonds
+    def starts(self, points: np.ndarray) -> np.ndarray:
+        """Places at which a stretch begins, the first one included."""
+        kind = self.of[np.minimum(points, len(self.of) - 1)]
+        return np.concatenate([[0], np.flatnonzero(~self.bound[kind[:-1] * self.many + kind[1:]]) + 1])
 
-    def __missing__(self, word: str) -> bytes:
-        numbers = self.numbers
-        found = array("i", [numbers[s] for s in stretches_of(word, self.bonds)]).tobytes()
-        if len(word) <= LONG_WORD:
-            self[word] = found
-        return found
 
+class _Held:
+    """Number of each stretch by its 64-bit hash, in order of appearance; ``new`` are those not yet passed on."""
 
-#: ``seq`` is a document's stretch numbers as 32-bit integers; an array that is mostly null is slow to write to Arrow.
-READ = "no int, base int, own int, text string, id bigint, text_crc bigint, seq binary"
-LATTICE = "no int, chars int, blocks array<array<struct<at:int,k:int,size:int,id:int,bad:bigint>>>, id bigint, text_crc bigint, seq binary"
+    def __init__(self):
+        self.numbers, self.new, self.chars = {}, [], 0
+
+    def of(self, text: str, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of the stretches of a text that begin at ``starts``."""
+        sizes = np.diff(starts, append=len(points))
+        place = np.arange(len(points)) - np.repeat(starts, sizes)
+        power = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))
+        hashes = np.add.reduceat((points + np.uint64(1)) * power[place], starts) ^ (sizes.astype(np.uint64) << np.uint64(40))
+        codes, found = pd.factorize(hashes)
+        first = np.empty(len(found), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        numbers, out = self.numbers, np.empty(len(found), np.int32)
+        for i, h in enumerate(found.tolist()):
+            number = numbers.get(h)
+            if number is None:
+                numbers[h] = number = len(numbers)
+                at, size = int(starts[first[i]]), int(sizes[first[i]])
+                self.new.append((number, text[at : at + size]))
+                self.chars += size
+            out[i] = number
+        return out[codes]
+
+
+#: ``doc`` packs a document's id (and whether it has one), its crc32 and its stretch numbers.
+READ = "no int, base int, own int, text string, doc binary"
+LATTICE = "no int, chars int, blocks array<array<struct<at:int,k:int,size:int,id:int,bad:bigint>>>, doc binary"
+_HEAD = "<?qq"
+_HEAD_BYTES = struct.calcsize(_HEAD)
 
 
 def _lists(values: np.ndarray, lengths) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _read_batch(new: list[tuple[int, str]], done: list[tuple], longest: int) -> pa.RecordBatch:
+def _read_batch(new: list[tuple[int, str]], done: list[bytes], longest: int) -> pa.RecordBatch:
     """Rows of the new stretches, long ones in overlapping windows, then rows of documents."""
     cut = []
     for number, stretch in new:
         for base in range(0, len(stretch), WINDOW):
             own = stretch[base : base + WINDOW]
             cut.append((number, base, len(own), stretch[base : base + len(own) + longest - 1]))
-    n, m = len(cut), len(done)
     columns = list(zip(*cut)) or [()] * 4
-    front = [pa.concat_arrays([pa.array(c, k), pa.nulls(m, k)]) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
-    kinds = (pa.int64(), pa.int64(), pa.binary())
-    rest = [pa.concat_arrays([pa.nulls(n, k), pa.array(c, k)]) for c, k in zip(list(zip(*done)) or [()] * 3, kinds)]
-    return pa.RecordBatch.from_arrays([*front, *rest], names=["no", "base", "own", "text", "id", "text_crc", "seq"])
+    front = [pa.concat_arrays([pa.array(c, k), pa.nulls(len(done), k)]) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+    return pa.RecordBatch.from_arrays([*front, pa.concat_arrays([pa.nulls(len(cut), pa.binary()), pa.array(done, pa.binary())])], names=["no", "base", "own", "text", "doc"])
+
+
+def _numbered(held: _Held, ids: list, texts: list[str], bonds: Bonds) -> list[bytes]:
+    """Packed documents of some texts."""
+    marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+    ends = np.cumsum([len(m) for m in marked])
+    heads = [struct.pack(_HEAD, i is not None, i or 0, zlib.crc32(t.encode("utf-8", "surrogatepass"))) for i, t in zip(ids, texts)]
+    whole = "".join(marked)
+    if not whole:
+        return heads
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = np.unique(np.concatenate([[0], ends[ends < len(whole)]]))
+    starts = np.union1d(bonds.starts(points), begin)
+    seq = held.of(whole, points, starts)
+    until = np.searchsorted(starts, ends)
+    return [h + seq[a:b].tobytes() for h, a, b in zip(heads, [0, *until[:-1]], until)]
 
 
 def _read(bonds, longest: int):
     def run(batches):
-        numbers = _Numbers()
-        words = _Words(numbers, bonds.value)
+        held = _Held()
         for batch in batches:
-            done, chars = [], 0
-            for i in range(len(batch)):
-                if not done and (len(numbers) > HELD_STRETCHES or numbers.chars > HELD_CHARS):
-                    numbers = _Numbers()
-                    words = _Words(numbers, bonds.value)
-                if len(words) > HELD_WORDS:
-                    words.clear()
-                text = batch.column("text")[i].as_py() or ""
-                done.append((batch.column("id")[i].as_py(), zlib.crc32(text.encode()), b"".join([words[w] for w in words_of(text)])))
-                chars += len(text)
-                if chars > SLICE_CHARS or i + 1 == len(batch):
-                    yield _read_batch(numbers.new, done, longest)
-                    numbers.new, done, chars = [], [], 0
+            ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+            begin, chars = 0, 0
+            for i, size in enumerate(sizes.tolist()):
+                chars += size
+                if chars > SLICE_CHARS or i + 1 == len(sizes):
+                    if len(held.numbers) > HELD_STRETCHES or held.chars > HELD_CHARS:
+                        held = _Held()
+                    done = _numbered(held, ids[begin : i + 1], [t or "" for t in texts.slice(begin, i + 1 - begin).to_pylist()], bonds.value)
+                    yield _read_batch(held.new, done, longest)
+                    held.new, begin, chars = [], i + 1, 0
 
     return run
 
@@ -233,62 +254,66 @@ def lattice_of(no: np.ndarray, start: np.ndarray, size: np.ndarray, piece: np.nd
     bad = np.zeros(len(end), np.int64)
     np.bitwise_or.at(bad, y[free], after[group[free]])
 
+    # edges that stand after none of those before them lead nowhere
+    every = (np.int64(1) << (ending[begin + 1] - ending[begin]).astype(np.int64)) - 1
+    live = (start == 0) | (bad != every)
+    word, start, size, piece, k, bad = (v[live] for v in (word, start, size, piece, k, bad))
     block = (start + size - 1) // BLOCK
     at = np.where(block > 0, start - block * BLOCK + table.longest, start)
     cut = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(block, prepend=0) != 0))
     edges = pa.StructArray.from_arrays(
         [pa.array(c, t) for c, t in ((at, pa.int32()), (k, pa.int32()), (size, pa.int32()), (piece, pa.int32()), (bad, pa.int64()))], names=["at", "k", "size", "id", "bad"]
     )
-    inner = pa.ListArray.from_arrays(pa.array(np.append(cut, len(end)), pa.int32()), edges)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(cut, len(word)), pa.int32()), edges)
     outer = pa.array(np.concatenate([[0], np.cumsum(-(-chars // BLOCK))]), pa.int32())
     return no[first], chars, pa.ListArray.from_arrays(outer, inner)
 
 
-def _runs(batch: pa.RecordBatch):
-    """Stretches of a batch's rows that are all of stretches or all of documents: (is of documents, rows)."""
-    doc = np.asarray(batch.column("no").is_null())
+def _runs(batch: pa.RecordBatch, column: str):
+    """Slices of a batch's rows that are all of stretches or all of documents: (is of documents, rows)."""
+    doc = np.asarray(batch.column(column).is_null())
     edges = np.flatnonzero(np.diff(doc)) + 1
     for a, b in zip([0, *edges], [*edges, len(doc)]):
         if b > a:
             yield bool(doc[a]), batch.slice(a, b - a)
 
 
+def _unpacked(edge: np.ndarray) -> list[np.ndarray]:
+    """Number, start, size and piece of packed edges."""
+    return [edge[:, 0] >> 32, edge[:, 0] & 0xFFFFFFFF, edge[:, 1] >> 32, (edge[:, 1] & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)]
+
+
 def _grouped(table):
-    names = ["no", "chars", "blocks", "id", "text_crc", "seq"]
+    names = ["no", "chars", "blocks", "doc"]
     kind = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("k", pa.int32()), ("size", pa.int32()), ("id", pa.int32()), ("bad", pa.int64())])))
 
     def laid(held: list[np.ndarray]) -> pa.RecordBatch:
-        no, chars, blocks = lattice_of(*held, table.value)
-        n = len(no)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(no, pa.int32()), pa.array(chars, pa.int32()), blocks.cast(kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names
-        )
+        no, chars, blocks = lattice_of(*_unpacked(np.concatenate(held)), table.value)
+        return pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), pa.array(chars, pa.int32()), blocks.cast(kind), pa.nulls(len(no), pa.binary())], names=names)
 
     def run(batches):
-        held: list[list[np.ndarray]] = []  # edges of a stretch that may go on in the next batch
+        held: list[np.ndarray] = []  # edges of stretches, the last of which may go on in the next batch
+        rows_held = 0
         for batch in batches:
-            for docs, rows in _runs(batch):
+            for docs, rows in _runs(batch, "whose"):
                 if docs:
                     if held:
-                        yield laid([np.concatenate(c) for c in zip(*held)])
-                        held = []
+                        yield laid(held)
+                        held, rows_held = [], 0
                     m = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, kind), *[rows.column(c) for c in ("id", "text_crc", "seq")]], names=names
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, kind), rows.column("doc")], names=names)
                     continue
-                new = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("no", "start", "size", "piece")]
-                last = int(np.searchsorted(new[0], new[0][-1]))
-                if last:
-                    held.append([c[:last] for c in new])
-                    yield laid([np.concatenate(c) for c in zip(*held)])
-                    held = []
-                elif held and held[-1][0][-1] != new[0][0]:
-                    yield laid([np.concatenate(c) for c in zip(*held)])
-                    held = []
-                held.append([c[last:] for c in new])
+                new = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("whose", "what")], axis=1)
+                numbers = new[:, 0] >> 32
+                last = int(np.searchsorted(numbers, numbers[-1]))
+                if rows_held + last > GROUP_EDGES and (last or held[-1][-1, 0] >> 32 != numbers[0]):
+                    held.append(new[:last])
+                    yield laid(held)
+                    held, rows_held, new = [], 0, new[last:]
+                held.append(new)
+                rows_held += len(new)
         if held:
-            yield laid([np.concatenate(c) for c in zip(*held)])
+            yield laid(held)
 
     return run
 
@@ -362,7 +387,7 @@ def _placed(longest: int, first_byte: int):
     def run(batches):
         known = _Known()
         for batch in batches:
-            for docs, rows in _runs(batch):
+            for docs, rows in _runs(batch, "no"):
                 if not docs:
                     if rows.column("no")[0].as_py() == 0:
                         known = _Known()
@@ -371,18 +396,20 @@ def _placed(longest: int, first_byte: int):
                     chars = rows.column("chars").to_numpy(zero_copy_only=False).astype(np.int64)
                     known.add(*_back(sizes, ids, lengths, chars, longest, first_byte))
                     continue
-                seqs = rows.column("seq").to_pylist()
-                seq, lengths = np.frombuffer(b"".join(seqs), np.int32), [len(q) // 4 for q in seqs]
-                done, filled = 0, 0
-                for i in range(len(lengths)):
-                    filled += lengths[i]
+                packed = rows.column("doc").to_pylist()
+                lengths = [(len(p) - _HEAD_BYTES) // 4 for p in packed]
+                begin, filled = 0, 0
+                for i, length in enumerate(lengths):
+                    filled += length
                     if filled > SLICE_IDS // 4 or i + 1 == len(lengths):
-                        part, seq = seq[:filled], seq[filled:]
-                        ids, counts = known.of(part)
-                        of_doc = np.bincount(np.repeat(np.arange(i + 1 - done), lengths[done : i + 1]), weights=counts, minlength=i + 1 - done).astype(np.int64)
-                        piece = rows.slice(done, i + 1 - done)
-                        yield pa.RecordBatch.from_arrays([piece.column("id"), _lists(ids, of_doc), piece.column("text_crc")], names=["id", "ids", "text_crc32"])
-                        done, filled = i + 1, 0
+                        part = packed[begin : i + 1]
+                        ids, counts = known.of(np.frombuffer(b"".join([p[_HEAD_BYTES :] for p in part]), np.int32))
+                        of_doc = np.bincount(np.repeat(np.arange(len(part)), lengths[begin : i + 1]), weights=counts, minlength=len(part)).astype(np.int64)
+                        heads = [struct.unpack_from(_HEAD, p) for p in part]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([h[1] if h[0] else None for h in heads], pa.int64()), _lists(ids, of_doc), pa.array([h[2] for h in heads], pa.int64())], names=["id", "ids", "text_crc32"]
+                        )
+                        begin, filled = i + 1, 0
 
     return run
 
@@ -393,23 +420,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no ids. Rows that repeat, or lack an id, are encoded each; other
     columns are ignored; an empty table gives an empty result. ``text_crc32`` is that of the
     text in UTF-8, by which a decoded text can be checked. A task holds the longest stretch of
-    its documents, a text without any cut at worst; work is linear in it.
+    its documents, a text without any cut at worst; work is linear in it. Each task encodes
+    a stretch once, so fewer, larger tasks have less to do.
     """
     table = Pieces(path)
     longest, context = table.longest, docs.sparkSession.sparkContext
     pieces = docs.sparkSession.createDataFrame(table.rows, "piece string, piece_id int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    read = rows.mapInArrow(_read(context.broadcast(table.bonds), longest), READ)
-    keys = ["no", "id", "text_crc", "seq"]
+    read = rows.mapInArrow(_read(context.broadcast(Bonds(table)), longest), READ)
     edges = (
-        read.select(*keys, "base", "own", "text", F.explode_outer(F.sequence(F.lit(0), F.col("own") - 1)).alias("from"))
-        .select(*keys, "base", "text", "from", F.explode_outer(F.sequence(F.lit(1), F.when(F.col("own").isNotNull(), F.least(F.lit(longest), F.length("text") - F.col("from"))))).alias("size"))
-        .select(*keys, (F.col("base") + F.col("from")).alias("start"), "size", F.substring("text", F.col("from") + 1, F.col("size")).alias("piece"))
+        read.select("no", "base", "own", "text", "doc", F.explode_outer(F.sequence(F.lit(0), F.col("own") - 1)).alias("from"))
+        .select("no", "base", "text", "doc", "from", F.explode_outer(F.sequence(F.lit(1), F.when(F.col("own").isNotNull(), F.least(F.lit(longest), F.length("text") - F.col("from"))))).alias("size"))
+        .select("no", "doc", (F.col("base") + F.col("from")).alias("start"), "size", F.substring("text", F.col("from") + 1, F.col("size")).alias("piece"))
         .join(F.broadcast(pieces), "piece", "left")  # at most MOST_PIECES rows
         .where(F.col("piece_id").isNotNull() | (F.col("size") == 1) | F.col("no").isNull())
-        .select("no", "start", "size", F.coalesce("piece_id", -1 - F.ascii("piece")).alias("piece"), "id", "text_crc", "seq")
     )
-    lattice = edges.mapInArrow(_grouped(context.broadcast(table)), LATTICE)
+    pair = lambda high, low: F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(0xFFFFFFFF))
+    packed = edges.select(
+        pair(F.col("no"), F.col("start")).alias("whose"), pair(F.col("size"), F.coalesce("piece_id", -1 - F.ascii("piece"))).alias("what"), "doc"
+    )
+    lattice = packed.mapInArrow(_grouped(context.broadcast(table)), LATTICE)
     none = F.array().cast("array<struct<at:int,k:int,size:int,id:int,bad:bigint>>")
 
     def stands(taken, edge):
@@ -420,18 +450,30 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     # a block of ends at a time, so that long stretches are not copied at each end
     blocks = F.aggregate("blocks", F.array(none), lambda done, block: F.concat(done, F.array(fold(block, F.slice(F.element_at(done, -1), -longest, longest)))))
-    taken = lattice.select("no", "chars", F.flatten(blocks).alias("taken"), "id", "text_crc", "seq")
-    kept = taken.select("no", "chars", F.col("taken.size").alias("sizes"), F.col("taken.id").alias("pieces"), "id", "text_crc", "seq")
+    taken = lattice.select("no", "chars", F.flatten(blocks).alias("taken"), "doc")
+    kept = taken.select("no", "chars", F.col("taken.size").alias("sizes"), F.col("taken.id").alias("pieces"), "doc")
     placed = kept.mapInArrow(_placed(longest, table.first_byte), "id bigint, ids array<int>, text_crc32 bigint")
     return placed.select(F.col("id").alias(id_col), "ids", "text_crc32")
 
 
 def _decoded(table):
     def run(batches):
-        pieces = table.value
+        spelled, first, count = table.value
         for batch in batches:
-            texts = [None if ids is None else b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:] for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
+            column = batch.column("ids")
+            ids, lengths = _flat(column)
+            begin, until = 0, np.cumsum(lengths)
+            while begin < len(lengths):
+                before = until[begin] - lengths[begin]
+                end = max(begin + 1, int(np.searchsorted(until, before + SLICE_IDS, side="right")))
+                part = ids[before : until[end - 1]]
+                group, place = _repeated(count[part])
+                text = spelled[first[part][group] + place].tobytes()
+                stop = np.concatenate([[0], np.cumsum(count[part])])[until[begin:end] - before].tolist()
+                there = column.slice(begin, end - begin).is_valid().to_pylist()
+                texts = [text[a:b].decode("utf-8", "replace")[1:] if ok else None for a, b, ok in zip([0, *stop[:-1]], stop, there)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(begin, end - begin), pa.array(texts, pa.string())], names=["row", "decoded"])
+                begin = end
 
     return run
 
@@ -443,8 +485,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     goes. A text that holds the mark itself comes back with a space for it.
     """
     model = load(path)
-    pieces = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).encode() for i in range(model.get_piece_size())]
+    pieces = [
+        bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode()
+        for i in range(model.get_piece_size())
+    ]
+    count = np.array([len(p) for p in pieces], np.int64)
+    table = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(count) - count, count
     plain = encoded.drop("decoded")
     packed = plain.select(F.col(ids_col).alias("ids"), F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"))
     schema = packed.select("row").schema.add("decoded", "string")
-    return packed.mapInArrow(_decoded(encoded.sparkSession.sparkContext.broadcast(pieces)), schema).select("row.*", "decoded")
+    return packed.mapInArrow(_decoded(encoded.sparkSession.sparkContext.broadcast(table)), schema).select("row.*", "decoded")
