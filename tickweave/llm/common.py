@@ -55,15 +55,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _bytes(setting: str) -> int:
+    """A Spark size such as 16m, 8MB or 1024b in bytes."""
+    found = setting.lower().removesuffix("b")
+    return int(found.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(found[-1:], 1)
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Have Spark pass rows to Python in Arrow batches of at most ``size`` bytes (and one row), from now on.
+
+    Spark's default of 64 MB a batch, held several times over by each map on each core, takes
+    most of a small executor; a smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, f"{size}b")
+
+
 def larger_tasks(scan: DataFrame, size: int = 128 << 20) -> DataFrame:
     """A file scan in tasks of about ``size`` bytes where its splits are smaller, but not fewer than the cores.
 
     For operators that work once on what repeats within a task; nothing is shuffled.
     """
     spark = scan.sparkSession
-    found = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(found[-1:], 1)
-    split = int(found.rstrip("kmg")) * unit
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     now = scan.rdd.getNumPartitions()
     least = max(-(-now * split // size), min(now, spark.sparkContext.defaultParallelism))
     return scan.coalesce(least) if least < now else scan

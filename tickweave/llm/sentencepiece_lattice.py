@@ -26,22 +26,23 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 #: Most entries of a vocabulary that is broadcast; longest piece (bits of ``bad``).
 MOST_PIECES, MOST_LENGTH = 1_000_000, 62
 NEVER = 2**31 - 1
-#: Stretches, and characters of them, that a task knows at a time; then it starts anew.
-HELD_STRETCHES, HELD_CHARS = 500_000, 16_000_000
+#: Stretches, and characters of them, that a task knows at a time; then it starts anew. Most of them in a dictionary.
+HELD_STRETCHES, HELD_CHARS, RECENT = 1_000_000, 32_000_000, 50_000
 #: Characters of a row that is exploded; ends of a block that is folded at a time.
 WINDOW, BLOCK = 128, 256
 #: Text read, edges grouped, and ids written, at a time.
-SLICE_CHARS, GROUP_EDGES, SLICE_IDS = 1 << 20, 50_000, 1 << 20
+SLICE_CHARS, GROUP_EDGES, SLICE_IDS = 1 << 18, 40_000, 1 << 19
 #: Base of the polynomial hash by which a task tells stretches apart (modulo 2**64).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,7 +132,9 @@ class _Held:
     """Number of each stretch by its 64-bit hash, in order of appearance; ``new`` are those not yet passed on."""
 
     def __init__(self):
-        self.numbers, self.new, self.chars = {}, [], 0
+        self.new, self.count, self.chars = [], 0, 0
+        self.recent: dict[int, int] = {}  # joins the sorted arrays once there are many
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int32)
 
     def of(self, text: str, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Numbers of the stretches of a text that begin at ``starts``."""
@@ -139,18 +142,29 @@ class _Held:
         place = np.arange(len(points)) - np.repeat(starts, sizes)
         power = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))
         hashes = np.add.reduceat((points + np.uint64(1)) * power[place], starts) ^ (sizes.astype(np.uint64) << np.uint64(40))
-        codes, found = pd.factorize(hashes)
+        coded = pa.array(hashes).dictionary_encode()
+        codes, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         first = np.empty(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        numbers, out = self.numbers, np.empty(len(found), np.int32)
-        for i, h in enumerate(found.tolist()):
-            number = numbers.get(h)
+        at = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == found if len(self.hashes) else np.zeros(len(found), bool)
+        out = np.empty(len(found), np.int32)
+        out[known] = self.numbers[at[known]]
+        rest = np.flatnonzero(~known)
+        for i, h in zip(rest.tolist(), found[rest].tolist()):
+            number = self.recent.get(h)
             if number is None:
-                numbers[h] = number = len(numbers)
-                at, size = int(starts[first[i]]), int(sizes[first[i]])
-                self.new.append((number, text[at : at + size]))
+                self.recent[h] = number = self.count
+                self.count += 1
+                begin, size = int(starts[first[i]]), int(sizes[first[i]])
+                self.new.append((number, text[begin : begin + size]))
                 self.chars += size
             out[i] = number
+        if len(self.recent) > RECENT:
+            merged = np.concatenate([self.hashes, np.fromiter(self.recent.keys(), np.uint64)])
+            numbers = np.concatenate([self.numbers, np.fromiter(self.recent.values(), np.int32)])
+            order = np.argsort(merged)
+            self.hashes, self.numbers, self.recent = merged[order], numbers[order], {}
         return out[codes]
 
 
@@ -203,7 +217,7 @@ def _read(bonds, longest: int):
             for i, size in enumerate(sizes.tolist()):
                 chars += size
                 if chars > SLICE_CHARS or i + 1 == len(sizes):
-                    if len(held.numbers) > HELD_STRETCHES or held.chars > HELD_CHARS:
+                    if held.count > HELD_STRETCHES or held.chars > HELD_CHARS:
                         held = _Held()
                     done = _numbered(held, ids[begin : i + 1], [t or "" for t in texts.slice(begin, i + 1 - begin).to_pylist()], bonds.value)
                     yield _read_batch(held.new, done, longest)
@@ -423,6 +437,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     its documents, a text without any cut at worst; work is linear in it. Each task encodes
     a stretch once, so fewer, larger tasks have less to do.
     """
+    small_batches(docs.sparkSession)
     table = Pieces(path)
     longest, context = table.longest, docs.sparkSession.sparkContext
     pieces = docs.sparkSession.createDataFrame(table.rows, "piece string, piece_id int")
@@ -456,11 +471,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return placed.select(F.col("id").alias(id_col), "ids", "text_crc32")
 
 
-def _decoded(table):
+def _decoded(table, ids_col: str):
     def run(batches):
         spelled, first, count = table.value
         for batch in batches:
-            column = batch.column("ids")
+            column = batch.column("row").field(ids_col)
             ids, lengths = _flat(column)
             begin, until = 0, np.cumsum(lengths)
             while begin < len(lengths):
@@ -492,6 +507,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     count = np.array([len(p) for p in pieces], np.int64)
     table = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(count) - count, count
     plain = encoded.drop("decoded")
-    packed = plain.select(F.col(ids_col).alias("ids"), F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"))
+    packed = plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"))
     schema = packed.select("row").schema.add("decoded", "string")
-    return packed.mapInArrow(_decoded(encoded.sparkSession.sparkContext.broadcast(table)), schema).select("row.*", "decoded")
+    return packed.mapInArrow(_decoded(encoded.sparkSession.sparkContext.broadcast(table), ids_col), schema).select("row.*", "decoded")
