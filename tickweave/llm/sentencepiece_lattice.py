@@ -42,7 +42,7 @@ HELD_STRETCHES, HELD_CHARS, RECENT = 1_000_000, 32_000_000, 50_000
 #: Characters of a row that is exploded; ends of a block that is folded at a time.
 WINDOW, BLOCK = 128, 256
 #: Text read, edges grouped, and ids written, at a time.
-SLICE_CHARS, GROUP_EDGES, SLICE_IDS = 1 << 18, 40_000, 1 << 19
+SLICE_CHARS, GROUP_EDGES, SLICE_IDS = 1 << 17, 30_000, 1 << 17
 #: Base of the polynomial hash by which a task tells stretches apart (modulo 2**64).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
