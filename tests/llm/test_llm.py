@@ -258,6 +258,98 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs(spark, [(1, "a")]), toxicity.fit(train.limit(0))).collect()} == {0.5}
 
 
+def _plain_buckets(text):
+    """Buckets of words, pairs and skip-pairs by whole-number arithmetic."""
+    import xxhash
+
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    h, prime, most = [xxhash.xxh64_intdigest(w) for w in words], 0x9E3779B97F4A7C15, 2**64
+    grams = h + [((a * prime) % most) ^ (b + 1) % most for a, b in zip(h, h[1:])] + [((a * prime) % most) ^ (b + 2) % most for a, b in zip(h, h[2:])]
+    return {(g * prime % most) >> 44 for g in grams}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    """The fit and the scores against follow-the-regularised-leader over dictionaries."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice(["ab", "Cd", "e-f", "gé", "h1"]) for _ in range(rng.randint(0, 9))) + (" bad" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    order = {r.doc_id: r.h for r in train.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    samples = [(sorted(_plain_buckets(t)) + ["bias"], y) for i, t, y in sorted(rows, key=lambda r: order[r[0]])]
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[k]) - z[k]) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for at in np.random.default_rng(epoch).permutation(len(samples)):
+            keys, label = samples[at]
+            w = {k: weight(k) for k in keys}
+            gap = (1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - label) * (toxicity.TOXIC_WEIGHT if label else 1)
+            for k in keys:
+                before = n.get(k, 0.0)
+                n[k] = before + gap * gap
+                z[k] = z.get(k, 0.0) + gap - (math.sqrt(n[k]) - math.sqrt(before)) / toxicity.ALPHA * w[k]
+    plain = {toxicity.BIAS if k == "bias" else k: weight(k) for k in z if weight(k)}
+    fitted = toxicity.fit(train)
+    found = {r.bucket: r.weight for r in fitted.collect()}
+    assert plain and set(found) == set(plain) and all(abs(found[k] - plain[k]) < 1e-9 for k in plain)
+    for r in toxicity.score(train.select("doc_id", "text"), fitted).collect():
+        total = plain.get(toxicity.BIAS, 0.0) + sum(plain.get(k, 0.0) for k in _plain_buckets(r.text))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+    nested = train.select(F.struct("doc_id", "text").alias("doc"))
+    assert {r.doc.doc_id: r.score for r in toxicity.score(nested, fitted, ("doc", "text")).collect()} == {r.doc_id: r.score for r in toxicity.score(train, fitted).collect()}
+
+
+def test_language_equals_plain_backoff(spark):
+    """Predictions and scores against counts kept in dictionaries; more languages than 64, and words never seen."""
+    rng = random.Random(18)
+    words = {f"l{g:02}": ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(6)] for g in range(70)}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(8)), g) for i in range(700) for g in [f"l{i % 70:02}"]]
+    table, totals = {}, {}
+    for _, text, lang in rows:
+        for word in text.split():
+            padded = f" {word} "
+            for key in [(0, word)] + [(s, padded[i : i + s]) for s in range(1, langid.LONGEST + 1) for i in range(len(padded) - s + 1)]:
+                own = table.setdefault(key, {})
+                own[lang] = own.get(lang, 0) + 1
+                totals[lang, key[0]] = totals.get((lang, key[0]), 0) + 1
+    table = {k: {g: n for g, n in v.items() if n >= langid.LEAST} for k, v in table.items()}
+    table = {k: v for k, v in table.items() if v}
+    many = [sum(k[0] == s for k in table) for s in range(langid.LONGEST + 1)]
+
+    def score(word, lang):
+        padded = f" {word} "
+        for size in [0, *range(langid.LONGEST, 0, -1)]:
+            grams = [word] if size == 0 else [padded[i : i + size] for i in range(len(padded) - size + 1)]
+            known = [math.log((table[size, g].get(lang, 0) + langid.SMOOTH) / (totals.get((lang, size), 1) + langid.SMOOTH * (many[size] + 1))) for g in grams if (size, g) in table]
+            if known:
+                return sum(known) / len(known)
+        return 0.0
+
+    counts = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert counts.select("lang").distinct().count() == 70
+    asked = [(i, " ".join(rng.choice([*words[f"l{i % 70:02}"], "hgfedcba" * 8, "zzz", "abcx"]) for _ in range(rng.randint(1, 6)))) for i in range(100)]
+    out = {r.doc_id: r for r in langid.predict(docs(spark, asked), counts).collect()}
+    for i, text in asked:
+        totals_by = {g: sum(score(w, g) for w in text.split()) / max(1, len(text.split()) ** 0.5) for g in sorted(words)}
+        best = max(totals_by, key=lambda g: totals_by[g])
+        share = 1 / sum(math.exp(v - totals_by[best]) for v in totals_by.values())
+        assert abs(totals_by[out[i].lang_pred] - totals_by[best]) < 1e-9 and abs(out[i].score - share) < 1e-6
+
+
+def test_language_model_bounds_raise(spark, monkeypatch):
+    train = spark.createDataFrame([(i, "some words here", g) for i in range(8) for g in [f"l{i}"]], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LEAST", 1)
+    monkeypatch.setattr(langid, "MOST_ENTRIES", 5)
+    with pytest.raises(ValueError, match="more than 5 counts"):
+        langid.predict(train, langid.fit(train, entries=None))
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 7)
+    with pytest.raises(ValueError, match="more than 7 languages"):
+        langid.fit(train)
+
+
 def test_language(spark):
     rng = random.Random(8)
     words = {"xx": ["kala", "maja", "taevas", "puu"], "yy": ["strom", "zrcadlo", "prst", "vlk"]}
@@ -270,6 +362,16 @@ def test_language(spark):
     assert langid.predict(docs(spark, []), counts).count() == 0
 
 
+def test_packing_takes_the_whole_tokenizer_where_chunks_would_differ():
+    import public_tokenizers
+
+    assert isinstance(packing.ids_of(queries.word_tokenizer()), packing.ChunkIds)
+    spanning = packing.ids_of(public_tokenizers.path("byte_bpe_50k.json"))
+    assert isinstance(spanning, packing.WholeIds)
+    ids = spanning.tokenizer.encode("two  words", add_special_tokens=False).ids
+    assert spanning.of([b"two  words", None])[0].tolist() == [*ids, packing.END_ID] and spanning.of([None])[0].tolist() == [packing.END_ID]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -304,13 +406,13 @@ def test_packing(spark):
 
 def test_packing_cuts_are_the_cheapest(monkeypatch):
     monkeypatch.setattr(packing, "SEQUENCE", 16)
-    monkeypatch.setattr(packing, "POWERS", (4, 8))
+    monkeypatch.setattr(packing, "POWERS", (1, 2, 4, 8))
     rng = np.random.default_rng(10)
-    for _ in range(30):
+    for _ in range(200):
         places = np.cumsum(rng.integers(1, 6, 14))
         cost = rng.integers(0, 4, 14)
         at = [0, *places.tolist()]
-        pay = lambda n: 0 if n in (4, 8, 16) else 16 - n
+        pay = packing.padding
         best = [0.0] + [math.inf] * 14
         for i in range(1, 15):
             best[i] = min(best[j] + pay(at[i] - at[j]) + int(cost[i - 1]) + packing.SEQUENCE_COST for j in range(i) if at[i] - at[j] <= 16)

@@ -17,10 +17,25 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(ASCII_LOWER).split() if text else []
 
 
+def as_row(docs: DataFrame, *replaced: str) -> DataFrame:
+    """One column ``row`` that holds all columns but those to be replaced."""
+    plain = docs.drop(*replaced)
+    return plain.select(F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"))
+
+
+def field_of(batch, path: str | tuple[str, ...]):
+    """A column of the ``row`` structs of an Arrow batch, or one nested in its columns."""
+    column = batch.column("row")
+    for name in (path,) if isinstance(path, str) else path:
+        column = column.field(name)
+    return column
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is set once.
+    Where the session names none, a temporary folder is set once if the master is local;
+    on a cluster that folder would be the driver's own, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -30,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     own = context._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tickweave-"))
         own = context._jsc.sc().getCheckpointDir()
     return own.get()

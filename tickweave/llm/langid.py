@@ -3,8 +3,10 @@
 A word that the model knows scores its per-language log frequency. An unseen word backs off
 to its character n-grams, ``LONGEST`` letters first, and takes the first length at which any
 n-gram is known. The model comes from a bounded, hash-spread sample of the labelled rows of
-each language and keeps at most ``ENTRIES`` words and n-grams of each length per language,
-which bounds the broadcast.
+each language and keeps its ``ENTRIES`` most frequent words and n-grams of each length (None:
+all that the sample holds). Every labelled language is learned. The model is broadcast, so
+its size is checked: beyond ``MOST_ENTRIES`` counts the fit ends with an error instead of
+leaving anything out.
 """
 
 from __future__ import annotations
@@ -14,14 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import as_row, field_of, small_batches
+
 #: Most rows of a language (in expectation) that a fit reads; the sample is by hash of the id.
 SAMPLE_ROWS = 8_000
-#: Most words, and most n-grams of each length, kept of a language; most languages.
-ENTRIES, LANGUAGES = 12_000, 64
+#: Words, and n-grams of each length, kept of a language (the most frequent ones; None keeps all).
+ENTRIES: int | None = 12_000
+#: Most counts of a model that is broadcast (about 100 bytes each), and most languages of a plan.
+MOST_ENTRIES, MOST_LANGUAGES = 6_000_000, 2_000
 LONGEST = 5
 #: Added to each count, and the count below which a word or n-gram is left out.
 SMOOTH, LEAST = 0.5, 2
-CACHE = 200_000
+#: Bytes of known words' scores, and counts, that a task holds.
+CACHE_BYTES, CACHE_COUNTS = 16 << 20, 60_000
 UNKNOWN = "und"
 
 #: ASCII marks, digits and controls become spaces; letters and all longer characters stay.
@@ -59,29 +66,41 @@ def _count(batches):
                 for size in range(1, LONGEST + 1):
                     for gram in grams_of(word, size):
                         counts[lang, size, gram] += n
-                if len(counts) > 200_000:
+                if len(counts) > CACHE_COUNTS:
                     yield out(counts)
                     counts.clear()
             if counts:
                 yield out(counts)
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts ``lang, size, gram, n, total`` (size 0: words); rows without text or language are left out."""
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int | None = ENTRIES) -> DataFrame:
+    """Counts ``lang, size, gram, n, total`` (size 0: words); rows without text or language are left out.
+
+    More than ``MOST_LANGUAGES`` languages, or a model of more than ``MOST_ENTRIES`` counts
+    (seen when it is used), are an error.
+    """
+    small_batches(train.sparkSession)
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    sizes = rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return train.sparkSession.createDataFrame([], "lang string, size int, gram string, n bigint, total bigint")
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1 << 30, int(SAMPLE_ROWS / r[1] * (1 << 30))))])
+    shares = train.sparkSession.createDataFrame([(r[0], min(1 << 30, int(SAMPLE_ROWS / r[1] * (1 << 30)))) for r in sizes], "lang string, share bigint")
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30))
-    sample = rows.where(spot < share[F.col(lang_col)]).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    own = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), spot.alias("spot"))
+    sample = own.join(F.broadcast(shares), "lang").where("spot < share").select("text", "lang")  # one row per language
     counts = (
         sample.mapInArrow(_count, "lang string, size int, gram string, n bigint")
         .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     )
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    top = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    return counts.where(F.col("n") >= LEAST).withColumn("place", top).where(F.col("place") <= ENTRIES).drop("place").join(totals, ["lang", "size"])
+    kept = counts.where(F.col("n") >= LEAST)
+    if entries is not None:
+        # the sample's n-grams of one language and length, bounded by SAMPLE_ROWS
+        top = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
+        kept = kept.withColumn("place", top).where(F.col("place") <= entries).drop("place")
+    return kept.join(totals, ["lang", "size"])
 
 
 def tables_of(rows: list[tuple]) -> tuple[list, list, list]:
@@ -118,24 +137,25 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def _predict(tables):
+def _predict(tables, text_col):
     def run(batches):
         own = Model(*tables.value)
-        rows = np.zeros((CACHE, max(1, len(own.langs))))
+        most = max(1_000, CACHE_BYTES // (8 * max(1, len(own.langs)) + 150))  # words held, with their scores
+        rows = np.zeros((most, max(1, len(own.langs))))
         seen: dict[bytes, int] = {}
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column("text").to_pylist():
+            for text in field_of(batch, text_col).to_pylist():
                 words = words_of(text)
                 if not own.langs or not any(map(str.isalpha, text or "")):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
                 total = np.zeros(len(own.langs))
-                for begin in range(0, len(words), CACHE // 2):
-                    part = words[begin : begin + CACHE // 2]
+                for begin in range(0, len(words), most // 2):
+                    part = words[begin : begin + most // 2]
                     new = [w for w in set(part) if w not in seen]
-                    if len(seen) + len(new) > CACHE:
+                    if len(seen) + len(new) > most:
                         seen.clear()
                         new = set(part)
                     for w in new:
@@ -152,17 +172,20 @@ def _predict(tables):
     return run
 
 
-def predict(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, counts: DataFrame, text_col: str | tuple[str, ...] = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced.
 
-    ``score`` is the predicted language's share of a softmax over the words' summed log
-    frequencies, divided by the root of their number. Texts that are null or hold no letter
-    get ``und`` and 0; so does every text if nothing was learned. Ties go to the language
-    that sorts first. Repeated rows are predicted alike; an empty table stays empty.
+    ``text_col`` is a column, or the path of a field in one. ``score`` is the predicted
+    language's share of a softmax over the words' summed log frequencies, divided by the root
+    of their number. Texts that are null or hold no letter get ``und`` and 0; so does every
+    text if nothing was learned. Ties go to the language that sorts first. Repeated rows are
+    predicted alike; an empty table stays empty.
     """
-    # at most LANGUAGES * (LONGEST + 1) * ENTRIES rows, whatever the corpus
-    tables = tables_of([tuple(r) for r in counts.select("lang", "size", "gram", "n", "total").collect()])
-    plain = docs.drop("lang_pred", "score")
-    packed = plain.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"))
+    small_batches(docs.sparkSession)
+    found = counts.select("lang", "size", "gram", "n", "total").limit(MOST_ENTRIES + 1).collect()
+    if len(found) > MOST_ENTRIES:
+        raise ValueError(f"a model of more than {MOST_ENTRIES} counts; fit with fewer entries")
+    tables = tables_of([tuple(r) for r in found])
+    packed = as_row(docs, "lang_pred", "score")
     schema = packed.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return packed.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(tables)), schema).select("row.*", "lang_pred", "score")
+    return packed.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(tables), text_col), schema).select("row.*", "lang_pred", "score")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import cut, small_batches, words_of
 from .graph import connected_components
 
 COORDINATES = 48
@@ -37,7 +37,7 @@ SHORT_LIST = 64
 #: Rows, and shingles in all, of a block of a long posting list.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Word hashes kept in a task.
-CACHE = 400_000
+CACHE = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,6 +200,7 @@ def near_duplicates(
     Other columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     num, den = similarity
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = cut(texts.mapInArrow(_signatures(width), "id bigint, n bigint, digest binary, sig array<int>"))
     classes = cut(

@@ -5,8 +5,8 @@ cuts it into windows of at most ``SEQUENCE`` tokens. Cuts lie at document ends (
 sentence ends (``SENTENCE_CUT`` per cut) or, in a run of tokens without either, at fixed
 steps (``HARD_CUT``); a window is padded up to ``SEQUENCE`` unless its length is a power of
 two. The cheapest cuts are found over a horizon of ``HORIZON`` windows: padding is linear in
-the window's start, so the best start is the head of a monotone queue, and the few starts at
-a large power of two are looked up beside it. Nothing is shuffled and a task holds one
+the window's start, so the best start is the head of a monotone queue, and the starts at a
+power of two before a place are looked up beside it. Nothing is shuffled and a task holds one
 horizon and one document, so a lost task is simply run again with the same result.
 """
 
@@ -24,17 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SEQUENCE = 2048
 HORIZON = 64
 #: Penalties and the cost of one more sequence, in tokens of padding.
 SENTENCE_CUT, HARD_CUT, SEQUENCE_COST = 2, 24, 4
-#: Window lengths below SEQUENCE that need no padding and are looked up.
-POWERS = (512, 1024)
+#: Window lengths below SEQUENCE that need no padding.
+POWERS = tuple(1 << i for i in range(SEQUENCE.bit_length() - 1))
 #: Longest run of tokens without a place to cut.
 HARD_STEP = 256
 END_ID = 1
 #: White-space-free chunks whose ids a task keeps; bytes of text that are split at once.
-CACHE, SLICE = 400_000, 1 << 20
+CACHE, SLICE = 120_000, 1 << 19
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -119,14 +121,31 @@ class ChunkIds:
         return [np.frombuffer(b"".join([known[c] for c in s]) + end, "<u4") for s in split]
 
 
-def _kept_ids(path: str) -> ChunkIds:
-    """The chunk table of this Python worker, which outlives the task."""
-    import tokenizers
+#: Texts on which chunk-wise ids must equal the tokenizer's own, or the whole tokenizer is used.
+PROBES = ("A bc, d'ef!\tGhi\n\njk  L-m 12 3.", "(\u00c9t\u00e9) \u00fcber-Na\u00efve; it's caf\u00e9...", "x  y\r\nz \u65e5\u672c \u2603 <|endoftext|>")
+
 
-    kept = tokenizers.__dict__.setdefault("_chunk_ids", {})
-    if path not in kept:
-        kept[path] = ChunkIds(load_tokenizer(path))
-    return kept[path]
+class WholeIds:
+    """Token ids of texts by a tokenizer that may look across white space."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array([*f.ids, END_ID], "<u4") for f in found]
+
+
+def ids_of(path: str) -> ChunkIds | WholeIds:
+    whole, chunks = WholeIds(load_tokenizer(path)), ChunkIds(load_tokenizer(path))
+    probes = [p.encode() for p in PROBES]
+    words = (t.removesuffix("</w>") for t in whole.tokenizer.get_vocab())
+    spans = any(c.isspace() or c in "\u0120\u2581" for w in words if len(w) > 1 for c in w)
+    try:
+        same = not spans and all(np.array_equal(a, b) for a, b in zip(whole.of(probes), chunks.of(probes)))
+    except Exception:  # a model without chunk-wise access
+        same = False
+    return chunks if same else whole
 
 
 def cut_places(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +174,12 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, last: bool) -> list[int
     Not ``last``: the end stays open, and cuts are given up to the best one within the last window.
     """
     at = np.concatenate([[0], places])
-    powers = []  # by power, the start at that distance before each place, or -1
+    exact: dict[int, list[int]] = {}  # by place, the starts at a power of two before it
     for length in POWERS:
         j = np.minimum(np.searchsorted(at, at - length), len(at) - 1)
-        powers.append(np.where(at[j] == at - length, j, -1).tolist())
+        hit = np.flatnonzero(at[j] == at - length)
+        for i, start in zip(hit.tolist(), j[hit].tolist()):
+            exact.setdefault(i, []).append(start)
     pos, pen = at.tolist(), [0, *penalties.tolist()]
     cost, back, key = [0] * len(pos), [0] * len(pos), [0] * len(pos)
     queue: deque[int] = deque([0])  # starts by rising cost + place
@@ -170,9 +191,8 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, last: bool) -> list[int
             queue.popleft()
         j = queue[0]
         best = key[j] - low
-        for starts in powers:
-            p = starts[i]
-            if p >= 0 and cost[p] < best:
+        for p in exact.get(i, ()):
+            if cost[p] < best:
                 best, j = cost[p], p
         best += pen[i] + SEQUENCE_COST
         cost[i], back[i] = best, j
@@ -245,8 +265,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _pack(path: str):
     def run(batches):
-        ids_of = _kept_ids(path)
-        tokenizer = ids_of.tokenizer
+        found = ids_of(path)
+        tokenizer = found.tokenizer
         packer = Packer(TaskContext.get().partitionId() << 36, sentence_ends(tokenizer))
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
@@ -256,7 +276,7 @@ def _pack(path: str):
                 if size >= SLICE or i + 1 == len(texts):
                     keys = batch.column("doc_id").slice(begin, i + 1 - begin).to_pylist()
                     rows: list[tuple] = []
-                    for key, ids in zip(keys, ids_of.of(texts.slice(begin, i + 1 - begin).to_pylist())):
+                    for key, ids in zip(keys, found.of(texts.slice(begin, i + 1 - begin).to_pylist())):
                         rows += packer.add(key, ids)
                     size, begin = 0, i + 1
                     if rows:
@@ -276,5 +296,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     null ``doc_id``, repeated rows are packed each, other columns are ignored, and an empty
     table gives an empty result. Documents keep the order in which the table stores them
     within a partition; each partition begins a sequence of its own.
+
+    The cuts are the cheapest ones of each horizon of ``HORIZON`` windows at document ends,
+    sentence ends and, in runs of more than ``HARD_STEP`` tokens without either, at steps of
+    ``HARD_STEP``; a longer horizon or a finer step could only save padding at their seams.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pack(tokenizer_path), PIECES)

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_row, field_of, small_batches
+
 BUCKETS = 1 << 20
 #: Most labelled rows (in expectation) that a fit reads; the sample is by hash of the id.
 SAMPLE_ROWS = 16_000
@@ -22,7 +24,7 @@ SAMPLE_ROWS = 16_000
 EPOCHS, TOXIC_WEIGHT = 3, 3.0
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 16.0, 0.0
 THRESHOLD = 0.7
-CACHE = 400_000
+CACHE = 100_000
 BIAS = BUCKETS
 
 #: ASCII letters in lower case, other bytes of words as they are, all else a space.
@@ -73,11 +75,21 @@ def ftrl(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return _weights(z, n)
 
 
-def _fit_sample(table: pa.Table) -> pa.Table:
+def _features(batches):
+    """Distinct buckets of each text instead of the text."""
     hashes = _Hashes()
-    table = table.sort_by("order")
-    texts, labels = table.column("text").cast(pa.binary()).to_pylist(), table.column("toxic").to_pylist()
-    rows = [(np.append(np.unique(feature_ids(t, hashes)), BIAS).astype(np.int32), y) for t, y in zip(texts, labels)]
+    for batch in batches:
+        found = [np.unique(feature_ids(t, hashes)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        buckets = pa.array(found, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), buckets], names=["order", "toxic", "buckets"])
+
+
+def _fit_sample(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("order", "ascending"), ("toxic", "ascending")])
+    rows = [
+        (np.append(np.asarray(b, np.int32), np.int32(BIAS)), y)
+        for b, y in zip((x.values.to_numpy() for x in table.column("buckets")), table.column("toxic").to_pylist())
+    ]
     w = ftrl(rows)
     at = np.flatnonzero(w)
     return pa.table({"bucket": pa.array(at, pa.int32()), "weight": pa.array(w[at], pa.float64())})
@@ -85,17 +97,20 @@ def _fit_sample(table: pa.Table) -> pa.Table:
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Sparse weights ``bucket, weight`` from labelled rows; null labels and texts are left out."""
+    small_batches(train.sparkSession)
     rows = train.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     found = rows.count()
     kept = min(1.0, SAMPLE_ROWS / max(found, 1))
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1 << 30))
     sample = rows.where(spot < int(kept * (1 << 30))).select(
-        F.lit(0).alias("sample"), F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.xxhash64(F.col(id_col)).alias("order")
+        F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("toxic"), F.xxhash64(F.col(id_col)).alias("order")
     )
-    return sample.groupBy("sample").applyInArrow(_fit_sample, "bucket int, weight double")
+    # the one task that fits gets integers, at most SAMPLE_ROWS rows (in expectation) of at most BUCKETS
+    features = sample.mapInArrow(_features, "order bigint, toxic int, buckets array<int>")
+    return features.groupBy(F.lit(0).alias("sample")).applyInArrow(_fit_sample, "bucket int, weight double")
 
 
-def _score(weights):
+def _score(weights, text_col):
     def run(batches):
         at, value = weights.value
         dense = np.zeros(BUCKETS + 1)
@@ -104,7 +119,7 @@ def _score(weights):
         bias, hashes = dense[BIAS], _Hashes()
         for batch in batches:
             out = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for text in field_of(batch, text_col).cast(pa.binary()).to_pylist():
                 ids = feature_ids(text, hashes)
                 total = bias + dense[np.unique(ids[live[ids]])].sum()
                 out.append(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))
@@ -113,16 +128,16 @@ def _score(weights):
     return run
 
 
-def score(docs: DataFrame, weights: DataFrame, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: DataFrame, text_col: str | tuple[str, ...] = "text") -> DataFrame:
     """``docs`` with a column ``score`` in 0 to 1, higher for label 1.
 
-    Null and empty texts hold the bias alone. A column ``score`` that is there already is
-    replaced; repeated rows score alike; an empty table gives an empty result; without any
-    labelled row every score is 0.5.
+    ``text_col`` is a column, or the path of a field in one. Null and empty texts hold the
+    bias alone. A column ``score`` that is there already is replaced; repeated rows score
+    alike; an empty table gives an empty result; without any labelled row every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     rows = weights.collect()  # at most BUCKETS + 1 rows, whatever the corpus
     table = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)))
-    plain = docs.drop("score")
-    renamed = plain.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in plain.columns]).alias("row"))
-    schema = renamed.select("row").schema.add("score", "double")
-    return renamed.mapInArrow(_score(table), schema).select("row.*", "score")
+    packed = as_row(docs, "score")
+    schema = packed.select("row").schema.add("score", "double")
+    return packed.mapInArrow(_score(table, text_col), schema).select("row.*", "score")
