@@ -23,14 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; fitted on the labelled ones."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     weights = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
-    score = toxicity.score(docs.select(F.struct("*").alias("doc"), F.col("text")), weights)
+    score = toxicity.score(docs.select(F.struct("*").alias("doc")), weights, ("doc", "text"))
     return score.where(F.col("score") < toxicity.THRESHOLD).select("doc.*")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; fitted on the documents' own ``lang``."""
     counts = langid.fit(docs.select("doc_id", "text", "lang"))
-    found = langid.predict(docs.select(F.struct("*").alias("doc"), F.col("text")), counts)
+    found = langid.predict(docs.select(F.struct("*").alias("doc")), counts, ("doc", "text"))
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return found.where(sure).select("doc.*")
 
