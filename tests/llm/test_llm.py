@@ -362,12 +362,23 @@ def test_language(spark):
     assert langid.predict(docs(spark, []), counts).count() == 0
 
 
+def test_packing_remembers_chunks_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20)
+    tokenizer = packing.load_tokenizer(queries.word_tokenizer())
+    rng = random.Random(12)
+    chunks = packing.ChunkIds(tokenizer)
+    for _ in range(40):
+        text = " ".join(rng.choice(["often", "Again,"]) if rng.random() < 0.5 else f"rare{rng.randrange(500)}x" for _ in range(30))
+        assert chunks.of([text.encode()])[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert len(chunks.known) <= 60 and len(chunks.before) <= 60
+
+
 def test_packing_takes_the_whole_tokenizer_where_chunks_would_differ():
     import public_tokenizers
 
-    assert isinstance(packing.ids_of(queries.word_tokenizer()), packing.ChunkIds)
-    spanning = packing.ids_of(public_tokenizers.path("byte_bpe_50k.json"))
-    assert isinstance(spanning, packing.WholeIds)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.splits_at_spaces(queries.word_tokenizer()) and not packing.splits_at_spaces(path)
+    spanning = packing.WholeIds(packing.load_tokenizer(path))
     ids = spanning.tokenizer.encode("two  words", add_special_tokens=False).ids
     assert spanning.of([b"two  words", None])[0].tolist() == [*ids, packing.END_ID] and spanning.of([None])[0].tolist() == [packing.END_ID]
 

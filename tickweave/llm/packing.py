@@ -36,7 +36,7 @@ POWERS = tuple(1 << i for i in range(SEQUENCE.bit_length() - 1))
 HARD_STEP = 256
 END_ID = 1
 #: White-space-free chunks whose ids a task keeps; bytes of text that are split at once.
-CACHE, SLICE = 120_000, 1 << 19
+CACHE, SLICE = 150_000, 1 << 19
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -73,14 +73,18 @@ class ChunkIds:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.tails = tokenizer, {}, {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.tokenizer, self.tails = tokenizer, {"": b""}
+        # of each table a full generation is set aside, from which what is met again comes back
+        self.known, self.before = {}, {}
+        self.words, self.words_before = {}, {}
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+            found = self.words_before.get(word)
+            if found is None:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
             self.words[word] = found
         return found
 
@@ -93,13 +97,15 @@ class ChunkIds:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(chunks)
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
         if len(self.words) > CACHE:
-            self.words.clear()
+            self.words_before, self.words = self.words, {}
+        known, before = self.known, self.before
+        back = chunks & before.keys()
+        for chunk in back:
+            known[chunk] = before.pop(chunk)
+        new = [c for c in chunks if c not in known]
         if len(self.tails) > 1000:
             self.tails = {"": b""}
         for chunk in new:
@@ -136,16 +142,17 @@ class WholeIds:
         return [np.array([*f.ids, END_ID], "<u4") for f in found]
 
 
-def ids_of(path: str) -> ChunkIds | WholeIds:
-    whole, chunks = WholeIds(load_tokenizer(path)), ChunkIds(load_tokenizer(path))
+def splits_at_spaces(path: str) -> bool:
+    """Whether the ids of a text are those of its white-space-free chunks."""
+    tokenizer = load_tokenizer(path)
+    whole, chunks = WholeIds(tokenizer), ChunkIds(tokenizer)
     probes = [p.encode() for p in PROBES]
     words = (t.removesuffix("</w>") for t in whole.tokenizer.get_vocab())
     spans = any(c.isspace() or c in "\u0120\u2581" for w in words if len(w) > 1 for c in w)
     try:
-        same = not spans and all(np.array_equal(a, b) for a, b in zip(whole.of(probes), chunks.of(probes)))
+        return not spans and all(np.array_equal(a, b) for a, b in zip(whole.of(probes), chunks.of(probes)))
     except Exception:  # a model without chunk-wise access
-        same = False
-    return chunks if same else whole
+        return False
 
 
 def cut_places(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,10 +270,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def _pack(path: str):
+def _pack(path: str, by_chunks: bool):
     def run(batches):
-        found = ids_of(path)
-        tokenizer = found.tokenizer
+        tokenizer = load_tokenizer(path)
+        found = (ChunkIds if by_chunks else WholeIds)(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 36, sentence_ends(tokenizer))
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
@@ -302,4 +309,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ``HARD_STEP``; a longer horizon or a finer step could only save padding at their seams.
     """
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pack(tokenizer_path), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pack(tokenizer_path, splits_at_spaces(tokenizer_path)), PIECES)

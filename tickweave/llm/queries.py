@@ -79,7 +79,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer())
+    return packing.pack(larger_tasks(read(spark, sf_dir, "documents")), word_tokenizer())
 
 
 QUERIES = {
