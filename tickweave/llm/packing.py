@@ -109,6 +109,9 @@ class ChunkIds:
         if len(self.tails) > 1000:
             self.tails = {"": b""}
         for chunk in new:
+            if chunk.isalpha():  # ASCII letters alone
+                known[chunk] = self._word(chunk.lower().decode())
+                continue
             text = chunk.decode()
             head = text.lstrip(PUNCTUATION)
             core = head.rstrip(PUNCTUATION)
