@@ -122,7 +122,7 @@ def last_tick_wins(spark: S, d: str) -> DataFrame:
     return dedupe.last_wins(rows, ["market", "sec"], "source_row").select("market", "sec", F.round("price", 9).alias("price"), "source_row")
 
 
-LAST_TICK_WINS = """WITH r AS (SELECT event_type AS market, (floor(epoch(ts))::BIGINT // 3600) * 3600 AS sec, value / 500 AS price, event_id AS source_row FROM events WHERE event_id % 2 = 0)
+LAST_TICK_WINS = """WITH r AS (SELECT event_type AS market, (floor(epoch(ts))::BIGINT // 3600) * 3600 AS sec, value / 500 AS price, event_id AS source_row FROM events)
 SELECT market, sec, round(arg_max(price, source_row), 9) AS price, max(source_row) AS source_row FROM r GROUP BY ALL"""
 
 

@@ -11,9 +11,9 @@ _BASE = "event_type AS market, user_id AS wallet, floor(epoch(ts))::BIGINT AS se
 T = f"""t AS (
   SELECT event_id, {_BASE}, CASE WHEN event_id % 3 <> 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN user_id % 2 = 0 THEN 'YES' ELSE 'NO' END AS outcome,
     CASE WHEN (event_id % 3 <> 0) = (user_id % 2 = 0) THEN 1 ELSE -1 END AS direction
-  FROM events WHERE event_id % 2 = 1)"""
+  FROM events)"""
 K = f"""k AS (
-  SELECT market, sec, arg_max(price, event_id) AS price FROM (SELECT event_id, {_BASE} FROM events WHERE event_id % 2 = 0) GROUP BY market, sec)"""
+  SELECT market, sec, arg_max(price, event_id) AS price FROM (SELECT event_id, {_BASE} FROM events) GROUP BY market, sec)"""
 A = """a AS (
   SELECT market, wallet, wallet || '-' || (sec // 21600) AS action, min(sec) AS sec, sum(value * direction) AS net, sum(value) AS gross,
     sum(value * price) / sum(value) AS price, count(*) AS n_trades, sign(sum(value * direction))::INT AS direction

@@ -1,7 +1,7 @@
 """Inputs: files as tables with declared schemas, and trades and ticks bound to an event table.
 
-``trades`` and ``ticks`` read only the columns named here, so the scan is pruned; filters on
-them reach the Parquet reader.
+Every event is bound as a trade and as a tick of its market. ``trades`` and ``ticks`` read only
+the columns named here, so the scan is pruned; filters on them reach the Parquet reader.
 """
 
 from __future__ import annotations
@@ -52,10 +52,10 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
 
     side = F.when(F.col("event_id") % 3 != 0, "BUY").otherwise("SELL")
     outcome = F.when(F.col("wallet") % 2 == 0, "YES").otherwise("NO")
-    found = _bound(spark, folder).where("event_id % 2 = 1").withColumns({"side": side, "outcome": outcome})
+    found = _bound(spark, folder).withColumns({"side": side, "outcome": outcome})
     return found.withColumn("direction", direction("side", "outcome"))
 
 
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """``market, sec, price, source_row``: one row per tick, in source order by ``source_row``."""
-    return _bound(spark, folder).where("event_id % 2 = 0").select("market", "sec", "price", F.col("event_id").alias("source_row"))
+    return _bound(spark, folder).select("market", "sec", "price", F.col("event_id").alias("source_row"))
