@@ -65,3 +65,15 @@ def unordered_pair(a: Column, b: Column) -> Column:
     """A key that is the same for both orders of two names, blanks and case aside."""
     tidy = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
     return F.array_join(F.array_sort(F.array(tidy(a), tidy(b))), "|")
+
+
+def clipped(p: Column, edge: float = 1e-6) -> Column:
+    return F.greatest(F.lit(edge), F.least(F.lit(1 - edge), p))
+
+
+def logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
+def cloglog(p: Column) -> Column:
+    return F.log(-F.log(1 - p))

@@ -38,6 +38,17 @@ def average_precision(rows: DataFrame, score: str, label: str, by: list[str] | N
     return run.groupBy(*by).agg((F.sum(F.col("_tp") / F.col("_all") * F.col("_p")) / F.sum("_p")).alias("ap"))
 
 
+def roc_auc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """``auc``: probability that a row of label 1 scores above one of label 0, ties counting half.
+
+    Rows are first counted per distinct score, so the window holds one row per score.
+    """
+    cells = rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    run = cells.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return run.groupBy(*by).agg((F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)) / (F.sum("_p") * F.sum("_n"))).alias("auc"))
+
+
 def f1_threshold(rows: DataFrame, score: str, label: str, steps: int = 97) -> float:
     """The score quantile with the best F1, ties to the lower one, from one count per candidate."""
     qs = [(i + 1) / (steps + 1) for i in range(steps)]

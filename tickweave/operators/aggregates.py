@@ -76,3 +76,21 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measure: str,
     both = left.select(*keys, F.col(measure).alias("left_value")).join(right.select(*keys, F.col(measure).alias("right_value")), keys, "full")
     off = F.abs(F.col("left_value") - F.col("right_value")) > tolerance
     return both.where(F.col("left_value").isNull() | F.col("right_value").isNull() | off)
+
+
+def threshold_panel(trades: DataFrame, limits: DataFrame, names: dict[str, str], grain: int = GRAIN) -> DataFrame:
+    """Counts, wallets, gross and net of large and ordinary trades under several limits of the day.
+
+    ``names`` maps the prefix of a limit's columns to its column in ``limits``. Sums are first
+    taken per wallet, so distinct wallets are counted without a copy of the rows per limit.
+    """
+    at = with_bucket(trades, grain).join(limits.select("market", "dy", *names.values()), ["market", "dy"], "left")
+    signed = F.col("value") * F.col("direction")
+    kinds = [(f"{p}_{k}", F.col("value") >= F.col(q) if k == "large" else F.col("value") < F.col(q)) for p, q in names.items() for k in ("large", "ordinary")]
+    pick = lambda c, x: F.sum(F.when(c, x).otherwise(F.lit(0)))
+    own = at.groupBy("market", "bucket", "wallet").agg(
+        *[a for n, c in kinds for a in (pick(c, F.lit(1)).alias(f"{n}_count"), pick(c, F.col("value")).alias(f"{n}_gross"), pick(c, signed).alias(f"{n}_net"))]
+    )
+    return own.groupBy("market", "bucket").agg(
+        *[a for n, _ in kinds for a in (*[F.sum(f"{n}_{v}").alias(f"{n}_{v}") for v in ("count", "gross", "net")], F.sum(F.when(F.col(f"{n}_count") > 0, 1).otherwise(0)).alias(f"{n}_wallets"))]
+    )

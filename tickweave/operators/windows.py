@@ -89,3 +89,31 @@ def thinned(rows: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
     )
     kept = times.select(*keys, F.explode(fold).alias(time))
     return rows.join(kept, [*keys, time], "left_semi")
+
+
+def numbered(rows: DataFrame, blocks: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` numbered from 1 in the order of ``blocks``, then ``order``.
+
+    Blocks are numbered within themselves; where a block begins comes from the counts, one row
+    per block, so no task sorts the whole table.
+    """
+    counts = rows.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"))
+    begin = F.coalesce(F.sum("_n").over(Window.orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy(*blocks).orderBy(*order))
+    return rows.withColumn("_place", within).join(counts.withColumn("_before", begin).drop("_n"), blocks).withColumn(name, F.col("_before") + F.col("_place")).drop("_before", "_place")
+
+
+def bisected(rows: DataFrame, key: str, time: str, widest: int, halvings: int, most: int) -> DataFrame:
+    """``key, begin, finish, n``: windows of ``widest`` seconds, halved (at most so often) while they hold more than ``most`` rows.
+
+    All levels are counted from the narrowest, so rows are shuffled once.
+    """
+    narrow = widest >> halvings
+    cells = rows.groupBy(key, F.floor(F.col(time) / narrow).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("_slot", halvings - i).alias("slot")) for i in range(halvings + 1)]))
+    counts = cells.select(key, "_n", levels.alias("_l")).groupBy(key, "_l.level", "_l.slot").agg(F.sum("_n").alias("n"))
+    full = counts.where(F.col("n") > most).select(key, (F.col("level") + 1).alias("level"), F.col("slot").alias("_up"))
+    found = counts.withColumn("_up", F.shiftright("slot", 1)).join(full.withColumn("_open", F.lit(True)), [key, "level", "_up"], "left")
+    width = narrow * F.pow(F.lit(2), F.lit(halvings) - F.col("level")).cast("long")
+    stays = ((F.col("level") == 0) | F.col("_open").isNotNull()) & ((F.col("n") <= most) | (F.col("level") == halvings))
+    return found.where(stays).select(key, (F.col("slot") * width).alias("begin"), ((F.col("slot") + 1) * width).alias("finish"), "n")
