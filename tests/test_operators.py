@@ -155,3 +155,63 @@ def test_isolation_finds_the_outlier(spark):
     data = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))] + [(999, 12.0, -12.0)]
     out = ev.isolation_scores(spark.createDataFrame(data, "k long, a double, b double"), "k", ["a", "b"], trees=30)
     assert out.orderBy(F.desc("score")).first().k == 999 and out.count() == 301
+
+
+def test_absorption_is_exact_and_guarded(spark):
+    rng = np.random.default_rng(31)
+    a, b, x, y = _sample(rng, 300)
+    a[:10], b[:10] = 50, 60  # a component of its own
+    rows = spark.createDataFrame([(i, int(p), int(q), float(u), float(v)) for i, (p, q, u, v) in enumerate(zip(a, b, x[:, 0], y))], "i long, a long, b long, x double, y double")
+    dummies = np.concatenate([(a[:, None] == np.unique(a)).astype(float), (b[:, None] == np.unique(b)).astype(float)], axis=1)
+    want = np.stack([v - dummies @ np.linalg.lstsq(dummies, v, rcond=None)[0] for v in (x[:, 0], y)], axis=1)
+    for found in (regression.absorb_exact(rows, ["x", "y"], "a", "b"), regression.demean(rows, ["x", "y"], ["a", "b"])):
+        got = np.array([(r.x, r.y) for r in found.orderBy("i").collect()])
+        assert np.abs(got - want).max() < 1e-7
+    with pytest.raises(ArithmeticError, match="after 2 rounds"):
+        regression.demean(rows, ["y"], ["a", "b"], rounds=2)
+    assert regression.absorb_exact(rows.limit(0), ["y"], "a", "b").count() == 0
+
+
+def test_absorption_and_bootstrap_bounds_raise(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 4, i % 3, float(i)) for i in range(24)], "a long, b long, y double")
+    monkeypatch.setattr(regression, "MOST_LEVELS", 2)
+    with pytest.raises(ValueError, match="more than"):
+        regression.absorb_exact(rows, ["y"], "a", "b")
+    monkeypatch.setattr(tests, "MOST_CLUSTERS", 3)
+    with pytest.raises(ValueError, match="more than 3 clusters"):
+        tests.cluster_bootstrap(rows, "a", "y", "y", draws=10)
+
+
+def test_singletons_go_until_none_is_left(spark):
+    rows = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (2, "q"), (3, "r"), (4, "r"), (4, "s")], "a long, b string")
+    assert {(r.a, r.b) for r in regression.without_singletons(rows, ["a", "b"]).collect()} == {(1, "p"), (1, "q"), (2, "p"), (2, "q")}
+
+
+def test_running_sums_by_blocks(spark):
+    rng = np.random.default_rng(32)
+    values = rng.permutation(500).astype(float) ** 2
+    rows = spark.createDataFrame([(float(v), int(i % 7)) for i, v in enumerate(values)], "v double, k long")
+    weight = {float(v): i % 7 for i, v in enumerate(values)}
+    for falling in (False, True):
+        for r in windows.running(rows, "v", {"before": "k"}, descending=falling, blocks=8).collect():
+            assert r.before == sum(k for v, k in weight.items() if (v > r.v if falling else v < r.v))
+
+
+@pytest.mark.parametrize("block", [2, 50_000])
+def test_permutation_has_the_law_of_permutations(spark, monkeypatch, block):
+    """Means and spreads of the drawn sums against the exact ones, with strata in one block and in several."""
+    monkeypatch.setattr(tests, "STRATUM_BLOCK", block)
+    rng = np.random.default_rng(33)
+    data = [(s, int(rng.random() < 0.4), float(rng.integers(0, 6))) for s in "ab" for _ in range(40)]
+    rows = spark.createDataFrame(data, "s string, l int, v double")
+    draws = [r.effect for r in tests.permutation(rows, "s", "l", "v", draws=2_000).where("draw >= 0").collect()]
+    assert len(draws) == 2_000
+    ones, n, total = sum(d[1] for d in data), len(data), sum(d[2] for d in data)
+    mean = spread = 0.0
+    for s in "ab":
+        v, k = np.array([d[2] for d in data if d[0] == s]), sum(d[1] for d in data if d[0] == s)
+        mean += k * v.mean()
+        spread += k * (1 - k / len(v)) * v.var(ddof=1)
+    scale = 1 / ones + 1 / (n - ones)
+    assert abs(np.mean(draws) - (mean * scale - total / (n - ones))) < 5 * (spread**0.5 * scale) / 2_000**0.5
+    assert np.std(draws) == pytest.approx(spread**0.5 * scale, rel=0.08)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import running
+
 
 def guard(rows: DataFrame, forbidden: set[str]) -> DataFrame:
     """``rows``, unless they hold a column that would leak the outcome."""
@@ -29,10 +31,14 @@ def group_folds(rows: DataFrame, group: str, label: str, folds: int) -> DataFram
 def average_precision(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """``ap``: sum of precision times gained recall over distinct scores, highest first.
 
-    Rows are first counted per distinct score, so the window holds one row per score.
+    Rows are first counted per distinct score, so the window holds one row per score; without
+    ``by`` it runs by blocks of scores.
     """
     by = by or []
     cells = rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    if not by:
+        run = running(cells, score, {"_tp0": "_p", "_all0": "_n"}, descending=True).withColumns({"_tp": F.col("_tp0") + F.col("_p"), "_all": F.col("_all0") + F.col("_n")})
+        return run.agg((F.sum(F.col("_tp") / F.col("_all") * F.col("_p")) / F.sum("_p")).alias("ap"))
     w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     run = cells.withColumns({"_tp": F.sum("_p").over(w), "_all": F.sum("_n").over(w)})
     return run.groupBy(*by).agg((F.sum(F.col("_tp") / F.col("_all") * F.col("_p")) / F.sum("_p")).alias("ap"))

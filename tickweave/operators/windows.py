@@ -117,3 +117,23 @@ def bisected(rows: DataFrame, key: str, time: str, widest: int, halvings: int, m
     width = narrow * F.pow(F.lit(2), F.lit(halvings) - F.col("level")).cast("long")
     stays = ((F.col("level") == 0) | F.col("_open").isNotNull()) & ((F.col("n") <= most) | (F.col("level") == halvings))
     return found.where(stays).select(key, (F.col("slot") * width).alias("begin"), ((F.col("slot") + 1) * width).alias("finish"), "n")
+
+
+def running(cells: DataFrame, order: str, sums: dict[str, str], descending: bool = False, blocks: int = 64) -> DataFrame:
+    """``cells`` with running sums over the rows before each in the order of one numeric column.
+
+    ``sums`` maps new columns to the summed ones. The column's range is cut into blocks at
+    approximate quantiles; a window runs within a block, and what earlier blocks hold comes
+    from their totals, so no task has all rows. Values of ``order`` must differ.
+    """
+    cuts = sorted(set(cells.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.1 / blocks)))
+    block = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    sign = -1 if descending else 1
+    at = cells.withColumn("_block", block * sign)
+    key = F.desc(order) if descending else F.asc(order)
+    within = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    totals = at.groupBy("_block").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
+    carried = totals.select("_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    own = at.withColumns({f"_w_{n}": F.coalesce(F.sum(v).over(within), F.lit(0)) for n, v in sums.items()})
+    return own.join(F.broadcast(carried), "_block").withColumns({n: F.col(f"_w_{n}") + F.col(f"_c_{n}") for n in sums}).select(*cells.columns, *sums)

@@ -10,10 +10,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .special import f_upper, t_quantile, t_two_sided
 
-#: Rounds of alternating means at most, and the change that ends them.
-ROUNDS, TOLERANCE = 60, 1e-10
+#: Rounds of alternating means at most (then it is an error), and the change that ends them.
+ROUNDS, TOLERANCE = 1_000, 1e-10
+#: Most levels of the smaller effect, and most combinations, of an exact absorption.
+MOST_LEVELS, MOST_CELLS = 3_000, 2_000_000
 #: Most clusters whose scores go to the driver.
 MOST_CLUSTERS = 200_000
 
@@ -29,35 +32,85 @@ def demean(rows: DataFrame, columns: list[str], effects: list[str], tolerance: f
     for e in effects:
         for c in columns:
             cells = cells.withColumn(f"_{e}_{c}", F.lit(0.0))
-    cells = _cut(cells)
+    cells = cut(cells)
+    change = None
     for _ in range(rounds if len(effects) > 1 else 1):
-        moved = []
+        cells = cells.withColumn("_moved", F.lit(0.0))
         for e in effects:
             others = [x for x in effects if x != e]
             left = {c: F.col(f"_s_{c}") - F.col("_n") * sum((F.col(f"_{o}_{c}") for o in others), F.lit(0.0)) for c in columns}
             means = cells.groupBy(e).agg(*[(F.sum(left[c]) / F.sum("_n")).alias(f"_new_{c}") for c in columns])
             cells = cells.join(means, e)
-            moved += [F.max(F.abs(F.col(f"_new_{c}") - F.col(f"_{e}_{c}"))) for c in columns]
-            cells = _cut(cells.withColumn("_moved", F.greatest(F.lit(0.0), *[F.abs(F.col(f"_new_{c}") - F.col(f"_{e}_{c}")) for c in columns]))
-                         .withColumns({f"_{e}_{c}": F.col(f"_new_{c}") for c in columns}).drop(*[f"_new_{c}" for c in columns]))
-            last = cells.agg(F.max("_moved")).first()[0]
-            cells = cells.drop("_moved")
-        if last is None or last < tolerance:
+            moved = F.greatest("_moved", *[F.abs(F.col(f"_new_{c}") - F.col(f"_{e}_{c}")) for c in columns])
+            cells = cut(cells.withColumn("_moved", moved).withColumns({f"_{e}_{c}": F.col(f"_new_{c}") for c in columns}).drop(*[f"_new_{c}" for c in columns]))
+        change = cells.agg(F.max("_moved")).first()[0]
+        cells = cells.drop("_moved")
+        if change is None or change < tolerance:
             break
+    else:
+        if len(effects) > 1:
+            raise ArithmeticError(f"means still move by {change} after {rounds} rounds")
     terms = cells.select(*effects, *[sum((F.col(f"_{e}_{c}") for e in effects), F.lit(0.0)).alias(f"_t_{c}") for c in columns])
+    return _less(rows, terms, columns, effects)
+
+
+def _less(rows: DataFrame, terms: DataFrame, columns: list[str], effects: list[str]) -> DataFrame:
     return rows.join(terms, effects).withColumns({c: F.col(c) - F.col(f"_t_{c}") for c in columns}).drop(*[f"_t_{c}" for c in columns])
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
+def absorb_exact(rows: DataFrame, columns: list[str], many: str, few: str) -> DataFrame:
+    """``rows`` with ``columns`` as residuals on two effects, from the normal equations instead of rounds.
 
-            folder = tempfile.mkdtemp(prefix="tickweave-")  # one machine only, as in tests
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    Only sums per combination reach the driver, at most ``MOST_CELLS`` with ``MOST_LEVELS``
+    levels of ``few``; beyond that it is an error, and ``demean`` is there. Unconnected
+    groups of levels leave the terms undetermined but not the residuals: the least-norm
+    terms are taken.
+    """
+    spark = rows.sparkSession
+    cells = rows.groupBy(many, few).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in columns]).limit(MOST_CELLS + 1).collect()
+    if len(cells) > MOST_CELLS or len({r[1] for r in cells}) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_CELLS} combinations, or {MOST_LEVELS} levels of {few}")
+    if not cells:
+        return rows
+    a_names, b_names = list(dict.fromkeys(r[0] for r in cells)), list(dict.fromkeys(r[1] for r in cells))
+    a_at, b_at = ({v: i for i, v in enumerate(names)} for names in (a_names, b_names))
+    a, b = np.array([a_at[r[0]] for r in cells]), np.array([b_at[r[1]] for r in cells])
+    n, sums = np.array([r[2] for r in cells], float), np.array([list(r[3:]) for r in cells], float)
+    k = len(columns)
+    per_a, per_b = np.bincount(a, n), np.bincount(b, n)
+    sum_a, sum_b = np.zeros((len(a_names), k)), np.zeros((len(b_names), k))
+    np.add.at(sum_a, a, sums)
+    np.add.at(sum_b, b, sums)
+    left, right = np.diag(per_b), sum_b.copy()
+    order = np.argsort(a, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        at, i = b[group], a[group[0]]
+        left[np.ix_(at, at)] -= np.outer(n[group], n[group]) / per_a[i]
+        right[at] -= np.outer(n[group], sum_a[i] / per_a[i])
+    of_b = np.linalg.lstsq(left, right, rcond=None)[0]
+    shared = np.zeros((len(a_names), k))
+    np.add.at(shared, a, n[:, None] * of_b[b])
+    of_a = (sum_a - shared) / per_a[:, None]
+    terms = of_a[a] + of_b[b]
+    schema = rows.select(many, few).schema
+    for c in columns:
+        schema = schema.add(f"_t_{c}", "double")
+    found = spark.createDataFrame([(r[0], r[1], *map(float, t)) for r, t in zip(cells, terms)], schema)
+    return _less(rows, found, columns, [many, few])
+
+
+def without_singletons(rows: DataFrame, effects: list[str]) -> DataFrame:
+    """``rows`` less those that are alone in a level of an effect, until none is left (such rows fit perfectly)."""
+    cells = cut(rows.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")))
+    while True:
+        kept = cells
+        for e in effects:
+            alone = kept.groupBy(e).agg(F.sum("_n").alias("_k")).where("_k = 1").select(e)
+            kept = kept.join(alone, e, "left_anti")
+        kept = cut(kept)
+        if kept.count() == cells.count():
+            return rows.join(kept.select(*effects), effects, "left_semi")
+        cells = kept
 
 
 def _products(rows: DataFrame, names: list[str], weight: Column | None = None) -> np.ndarray:
@@ -76,7 +129,8 @@ class Fit:
     """Coefficients, and covariances by cluster; scores per cluster come from one aggregation each."""
 
     def __init__(self, rows: DataFrame, y: str, xs: list[str]):
-        self.rows, self.y, self.xs = rows.where(" or ".join(f"abs({x}) > 1e-14" for x in xs)), y, xs
+        # materialised once: products, scores and every covariance read it
+        self.rows, self.y, self.xs = cut(rows.where(" or ".join(f"abs({x}) > 1e-14" for x in xs))), y, xs
         both = _products(self.rows, [*xs, y])
         self.n = self.rows.count()
         self.bread = np.linalg.pinv(both[:-1, :-1])
