@@ -1,8 +1,8 @@
 """Query catalogue: name -> builder, and name -> DuckDB SQL of the same result."""
 
-from . import basics, estimators, panels, samples, temporal
+from . import basics, estimators, model_specs, panels, samples, temporal
 
-MODULES = [basics, temporal, panels, samples, estimators]
+MODULES = [basics, temporal, panels, samples, model_specs, estimators]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
