@@ -215,3 +215,46 @@ def test_permutation_has_the_law_of_permutations(spark, monkeypatch, block):
     scale = 1 / ones + 1 / (n - ones)
     assert abs(np.mean(draws) - (mean * scale - total / (n - ones))) < 5 * (spread**0.5 * scale) / 2_000**0.5
     assert np.std(draws) == pytest.approx(spread**0.5 * scale, rel=0.08)
+
+
+def test_models_are_tuned_on_inner_folds_alone(spark, monkeypatch):
+    """Thresholds and grid points come from the training groups; scores cover every row once."""
+    from tickweave.ml import models
+
+    monkeypatch.setattr(models, "ITERATIONS", 5)
+    rng = np.random.default_rng(34)
+    data = [(i, int(i % 12), float(x), int(x + rng.normal() > 0.5), float(i)) for i, x in enumerate(rng.normal(size=360))]
+    rows = spark.createDataFrame(data, "i long, g long, x double, label long, at double")
+    out = models.nested_scores(rows, "logistic", models.LOGISTIC[:2], ["x"], "label", "g", outer=3, inner=2)
+    found = out.select("i", "fold", "cut", "score").collect()
+    assert sorted(r.i for r in found) == list(range(360)) and all(0 <= r.score <= 1 for r in found)
+    assert len({r.fold for r in found}) == 3 and len({(r.fold, r.cut) for r in found}) == 3
+    late = models.holdout_scores(rows, "logistic", models.LOGISTIC[:1], ["x"], "label", "g", "at", inner=2).collect()
+    assert {r.g for r in late} == {9, 10, 11}
+    auc = ev.roc_auc(out.withColumn("k", F.lit(0)), "score", "label", ["k"]).first().auc
+    score, label = np.array([r.score for r in out.orderBy("i").collect()]), np.array([d[3] for d in data])
+    gap = score[label == 1][:, None] - score[label == 0][None]
+    assert auc == pytest.approx(((gap > 0) + 0.5 * (gap == 0)).mean())
+
+
+def test_sources_that_differ_are_told(spark, tmp_path):
+    from tickweave.operators import checks
+    from tickweave.sources import paged, sinks
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    rows.write.parquet(f"{tmp_path}/0")
+    rows.write.parquet(f"{tmp_path}/1")
+    rows.select("v", "k").write.parquet(f"{tmp_path}/2")
+    good = spark.createDataFrame([(0, 2), (1, 2)], "part int, n_rows long")
+    assert sinks.combined(spark, [f"{tmp_path}/0", f"{tmp_path}/1"], good).count() == 4
+    with pytest.raises(ValueError, match="differ in their columns"):
+        sinks.combined(spark, [f"{tmp_path}/0", f"{tmp_path}/2"])
+    with pytest.raises(Exception, match="another number of rows"):
+        sinks.combined(spark, [f"{tmp_path}/0", f"{tmp_path}/1"], good.withColumn("n_rows", F.lit(3).cast("long"))).count()
+    other = spark.createDataFrame([(1, 10), (2, 20), (2, 21)], "k long, w long")
+    assert checks.whole_join(rows.where("k = 1"), other, ["k"]).collect()[0].w == 10
+    for left in (rows, rows.withColumn("k", F.lit(9).cast("long"))):
+        with pytest.raises(Exception, match="none or several"):
+            checks.whole_join(left, other, ["k"]).collect()
+    with pytest.raises(Exception, match="do not end"):
+        paged.cursor_pages(rows.select("v"), lambda chain, cursor: ([(1,)], "again"), "x long").collect()

@@ -35,3 +35,13 @@ def test_sessions_over_batches(spark, folder):
 def test_panel_over_batches(spark, folder):
     got = streams.run_once(streams.minute_panel(streams.event_stream(spark, folder, 1)), spark)
     assert sum(r.n_trades for r in got.collect()) == 49
+
+
+@pytest.mark.parametrize("files", [1, 64])
+def test_update_mode_keeps_the_last_state_of_each_window(spark, folder, files):
+    """Panels and sliding windows by keys, however the files fall into batches."""
+    events = streams.event_stream(spark, folder, files)
+    panel = streams.run_once(streams.minute_panel(events, "1 day"), spark, keys=["market", "bucket"]).collect()
+    assert sorted(r.n_trades for r in panel) == [8, 8, 8, 8, 8, 9] and len({r.bucket for r in panel}) == 6
+    slides = streams.run_once(streams.sliding(events, "2 days", "1 day"), spark, keys=["market", "bucket"]).collect()
+    assert len(slides) == 7 and sum(r.n_trades for r in slides) == 98

@@ -65,7 +65,7 @@ def f1_threshold(rows: DataFrame, score: str, label: str, steps: int = 97) -> fl
     return cuts[max(range(len(cuts)), key=lambda i: f1[i])]
 
 
-def metrics(rows: DataFrame, score: str, label: str, cut: float, by: list[str] | None = None) -> DataFrame:
+def metrics(rows: DataFrame, score: str, label: str, cut: float | Column, by: list[str] | None = None) -> DataFrame:
     hit, yes = F.col(score) >= cut, F.col(label) == 1
     tp, fp, fn = (F.sum(F.when(c, 1).otherwise(0)) for c in (hit & yes, hit & ~yes, ~hit & yes))
     return rows.groupBy(*(by or [])).agg(
@@ -111,7 +111,7 @@ def isolation_scores(rows: DataFrame, key: str, columns: list[str], trees: int =
     wanted = trees * sample
     n = rows.count()
     spot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30))
-    drawn = rows.where(spot < int(min(1.0, wanted / max(n, 1)) * (1 << 30))).orderBy(spot).limit(wanted).select(*columns).collect()
+    drawn = rows.where(spot < int(min(1.0, wanted / max(n, 1)) * (1 << 30))).orderBy(spot, key).limit(wanted).select(*columns).collect()
     data = np.array([tuple(r) for r in drawn], float)
     rng = np.random.default_rng(seed)
     size = min(sample, len(data))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -9,15 +11,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import average_precision, group_folds
+from .evaluation import average_precision, chronological_split, f1_threshold, group_folds
 
 LOGISTIC = [{"regParam": r, "elasticNetParam": e} for r in (0.01, 0.1) for e in (0.0, 0.5)]
-FOREST = [{"maxDepth": d, "minInstancesPerNode": 5} for d in (3, 6)]
+FOREST = [{"maxDepth": d, "minInstancesPerNode": m} for d in (3, 6) for m in (5, 20)]
+BOOSTED = [{"maxDepth": d, "stepSize": e} for d in (2, 3) for e in (0.05, 0.1)]
+#: Trees of a forest, rounds of boosting, iterations of a logistic fit; fits that run at a time.
+TREES, ROUNDS, ITERATIONS, AT_A_TIME = 100, 20, 100, 4
 
 
 def classifier(kind: str, params: dict, features: list[str], label: str):
     make = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier}[kind]
-    more = {"numTrees": 40, "seed": 5} if kind == "forest" else {"maxIter": 10, "seed": 5} if kind == "boosted" else {"maxIter": 12}
+    more = {"numTrees": TREES, "seed": 5} if kind == "forest" else {"maxIter": ROUNDS, "seed": 5} if kind == "boosted" else {"maxIter": ITERATIONS}
     model = make(featuresCol="_x", labelCol=label, weightCol="_w", **more, **params)
     steps = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip")]
     steps.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True))
@@ -34,24 +39,44 @@ def scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("_raw", "_x", "_w", "rawPrediction", "probability", "prediction")
 
 
-def nested_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, outer: int = 3, inner: int = 2) -> DataFrame:
-    """Out-of-fold ``score`` of every row; the grid point of a fold is chosen by inner folds of its training groups."""
-    dealt = group_folds(rows, group, label, outer).cache()
-    out = None
+def _fit_scores(train: DataFrame, test: DataFrame, kind: str, params: dict, features: list[str], label: str) -> DataFrame:
+    return scored(classifier(kind, params, features, label).fit(balanced(train, label)), balanced(test, label))
+
+
+def tuned(train: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, inner: int) -> tuple[dict, float]:
+    """The grid point with the best average precision over inner out-of-fold scores, and the F1 threshold of those scores.
+
+    Fits are independent Spark jobs, a few at a time.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    dealt = group_folds(train, group, label, inner).cache()
+    try:
+        jobs = [(i, j) for i in range(len(grid)) for j in range(inner)]
+        with ThreadPool(AT_A_TIME) as pool:
+            parts = pool.map(lambda ij: _fit_scores(dealt.where(F.col("fold") != ij[1]), dealt.where(F.col("fold") == ij[1]), kind, grid[ij[0]], features, label), jobs)
+            whole = [reduce(DataFrame.unionByName, parts[i * inner : (i + 1) * inner]).select(label, "score") for i in range(len(grid))]
+            value = pool.map(lambda rows: average_precision(rows, "score", label).first()[0] or 0.0, whole)
+        best = max(range(len(grid)), key=lambda i: (value[i], -i))
+        return grid[best], f1_threshold(whole[best], "score", label)
+    finally:
+        dealt.unpersist()
+
+
+def nested_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, outer: int = 5, inner: int = 3) -> DataFrame:
+    """Out-of-fold ``score`` of every row, with its fold's threshold ``cut``; both that and the grid point come from inner folds of the training groups."""
+    dealt = group_folds(rows, group, label, outer)
+    parts = []
     for k in range(outer):
-        train, test = dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k)
-        best = grid[0]
-        if len(grid) > 1:
-            again = group_folds(train.drop("fold"), group, label, inner).cache()
-            value = {}
-            for i, params in enumerate(grid):
-                parts = None
-                for j in range(inner):
-                    model = classifier(kind, params, features, label).fit(balanced(again.where(F.col("fold") != j), label))
-                    part = scored(model, balanced(again.where(F.col("fold") == j), label))
-                    parts = part if parts is None else parts.unionByName(part)
-                value[i] = average_precision(parts, "score", label).first()[0] or 0.0
-            best = grid[max(value, key=lambda i: (value[i], -i))]
-        part = scored(classifier(kind, best, features, label).fit(balanced(train, label)), balanced(test, label))
-        out = part if out is None else out.unionByName(part)
-    return out
+        train, test = dealt.where(F.col("fold") != k).drop("fold"), dealt.where(F.col("fold") == k)
+        best, cut = tuned(train, kind, grid, features, label, group, inner)
+        parts.append(_fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(cut))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def holdout_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, at: str, inner: int = 3) -> DataFrame:
+    """Scores of the latest groups by a model of the earlier ones, tuned and cut on inner folds of those alone."""
+    dealt = chronological_split(rows, group, at)
+    train, test = dealt.where("is_train").drop("is_train"), dealt.where("not is_train")
+    best, cut = tuned(train, kind, grid, features, label, group, inner)
+    return _fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(cut)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,8 @@ def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assert_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows``, or a failed job once a key repeats."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return rows.withColumn("_ok", F.assert_true(size == 1, F.lit(f"{keys} repeat"))).where("_ok is null").drop("_ok")
+    """``rows``; an error at once if a key repeats. Only keys are counted, pre-aggregated, and one of them is read back."""
+    found = duplicate_keys(rows, keys).first()
+    if found is not None:
+        raise ValueError(f"{keys} repeat: {found.asDict()}")
+    return rows

@@ -77,17 +77,24 @@ def sequences(rows: DataFrame, keys: list[str], order: list[str], sign: str, tim
 def thinned(rows: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
     """Rows at least ``gap`` after the last one that stayed, per key, from the first on.
 
-    What stays depends on what stayed before, so the times of a key are folded in order; only
-    distinct times travel, not rows.
+    What stays depends on what stayed before, so the times of a key are walked in order. At
+    most one time in ``gap`` can stay, so a step looks only for the first time at or after
+    its bound: only the distinct times of a key travel, as numbers, and one pass is linear.
     """
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(time)).alias("_times"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate(
-        "_times", start,
-        lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= gap), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    kept = times.select(*keys, F.explode(fold).alias(time))
+    import numpy as np
+    import pyarrow as pa
+
+    def walk(table: pa.Table) -> pa.Table:
+        times = np.sort(table.column(time).to_numpy())
+        kept, at = [], 0
+        while at < len(times):
+            kept.append(at)
+            at = int(np.searchsorted(times, times[at] + gap))
+        first = table.slice(0, 1)
+        return pa.table({**{k: pa.array([first.column(k)[0].as_py()] * len(kept), table.schema.field(k).type) for k in keys}, time: pa.array(times[kept], pa.int64())})
+
+    times = rows.select(*keys, F.col(time).cast("long").alias(time)).where(F.col(time).isNotNull()).distinct()
+    kept = times.groupBy(*keys).applyInArrow(walk, times.schema)
     return rows.join(kept, [*keys, time], "left_semi")
 
 

@@ -9,6 +9,7 @@ from ..ml import evaluation as ev
 from ..ml import models
 from ..operators import aggregates as agg
 from ..operators import matching
+from ..sources.shared import cut
 from ..sources.tables import trades
 from ..stats import regression, tests
 from ..streaming import streams
@@ -184,28 +185,52 @@ SELECT is_train, count(*) AS n, min(bucket) AS first_bucket, max(bucket) AS last
 FEATURES = ["gross", "size", "n_wallets"]
 
 
+#: Feature families that are left out in turn.
+FAMILIES = {"volume": ["gross"], "flow": ["size"], "breadth": ["n_wallets"]}
+
+
+def _judged(out: DataFrame) -> DataFrame:
+    """Average precision, ROC-AUC, and the metrics at the thresholds that the training folds chose."""
+    out = out.select("score", "label", "cut").cache()
+    ap = ev.average_precision(out, "score", "label").select(F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
+    auc = ev.roc_auc(out.withColumn("_all", F.lit(0)), "score", "label", ["_all"]).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    rest = ev.metrics(out, "score", "label", F.col("cut")).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("precision", "recall", "f1", "brier"))), F.array("precision", "recall", "f1", "brier"))).alias("metric", "value"))
+    return ap.unionByName(auc).unionByName(rest)
+
+
 def _nested(spark: S, d: str, kind: str, grid: list[dict]) -> DataFrame:
     rows = ev.guard(_samples(spark, d), {"next_gross"})
-    out = models.nested_scores(rows, kind, grid, FEATURES, "label", "dy").cache()
-    cut = ev.f1_threshold(out, "score", "label")
-    ap = ev.average_precision(out, "score", "label").select(F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
-    rest = ev.metrics(out, "score", "label", cut).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("precision", "recall", "f1", "brier"))), F.array("precision", "recall", "f1", "brier"))).alias("metric", "value"))
-    return ap.unionByName(rest)
+    return _judged(models.nested_scores(rows, kind, grid, FEATURES, "label", "dy"))
 
 
 def nested_cv_logistic(spark: S, d: str) -> DataFrame:
-    return _nested(spark, d, "logistic", models.LOGISTIC[:2])
+    return _nested(spark, d, "logistic", models.LOGISTIC)
 
 
 def nested_cv_forest(spark: S, d: str) -> DataFrame:
-    return _nested(spark, d, "forest", models.FOREST[:1])
+    return _nested(spark, d, "forest", models.FOREST)
+
+
+def boosted_holdout(spark: S, d: str) -> DataFrame:
+    """Boosted trees of the earlier days, judged on the latest quarter of days."""
+    return _judged(models.holdout_scores(_samples(spark, d), "boosted", models.BOOSTED, FEATURES, "label", "dy", "bucket"))
+
+
+def family_ablation(spark: S, d: str) -> DataFrame:
+    """Metrics on the latest days with all features and without each family."""
+    out = None
+    for name, gone in {"none": [], **FAMILIES}.items():
+        kept = [f for f in FEATURES if f not in gone]
+        part = _judged(models.holdout_scores(_samples(spark, d), "logistic", models.LOGISTIC, kept, "label", "dy", "bucket")).withColumn("without", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def isolation_screen(spark: S, d: str) -> DataFrame:
-    """The highest percent of hours by isolation score."""
-    at = ev.isolation_scores(_samples(spark, d), "key", FEATURES, trees=500)
-    n = at.count()
-    return at.orderBy(F.desc("score"), "key").limit(max(1, -(-n // 100)))
+    """The highest percent of hours by isolation score, over robustly scaled features."""
+    at = ev.isolation_scores(ev.robust_scaled(_samples(spark, d), FEATURES), "key", FEATURES, trees=500)
+    at = cut(at)  # scored once: counted, then ranked
+    return at.orderBy(F.desc("score"), "key").limit(max(1, -(-at.count() // 100)))
 
 
 def matched_controls(spark: S, d: str) -> DataFrame:
@@ -215,13 +240,22 @@ def matched_controls(spark: S, d: str) -> DataFrame:
 
 
 def stream_panel(spark: S, d: str) -> DataFrame:
-    out = streams.run_once(streams.minute_panel(streams.event_stream(spark, d)), spark)
+    out = streams.run_once(streams.minute_panel(streams.event_stream(spark, d)), spark, keys=["market", "bucket"])
     return out.select("market", "bucket", "n_trades", F.round("gross", 6).alias("gross"))
 
 
 STREAM_PANEL = "SELECT event_type AS market, (floor(epoch(ts))::BIGINT // 3600) * 3600 AS bucket, count(*) AS n_trades, round(sum(value), 6) AS gross FROM events GROUP BY ALL"
 
 
+def stream_sliding(spark: S, d: str) -> DataFrame:
+    out = streams.run_once(streams.sliding(streams.event_stream(spark, d)), spark, keys=["market", "bucket"])
+    return out.select("market", "bucket", "n_trades", F.round("gross", 6).alias("gross"))
+
+
+STREAM_SLIDING = """SELECT event_type AS market, (floor(epoch(ts))::BIGINT // 3600 - i) * 3600 AS bucket, count(*) AS n_trades, round(sum(value), 6) AS gross
+FROM events, (SELECT unnest(range(6)) AS i) GROUP BY ALL"""
+
+
 def stream_dedupe(spark: S, d: str) -> DataFrame:
     out = streams.run_once(streams.deduplicated(streams.event_stream(spark, d), ["event_id"]), spark, "append")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
@@ -241,7 +275,7 @@ SELECT wallet, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_ev
 
 NAMES = (
     "demean_one_way fe_ols_contrast wild_bootstrap fe_logit holm_adjust paired_tests smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
-    "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest isolation_screen matched_controls stream_panel stream_dedupe stream_sessions"
+    "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

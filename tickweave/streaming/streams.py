@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import new_folder
 
@@ -16,9 +17,10 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64)
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def minute_panel(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts and sums per market and window; rows later than the watermark are left out."""
-    return events.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), F.col("event_type").alias("market")).agg(
+def minute_panel(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Counts and sums per market and window; ``late`` sets a watermark, beyond which state goes and rows are left out."""
+    timed = events if late is None else events.withWatermark("at", late)
+    return timed.groupBy(F.window("at", width).alias("w"), F.col("event_type").alias("market")).agg(
         F.count(F.lit(1)).alias("n_trades"), F.sum("value").alias("gross")
     ).select("market", F.unix_seconds("w.start").alias("bucket"), "n_trades", "gross")
 
@@ -40,16 +42,32 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = None) -
     ).select(F.col("user_id").alias("wallet"), F.unix_seconds("w.start").alias("begin"), (F.unix_seconds("w.end")).alias("finish"), "n_events")
 
 
-def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
+def sliding(events: DataFrame, width: str = "6 hours", step: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Counts and sums per market over overlapping windows."""
+    timed = events if late is None else events.withWatermark("at", late)
+    return timed.groupBy(F.window("at", width, step).alias("w"), F.col("event_type").alias("market")).agg(
+        F.count(F.lit(1)).alias("n_trades"), F.sum("value").alias("gross")
+    ).select("market", F.unix_seconds("w.start").alias("bucket"), "n_trades", "gross")
+
+
+def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Everything there is now, through the stream and its sink, as a table.
 
-    Output and progress go below ``spark.checkpoint.dir``, which all executors share.
+    With ``keys`` the stream runs in ``update`` mode: a batch writes the rows that it changed,
+    and the last one of each key counts. Without, it runs in ``mode``: ``append``, or
+    ``complete`` where rows merge, as sessions do. A batch that runs again overwrites its own
+    output. Output and progress go below ``spark.checkpoint.dir``, which all executors share.
     """
+    mode = "update" if keys else mode
     folder = new_folder(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/out/*")
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*")
+    return out.select(*stream.columns)
