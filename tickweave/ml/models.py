@@ -11,13 +11,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .evaluation import average_precision, chronological_split, f1_threshold, group_folds
 
 LOGISTIC = [{"regParam": r, "elasticNetParam": e} for r in (0.01, 0.1) for e in (0.0, 0.5)]
 FOREST = [{"maxDepth": d, "minInstancesPerNode": m} for d in (3, 6) for m in (5, 20)]
 BOOSTED = [{"maxDepth": d, "stepSize": e} for d in (2, 3) for e in (0.05, 0.1)]
 #: Trees of a forest, rounds of boosting, iterations of a logistic fit; fits that run at a time.
-TREES, ROUNDS, ITERATIONS, AT_A_TIME = 100, 20, 100, 4
+TREES, ROUNDS, ITERATIONS, AT_A_TIME = 100, 20, 100, 8
 
 
 def classifier(kind: str, params: dict, features: list[str], label: str):
@@ -65,18 +66,18 @@ def tuned(train: DataFrame, kind: str, grid: list[dict], features: list[str], la
 
 def nested_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, outer: int = 5, inner: int = 3) -> DataFrame:
     """Out-of-fold ``score`` of every row, with its fold's threshold ``cut``; both that and the grid point come from inner folds of the training groups."""
-    dealt = group_folds(rows, group, label, outer)
+    dealt = cut(group_folds(rows, group, label, outer))  # read by every fit
     parts = []
     for k in range(outer):
         train, test = dealt.where(F.col("fold") != k).drop("fold"), dealt.where(F.col("fold") == k)
-        best, cut = tuned(train, kind, grid, features, label, group, inner)
-        parts.append(_fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(cut))))
+        best, threshold = tuned(train, kind, grid, features, label, group, inner)
+        parts.append(_fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(threshold))))
     return reduce(DataFrame.unionByName, parts)
 
 
 def holdout_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, at: str, inner: int = 3) -> DataFrame:
     """Scores of the latest groups by a model of the earlier ones, tuned and cut on inner folds of those alone."""
-    dealt = chronological_split(rows, group, at)
+    dealt = cut(chronological_split(rows, group, at))  # read by every fit
     train, test = dealt.where("is_train").drop("is_train"), dealt.where("not is_train")
-    best, cut = tuned(train, kind, grid, features, label, group, inner)
-    return _fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(cut)))
+    best, threshold = tuned(train, kind, grid, features, label, group, inner)
+    return _fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(threshold)))
