@@ -29,13 +29,22 @@ def past_only_quantiles(
     return out.select(key, day, "history", *[F.when(F.col("history") >= least, F.col("_q")[i]).alias(f"q{i}") for i in range(len(qs))])
 
 
+#: Rank error of the approximate quantile that limits what is sorted, as one over this.
+ACCURACY = 1_000
+
+
 def top_percent(rows: DataFrame, percent: float, by: str, tie: str, within: list[str]) -> DataFrame:
-    """Exactly ``max(1, ceil(n * percent / 100))`` rows of each group, largest first, ties by ``tie``."""
-    group = Window.partitionBy(*within)
-    place = F.row_number().over(group.orderBy(F.desc(by), F.asc(tie)))
-    size = F.count(F.lit(1)).over(group)
-    most = F.greatest(F.lit(1), F.ceil(size * percent / 100))
-    return rows.withColumns({"place": place, "_most": most}).where("place <= _most").drop("_most")
+    """Exactly ``max(1, ceil(n * percent / 100))`` rows of each group, largest first, ties by ``tie``.
+
+    Only rows above an approximate quantile are sorted: it lies low enough for its rank error
+    (three times ``1 / ACCURACY``; it is exact for small groups), so none of the rows asked for
+    is left out and a window holds little more than them. Rows whose group is null are left out.
+    """
+    low = F.percentile_approx(by, F.lit(max(0.0, 1 - percent / 100 - 3 / ACCURACY)), F.lit(ACCURACY))
+    sizes = rows.groupBy(*within).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * percent / 100)).alias("_most"), low.alias("_low"))
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(by), F.asc(tie)))
+    near = rows.join(sizes, within).where(F.col(by) >= F.col("_low"))
+    return near.withColumn("place", place).where("place <= _most").select(*rows.columns, "place")
 
 
 def trailing_sum(value: str, key: str, at: str, seconds: int) -> Column:
@@ -49,14 +58,19 @@ def daily_past_totals(rows: DataFrame, days: int | None, key: str = "wallet", da
 
     Keys are known from their first day on; with ``days`` only those active in that many days
     before stay. Wallet-days are pre-aggregated, so the window runs over at most one row per
-    key and day.
+    key and day. An expanding total holds from a day after one of the key's days to its next
+    one, and only then is it written out by day.
     """
     daily = rows.groupBy(key, day).agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
-    if days is not None:
-        spread = daily.withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)))
-    else:
+    if days is None:
         last = rows.agg(F.max(day)).first()[0]
-        spread = daily.where(F.col(day) < last).withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.lit(last))))
+        w = Window.partitionBy(key).orderBy(day)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        held = daily.select(
+            key, day, F.coalesce(F.lead(day).over(w), F.lit(last)).alias("_until"), F.sum("_v").over(so_far).alias("past"), F.sum("_n").over(so_far).alias("actions"), F.count(F.lit(1)).over(so_far).alias("active_days")
+        ).where(F.col(day) < F.col("_until"))
+        return held.withColumn(day, F.explode(F.sequence(F.col(day) + 1, F.col("_until")))).drop("_until")
+    spread = daily.withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)))
     return spread.groupBy(key, F.col("_at").alias(day)).agg(F.sum("_v").alias("past"), F.sum("_n").alias("actions"), F.count(F.lit(1)).alias("active_days"))
 
 
@@ -67,6 +81,16 @@ def next_opposite(rows: DataFrame, keys: list[str], order: list[str], sign: str,
     return rows.withColumn("next_opposite_sec", F.when(F.col(sign) == 1, later[-1]).otherwise(later[1]))
 
 
+def first_opposite(rows: DataFrame, keys: list[str], sign: str, time: str, name: str) -> DataFrame:
+    """``first_opposite``: ``time`` and ``name`` of the first row of the other sign at a later time, ties to the smaller name.
+
+    One window from the end holds the least later row of each sign; no pairs are made.
+    """
+    w = Window.partitionBy(*keys).orderBy(-F.col(time)).rangeBetween(Window.unboundedPreceding, -1)
+    later = {s: F.min(F.when(F.col(sign) == s, F.struct(F.col(time).alias("time"), F.col(name).alias("name")))).over(w) for s in (1, -1)}
+    return rows.withColumn("first_opposite", F.when(F.col(sign) == 1, later[-1]).otherwise(later[1]))
+
+
 def sequences(rows: DataFrame, keys: list[str], order: list[str], sign: str, time: str, gap: int) -> DataFrame:
     """``sequence``: number of the run a row belongs to; a run ends on a change of sign or a longer gap."""
     w = Window.partitionBy(*keys).orderBy(*order)

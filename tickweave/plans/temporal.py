@@ -95,12 +95,10 @@ OPPOSITE_WITHIN = 6 * 86_400
 
 def first_opposite(spark: S, d: str) -> DataFrame:
     """The wallet's own first trade in the other direction on the market in ``(t, t + s]``."""
-    rows = trades(spark, d)
-    large = rows.where("value >= 120").select("event_id", "market", "wallet", "sec", "direction")
-    own = rows.select("market", "wallet", F.col("sec").alias("r_sec"), F.col("direction").alias("r_direction"), F.col("event_id").alias("r_id"))
-    found = temporal.interval_pairs(large, own, ["market", "wallet"], 0, OPPOSITE_WITHIN).where("direction <> r_direction")
-    first = found.groupBy("event_id").agg(F.min(F.struct("r_sec", "r_id")).alias("f"))
-    return large.select("event_id", "sec").join(first, "event_id", "left").select("event_id", F.col("f.r_id").alias("first_id"), (F.col("f.r_sec") - F.col("sec")).alias("gap"))
+    found = windows.first_opposite(trades(spark, d).select("event_id", "market", "wallet", "sec", "direction", "value"), ["market", "wallet"], "direction", "sec", "event_id")
+    gap = F.col("first_opposite.time") - F.col("sec")
+    near = gap <= OPPOSITE_WITHIN
+    return found.where("value >= 120").select("event_id", F.when(near, F.col("first_opposite.name")).alias("first_id"), F.when(near, gap).alias("gap"))
 
 
 FIRST_OPPOSITE = f"""WITH {T}, f AS (SELECT a.event_id, min(b.sec) AS s, arg_min(b.event_id, b.sec * 1000000000 + b.event_id) AS first_id FROM t a
