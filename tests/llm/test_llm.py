@@ -245,6 +245,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(df.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_paths_and_openers(spark, tmp_path):
+    from pyarrow import fs
+
+    assert warc.file_system(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x" and warc.file_system("dbfs:/a/b")[1] == "/dbfs/a/b"
+    folder = f"file://{tmp_path}/w"
+    index = warc.write(spark.createDataFrame([(1, "http://a/", "x" * 200), (2, None, "y")], "page_id long, url string, html string"), folder)
+    rows = warc.read_records(index, folder, lambda path: (fs.LocalFileSystem(), path.removeprefix("file:"))).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in rows) == [(1, 200), (2, 1)]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     clean = [f"c{i}" for i in range(60)]
@@ -470,3 +480,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[2] == sorted(i for i in want if want[i] == i)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(seen[2])
+
+
+def test_url_filter_of_an_empty_table_and_clashing_columns(spark):
+    clash = "page_id long, url string, row int, host string, path string, rule string, verdict string"
+    df = spark.createDataFrame([(1, "http://www.example.com/en/7x", 1, "h", "p", "r", "v"), (1, "http://www.example.com/en/7x", 1, "h", "p", "r", "v"), (2, None, 1, "h", "p", "r", "v")], clash)
+    out = url_filter.judge(df, queries.URL_RULES)
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.select("page_id", "host", "path", "rule", "verdict").collect()) == [
+        (1, "www.example.com", "/en/7x", "example.com/en/7", "allow"), (1, "www.example.com", "/en/7x", "example.com/en/7", "allow"), (2, "", "", None, "allow")
+    ]
+    assert url_filter.judge(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_neighbours_of_equal_scores_and_repeated_ids(spark):
+    rows = [(i, [1.0, 0.0], 0) for i in range(1, 40)] + [(20, [1.0, 0.0], 0), (100, [0.5, 0.5], 0)]
+    out = ann_multi_index.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 100, k=5).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank)] == [(k, k, 0.5) for k in range(1, 6)]
+
+
+def test_long_unseen_words_and_a_pipeline_without_rows(spark, tmp_path):
+    train = spark.createDataFrame([(i, "kala maja" if i % 2 else "strom prst", "xx" if i % 2 else "yy") for i in range(40)], "doc_id long, text string, lang string")
+    out = langid.predict(docs(spark, [(1, "kalamaja" * 5_000), (2, "\u65e5" * 5_000)]), langid.fit(train)).collect()
+    assert {r.doc_id: r.lang_pred for r in out}[1] == "xx" and all(0 <= r.score <= 1 for r in out)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

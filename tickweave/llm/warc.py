@@ -116,11 +116,27 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return {k.lower(): v for k, v in fields.items()}, block
 
 
-def _read(batches):
-    import hashlib
+def file_system(path: str):
+    """The Arrow file system of a path as Spark writes it, and the path in it.
 
+    Names that Hadoop alone uses are put as Arrow knows them; for stores that Arrow cannot
+    open, pass a function of this kind to ``read_records``.
+    """
     from pyarrow import fs
 
+    for own, known in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if path.startswith(own):
+            path = known + path[len(own) :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _reader(opener):
+    return lambda batches: _read(batches, opener)
+
+
+def _read(batches, opener):
+    import hashlib
+
     opened: dict[str, object] = {}
 
     def source(path: str):
@@ -128,7 +144,7 @@ def _read(batches):
             for f in opened.values():
                 f.close()
             opened.clear()
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner = opener(path)
             opened[path] = system.open_input_file(inner)
         return opened[path]
 
@@ -165,12 +181,13 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, opener=file_system) -> DataFrame:
     """Records that the rows of ``index`` (any selection of it) point at, parsed.
 
     ``page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload``: for a
     response the digest is taken anew from the bytes read; a revisit has no payload of its
     own and gives size and digest as recorded. ``url`` is the header's percent-encoded form.
+    ``opener`` turns an archive's path into an Arrow file system and the path in it.
     """
     spark = index.sparkSession
     if index.limit(1).count() == 0:
@@ -183,5 +200,5 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return (
         index.select("archive", "offset", "length").join(found, "archive").withColumn("stretch", stretch)
         .repartition("path", "stretch").sortWithinPartitions("path", "offset").select("path", "offset", "length")
-        .mapInArrow(_read, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+        .mapInArrow(_reader(opener), "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
     )
