@@ -12,6 +12,7 @@ horizon and one document, so a lost task is simply run again with the same resul
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import os
 import zlib
@@ -36,7 +37,7 @@ POWERS = tuple(1 << i for i in range(SEQUENCE.bit_length() - 1))
 HARD_STEP = 256
 END_ID = 1
 #: White-space-free chunks whose ids a task keeps; bytes of text that are split at once.
-CACHE, SLICE = 150_000, 1 << 19
+CACHE, SLICE = 300_000, 1 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -59,9 +60,10 @@ def sentence_ends(tokenizer) -> np.ndarray:
 
 #: Marks that neither start a special token nor an English contraction.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+MARKS = frozenset(PUNCTUATION.encode())
 #: Printable stand-ins of the bytes that byte-level BPE vocabularies do not write as themselves.
 _UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
+BYTE_LEVEL = "".join(chr(256 + _UNPRINTED.index(b)) if b in _UNPRINTED else chr(b) for b in range(256))
 
 
 class ChunkIds:
@@ -83,7 +85,7 @@ class ChunkIds:
         if found is None:
             found = self.words_before.get(word)
             if found is None:
-                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+                spelled = word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", BYTE_LEVEL)[0]
                 found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
             self.words[word] = found
         return found
@@ -112,6 +114,9 @@ class ChunkIds:
             if chunk.isalpha():  # ASCII letters alone
                 known[chunk] = self._word(chunk.lower().decode())
                 continue
+            if chunk[:-1].isalpha() and chunk[-1] in MARKS:  # and one mark behind them
+                known[chunk] = self._word(chunk[:-1].lower().decode()) + self._run(chr(chunk[-1]))
+                continue
             text = chunk.decode()
             head = text.lstrip(PUNCTUATION)
             core = head.rstrip(PUNCTUATION)
