@@ -197,10 +197,11 @@ def test_running_sums_by_blocks(spark):
             assert r.before == sum(k for v, k in weight.items() if (v > r.v if falling else v < r.v))
 
 
-@pytest.mark.parametrize("block", [2, 50_000])
-def test_permutation_has_the_law_of_permutations(spark, monkeypatch, block):
-    """Means and spreads of the drawn sums against the exact ones, with strata in one block and in several."""
+@pytest.mark.parametrize("block, shuffled", [(2, 0), (2, 200_000), (50_000, 0), (50_000, 200_000)])
+def test_permutation_has_the_law_of_permutations(spark, monkeypatch, block, shuffled):
+    """Means and spreads of the drawn sums against the exact ones, with strata in one block and in several, by counts and by rows."""
     monkeypatch.setattr(tests, "STRATUM_BLOCK", block)
+    monkeypatch.setattr(tests, "BLOCK_ROWS", shuffled)
     rng = np.random.default_rng(33)
     data = [(s, int(rng.random() < 0.4), float(rng.integers(0, 6))) for s in "ab" for _ in range(40)]
     rows = spark.createDataFrame(data, "s string, l int, v double")

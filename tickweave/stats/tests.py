@@ -10,8 +10,8 @@ from ..operators.windows import running
 from .regression import MOST_CLUSTERS
 from .special import normal_cdf, t_two_sided
 
-#: Distinct values of a stratum that a task permutes at a time (about).
-STRATUM_BLOCK = 50_000
+#: Distinct values of a stratum that a task permutes at a time (about), and rows that it shuffles instead of drawing counts.
+STRATUM_BLOCK, BLOCK_ROWS = 50_000, 200_000
 
 
 def holm(tests: DataFrame, family: str, p: str = "p", name: str = "test") -> DataFrame:
@@ -71,9 +71,15 @@ def permutation(rows: DataFrame, strata: str, label: str, value: str, draws: int
                 shares = np.random.default_rng(seed).multivariate_hypergeometric(counts, int(ones), size, method="marginals")[:, names.index(block)]
                 v, many = np.array([c["v"] for c in cells], float), np.array([c["n"] for c in cells])
                 rng = np.random.default_rng([*seed, int(block)])
-                sums = [v @ rng.multivariate_hypergeometric(many, int(k), method="marginals") for k in shares]
+                if many.sum() <= BLOCK_ROWS:  # few ties: labels fall on rows, by a shuffle
+                    each = np.repeat(v, many)
+                    sums = [each[rng.permutation(len(each))[: int(k)]].sum() for k in shares]
+                else:
+                    sums = [v @ rng.multivariate_hypergeometric(many, int(k), method="marginals") for k in shares]
                 yield pd.DataFrame({"draw": job * batch + np.arange(size), "s": np.array(sums, float)})
 
+    # few bytes but much work, which adaptive execution would put into one task
+    every = every.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), strata, "block", "job")
     drawn = every.mapInPandas(run, "draw long, s double").groupBy("draw").agg(F.sum("s").alias("s"))
     own = rows.sparkSession.createDataFrame([(-1, real)], "draw long, s double")
     return drawn.union(own).select("draw", (F.col("s") / ones - (total - F.col("s")) / (n - ones)).alias("effect"))
