@@ -81,6 +81,21 @@ def paired_tests(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "statistic string, value double")
 
 
+def paired_statistics(spark: S, d: str) -> DataFrame:
+    """The statistics of the paired tests without their p, which need no distribution."""
+    by = trades(spark, d).groupBy("dy").agg(F.avg(F.when(F.col("direction") > 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("direction") < 0, F.col("value"))).alias("b"))
+    found = tests.paired(by, "a", "b")
+    return spark.createDataFrame([(k, round(float(found[k]), 6)) for k in ("n", "mean", "t", "w_plus", "z")], "statistic string, value double")
+
+
+PAIRED_STATISTICS = f"""WITH {T}, b AS (SELECT dy, avg(value) FILTER (direction > 0) - avg(value) FILTER (direction < 0) AS d FROM t GROUP BY ALL),
+s AS (SELECT count(d) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM b),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS place, count(*) OVER (PARTITION BY abs(d)) AS ties FROM b WHERE d <> 0),
+w AS (SELECT coalesce(sum(place) FILTER (d > 0), 0) AS w, count(*)::DOUBLE AS k, sum(ties * ties - 1) AS tied FROM r),
+z AS (SELECT (w - k * (k + 1) / 4) / sqrt(k * (k + 1) * (2 * k + 1) / 24 - tied / 48.0) AS z FROM w)
+SELECT 'n' AS statistic, n::DOUBLE AS value FROM s UNION ALL SELECT 'mean', round(mean, 6) FROM s UNION ALL SELECT 't', round(t, 6) FROM s UNION ALL SELECT 'w_plus', round(w, 6) FROM w UNION ALL SELECT 'z', round(z, 6) FROM z"""
+
+
 def smd(spark: S, d: str) -> DataFrame:
     at = trades(spark, d).withColumn("flag", (F.col("direction") > 0).cast("int"))
     return tests.mean_difference(at, "flag", "value").select(F.round("smd", 8).alias("smd"))
@@ -274,7 +289,7 @@ s AS (SELECT wallet, sum(starts) OVER (PARTITION BY wallet ORDER BY ts) AS k FRO
 SELECT wallet, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY ALL"""
 
 NAMES = (
-    "demean_one_way fe_ols_contrast wild_bootstrap fe_logit holm_adjust paired_tests smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
+    "demean_one_way fe_ols_contrast wild_bootstrap fe_logit holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
     "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
