@@ -1,5 +1,7 @@
 """DuckDB SQL for those registered queries that SQL can express."""
 
+from . import line_quality
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = f"""
@@ -71,4 +73,80 @@ SELECT m.conv_id, m.n_turns, m.n_collapsed,
 FROM m JOIN c USING (conv_id) GROUP BY m.conv_id, m.n_turns, m.n_collapsed
 """
 
-ORACLES = {"op1_minhash_near_dedup": OP1, "op2_url_filters": OP2, "op5_warc": OP5, "op6_embedding_near_dedup": OP6, "op8_chat_formatting": OP8}
+# crc32 of an id's digits, bit by bit; then equal words of a text in pairs, and stretches of them by distance.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {CRC32.format("doc_id")} AS h FROM documents),
+e AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS k FROM d),
+t AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + k)) END]) ELSE w END AS w
+  FROM e),
+x AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t),
+m AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND l.i < r.i WHERE 3 * (r.i - l.i) <= l.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q AS period FROM g GROUP BY doc_id, q, island),
+r AS (SELECT * FROM s WHERE length >= greatest(24, 3 * period) QUALIFY row_number() OVER (PARTITION BY doc_id, start, length ORDER BY period) = 1),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+a AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_PHRASES = "|".join(line_quality.PHRASES)
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS part FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+v AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS word FROM (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY doc_id, part) > 1)),
+n AS (SELECT doc_id, count(*) AS n_repeat_words FROM v GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+q AS (
+  SELECT doc_id, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|»›•·]')) AS bars,
+    regexp_matches(line, '[.!?…:;。！？]["'')\\]»”’]*[\\x20\\x09-\\x0D]*$') AS ended, row_number() OVER (PARTITION BY doc_id, line) > 1 AS again
+  FROM p),
+l AS (
+  SELECT doc_id, sum(chars) AS word_chars, count(*) FILTER (words > 0 AND again) AS n_dup_lines,
+    sum(chars) FILTER (words > 0 AND (words < 5 AND NOT ended OR symbols >= 3 AND 10 * symbols > 3 * words OR bars >= 2 AND 4 * bars >= words
+      OR words <= 25 AND regexp_matches({LOWER.format("line")}, '{_PHRASES}'))) AS lost
+  FROM q GROUP BY doc_id),
+c AS (
+  SELECT doc_id, len(w) AS n_words, word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost
+  FROM d JOIN l USING (doc_id) LEFT JOIN n USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * coalesce(lost, 0) <= 50 * word_chars AS kept
+FROM c
+"""
+
+OP13 = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (
+  SELECT doc_id, text, w, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM h),
+c AS (
+  SELECT doc_id, text, n, w, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(w[1:lo], ''), '') AS p, coalesce(array_to_string(w[lo + 1:hi], ''), '') AS m,
+    coalesce(array_to_string(w[hi + 1:n], ''), '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {
+    "op1_minhash_near_dedup": OP1, "op2_url_filters": OP2, "op5_warc": OP5, "op6_embedding_near_dedup": OP6, "op8_chat_formatting": OP8,
+    "op11_periodic_runs": OP11, "op12_quality_rules": OP12, "op13_fill_in_middle": OP13,
+}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_multi_index, chat_format, hnsw_dedup, langid, minhash_dedup, packing, sentencepiece_lattice, toxicity, url_filter, warc
+from . import (
+    ann_multi_index, chat_format, fill_in_middle, hnsw_dedup, langid, line_quality, minhash_dedup, packing, periodic_runs, sentencepiece_lattice, toxicity, url_filter, warc,
+)
 from .common import crc_mod, larger_tasks, new_folder, read
 
 #: The url lists of op2: (rule, verdict).
@@ -82,6 +84,49 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(larger_tasks(read(spark, sf_dir, "documents")), word_tokenizer())
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which about a tenth repeat a stretch of their own words up to the end.
+
+    With h the crc32 of the id, g = floor(h / 10) and n words: where h % 10 is 0 and n > 0,
+    each word i from a = g % n on becomes word a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8)).
+    Rows without id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    g, n = F.floor(h / 10), F.size("w").cast("long")
+    a = g % n
+    p = F.floor((n - a) / (3 + g % 8)) + 1
+    planted = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    planted = planted.select("doc_id", "text", "w", n.alias("n"), F.when(n > 0, a).alias("a"), F.when(n > 0, p).alias("p"))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.array_join(F.transform(at, lambda i: F.get("w", i.cast("int"))), " ")
+    return planted.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    best = found.select("doc_id", "runs", "collapsed", periodic_runs.strongest(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality.clean_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_url_filters": op2_url_filters,
@@ -93,4 +138,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
