@@ -2,9 +2,9 @@
 
 A line without words is neither judged nor lost. A line goes if any of these rules fails it:
 
+* navigation: at least two separators, and one to every four words;
 * punctuation: it has fewer than ``SHORT`` words and no sentence end, or at least
   ``SYMBOLS`` symbols and more than three of them to ten words;
-* navigation: at least two separators, and one to every four words;
 * boilerplate: at most ``NOTICE`` words, with one of ``PHRASES`` in it.
 
 A document is rejected if the lines that went held more than half of its word characters, or
@@ -47,12 +47,12 @@ _SPACE = dict.fromkeys([32, *range(9, 14)])
 
 def failed_rule(line: str, n_words: int) -> str | None:
     """The first rule that fails a line of ``n_words`` words, or None."""
-    symbols = len(_SYMBOL.findall(line))
-    if n_words < SHORT and not _END.search(line) or symbols >= SYMBOLS and 10 * symbols > 3 * n_words:
-        return "punctuation"
     separators = len(_SEPARATOR.findall(line))
     if separators >= 2 and 4 * separators >= n_words:
         return "navigation"
+    symbols = len(_SYMBOL.findall(line))
+    if n_words < SHORT and not _END.search(line) or symbols >= SYMBOLS and 10 * symbols > 3 * n_words:
+        return "punctuation"
     if n_words <= NOTICE and _PHRASE.search(line):
         return "boilerplate"
     return None
@@ -121,14 +121,14 @@ def _judge(batches):
             found = [_cleaned(t) for t in texts]
             counts = [
                 n_words, [f[1] for f in found], [len(_SYMBOL.findall(t)) for t in texts], [f[3] for f in found], np.add.reduceat(marked.astype(np.int64), begins[:-1]),
-                [f[2] for f in found], *[[f[4].get(rule, 0) for f in found] for rule in ("punctuation", "navigation", "boilerplate")],
+                [f[2] for f in found], *[[f[4].get(rule, 0) for f in found] for rule in ("navigation", "punctuation", "boilerplate")],
             ]
             cleaned = pa.array([f[0] if t is not None else None for f, t in zip(found, part)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(part)), *[pa.array(c, pa.int64()) for c in counts], cleaned], names=["id", *COUNTS, "cleaned"])
             at += len(part)
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "n_punctuation", "n_navigation", "n_boilerplate"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "n_navigation", "n_punctuation", "n_boilerplate"]
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
