@@ -124,16 +124,6 @@ def test_registered_queries_use_the_reference_draws(spark, monkeypatch):
     assert estimators.isolation_screen(spark, "").count() and seen == {"trees": 500}
 
 
-def test_logit(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=500)
-    y = (rng.random(500) < 1 / (1 + np.exp(-(0.3 + 1.1 * x)))).astype(int)
-    beta, cover, _ = regression.logit(spark.createDataFrame([(float(i), int(j)) for i, j in zip(x, y)], "x double, y int"), "y", ["x"])
-    d = np.stack([np.ones(500), x], 1)
-    assert d.T @ (y - 1 / (1 + np.exp(-d @ beta))) == pytest.approx([0, 0], abs=1e-6)
-    assert cover.shape == (2, 2)
-
-
 def test_tails():
     assert special.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert special.f_upper(3.0, 2, 20) == pytest.approx(0.0725, abs=1e-4)

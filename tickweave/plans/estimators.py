@@ -58,13 +58,6 @@ def wild_bootstrap(spark: S, d: str) -> DataFrame:
     return drawn.agg(F.count("*").alias("draws"), (F.sum(F.when(F.abs("t") > t, 1).otherwise(0)) / F.count("*")).alias("p"))
 
 
-def fe_logit(spark: S, d: str) -> DataFrame:
-    rows = _panel(spark, d).withColumn("up", (F.col("x1") > 0).cast("int"))
-    beta, cover, rounds = regression.logit(rows, "up", ["y", "x2"])
-    names = ["constant", "y", "x2"]
-    return spark.createDataFrame([(n, float(b), float(cover[i, i] ** 0.5), rounds) for i, (n, b) in enumerate(zip(names, beta))], "term string, estimate double, error double, rounds int")
-
-
 def holm_adjust(spark: S, d: str) -> DataFrame:
     by = trades(spark, d).groupBy(F.col("market").alias("family"), F.col("dy").cast("string").alias("test")).agg((F.abs(F.sum("direction")) / (50.0 * F.count("*"))).alias("p"))
     return tests.holm(by, "family").select("family", "test", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
@@ -289,7 +282,7 @@ s AS (SELECT wallet, sum(starts) OVER (PARTITION BY wallet ORDER BY ts) AS k FRO
 SELECT wallet, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY ALL"""
 
 NAMES = (
-    "demean_one_way fe_ols_contrast wild_bootstrap fe_logit holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
+    "demean_one_way fe_ols_contrast wild_bootstrap holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
     "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -214,38 +214,3 @@ def wild_bootstrap(rows: DataFrame, y: str, xs: list[str], cluster: str, tested:
                 yield pd.DataFrame({"draw": seed * batch + np.arange(size), "t": t})
 
     return spark.range(-(-draws // batch)).mapInPandas(run, "draw long, t double")
-
-
-def logit(rows: DataFrame, y: str, xs: list[str], rounds: int = 25) -> tuple[np.ndarray, np.ndarray, int]:
-    """Coefficients (constant first), covariance and rounds of a logit by Newton steps, each one aggregation.
-
-    A step that lowers the likelihood is halved.
-    """
-    data = rows.withColumn("_one", F.lit(1.0)).select("_one", *xs, F.col(y).cast("double").alias("_y"))
-    names = ["_one", *xs]
-    beta, best = np.zeros(len(names)), -np.inf
-    step = np.zeros(len(names))
-    for at in range(rounds):
-        eta = sum((float(b) * F.col(x) for b, x in zip(beta, names)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        seen = data.withColumn("_p", F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
-        k = len(names)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        found = seen.agg(
-            F.sum(F.col("_y") * F.log("_p") + (1 - F.col("_y")) * F.log(1 - F.col("_p"))), *[F.sum((F.col("_y") - F.col("_p")) * F.col(x)) for x in names],
-            *[F.sum(F.col("_p") * (1 - F.col("_p")) * F.col(names[i]) * F.col(names[j])) for i, j in pairs],
-        ).first()
-        if found[0] < best - 1e-12:
-            step = step / 2
-            beta = beta - step
-            continue
-        gain, best = found[0] - best, found[0]
-        info = np.zeros((k, k))
-        for (i, j), v in zip(pairs, found[k + 1 :]):
-            info[i, j] = info[j, i] = v
-        cover = np.linalg.pinv(info)
-        if gain < 1e-9:
-            break
-        step = cover @ np.array(found[1 : k + 1])
-        beta = beta + step
-    return beta, cover, at + 1
