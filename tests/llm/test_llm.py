@@ -69,6 +69,29 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_minhash_compares_rows_without_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = list(base), [f"v{i}" for i in range(40)]
+    near[3] = "other"
+    schema = "doc_id long, text string, text_hash string, times int, digest binary, row string"
+    text = {"base": " ".join(base), "near": " ".join(near), "far": " ".join(far), "far2": " ".join([*far, "end"])}
+    rows = [(None, text["base"]), (None, text["near"]), (7, text["near"]), (None, text["base"]), (None, text["far"]), (None, text["far2"]), (None, text["far"]), (None, None), (None, " "), (7, text["near"]), (None, "alone in the world of words")]
+    table = spark.createDataFrame([(i, t, "h", 1, b"d", "r") for i, t in rows], schema)
+    for short in (64, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(minhash_dedup, "SHORT_LIST", short)
+            out = minhash_dedup.near_duplicates(table).collect()
+            left = minhash_dedup.deduplicate(table)
+        assert sorted((r.doc_id is None, r.n_shingles, r.component_id or 0, r.kept, r.copies) for r in out) == sorted(
+            [(True, 56, 7, False, 2)] * 2 + [(True, 56, 7, False, 3)] + [(False, 56, 7, True, 3)] * 2 + [(True, 36, 0, False, 2)] * 2 + [(True, 37, 0, False, 1)]
+            + [(True, 0, 0, True, 1)] * 2 + [(True, 2, 0, True, 1)]
+        )
+        assert left.columns == table.columns
+        kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+        assert len(kept) == 5 and (7, text["near"]) in kept and (None, None) in kept and (None, " ") in kept and (None, rows[-1][1]) in kept
+        assert sum(t in (text["far"], text["far2"]) for _, t in kept) == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (None, 3)] + [(200, i) for i in range(201, 260)]
     out = dict(graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
@@ -351,10 +374,9 @@ def test_language_equals_plain_backoff(spark):
 
 def test_language_model_bounds_raise(spark, monkeypatch):
     train = spark.createDataFrame([(i, "some words here", g) for i in range(8) for g in [f"l{i}"]], "doc_id long, text string, lang string")
-    monkeypatch.setattr(langid, "LEAST", 1)
     monkeypatch.setattr(langid, "MOST_ENTRIES", 5)
     with pytest.raises(ValueError, match="more than 5 counts"):
-        langid.predict(train, langid.fit(train, entries=None))
+        langid.predict(train, langid.fit(train, least=1))
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 7)
     with pytest.raises(ValueError, match="more than 7 languages"):
         langid.fit(train)

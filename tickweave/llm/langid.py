@@ -3,29 +3,27 @@
 A word that the model knows scores its per-language log frequency. An unseen word backs off
 to its character n-grams, ``LONGEST`` letters first, and takes the first length at which any
 n-gram is known. The model comes from a bounded, hash-spread sample of the labelled rows of
-each language and keeps its ``ENTRIES`` most frequent words and n-grams of each length (None:
-all that the sample holds). Every labelled language is learned. The model is broadcast, so
-its size is checked: beyond ``MOST_ENTRIES`` counts the fit ends with an error instead of
-leaving anything out.
+each language: its words are counted first, then every distinct word's n-grams once, with the
+word's count. Every labelled language is learned. The model is broadcast, so its size is
+checked: beyond ``MOST_ENTRIES`` counts its use ends with an error instead of leaving
+anything out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, field_of, small_batches
+from .common import as_row, cut, field_of, small_batches
 
 #: Most rows of a language (in expectation) that a fit reads; the sample is by hash of the id.
 SAMPLE_ROWS = 8_000
-#: Words, and n-grams of each length, kept of a language (the most frequent ones; None keeps all).
-ENTRIES: int | None = 12_000
 #: Most counts of a model that is broadcast (about 100 bytes each), and most languages of a plan.
 MOST_ENTRIES, MOST_LANGUAGES = 6_000_000, 2_000
 LONGEST = 5
-#: Added to each count, and the count below which a word or n-gram is left out.
+#: Added to each count, and the default of the count below which a word or n-gram is no entry (its occurrences still count in the total).
 SMOOTH, LEAST = 0.5, 2
 #: Bytes of known words' scores, and counts, that a task holds.
 CACHE_BYTES, CACHE_COUNTS = 16 << 20, 60_000
@@ -44,38 +42,47 @@ def grams_of(word: bytes, size: int) -> list[str]:
     return [padded[i : i + size] for i in range(len(padded) - size + 1)]
 
 
-def _count(batches):
+def _count_words(batches):
+    """``lang, word, n`` of a batch."""
     from collections import Counter
 
-    def out(counts):
-        if counts:
-            keys, n = list(counts), list(counts.values())
-            columns = [pa.array([k[j] for k in keys]) for j in range(3)]
-            return pa.RecordBatch.from_arrays(
-                [columns[0].cast(pa.string()), columns[1].cast(pa.int32()), columns[2].cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "gram", "n"]
-            )
-
     for batch in batches:
         by_lang: dict[str, Counter] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             by_lang.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in by_lang.items():
-            counts: Counter = Counter()
-            for word, n in words.items():
-                counts[lang, 0, word.decode("utf-8", "replace")] += n
-                for size in range(1, LONGEST + 1):
-                    for gram in grams_of(word, size):
-                        counts[lang, size, gram] += n
-                if len(counts) > CACHE_COUNTS:
-                    yield out(counts)
-                    counts.clear()
-            if counts:
+            found = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), found, pa.array(words.values(), pa.int64())], names=["lang", "word", "n"])
+
+
+def _count_grams(batches):
+    """``lang, size, gram, n``: each word under size 0, and its n-grams with the word's count."""
+    from collections import Counter
+
+    def out(counts):
+        keys = list(zip(*counts)) if counts else [(), (), ()]
+        kinds = (pa.string(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, kinds)), pa.array(counts.values(), pa.int64())], names=["lang", "size", "gram", "n"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+            counts[lang, 0, word] += n
+            padded = f" {word} "
+            for size in range(1, LONGEST + 1):
+                for i in range(len(padded) - size + 1):
+                    counts[lang, size, padded[i : i + size]] += n
+            if len(counts) > CACHE_COUNTS:
                 yield out(counts)
+                counts.clear()
+    if counts:
+        yield out(counts)
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", entries: int | None = ENTRIES) -> DataFrame:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
     """Counts ``lang, size, gram, n, total`` (size 0: words); rows without text or language are left out.
 
+    Words and n-grams seen fewer than ``least`` times in a language's sample are no entries.
     More than ``MOST_LANGUAGES`` languages, or a model of more than ``MOST_ENTRIES`` counts
     (seen when it is used), are an error.
     """
@@ -90,17 +97,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30))
     own = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), spot.alias("spot"))
     sample = own.join(F.broadcast(shares), "lang").where("spot < share").select("text", "lang")  # one row per language
-    counts = (
-        sample.mapInArrow(_count, "lang string, size int, gram string, n bigint")
-        .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    )
+    words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = cut(words.mapInArrow(_count_grams, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    kept = counts.where(F.col("n") >= LEAST)
-    if entries is not None:
-        # the sample's n-grams of one language and length, bounded by SAMPLE_ROWS
-        top = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-        kept = kept.withColumn("place", top).where(F.col("place") <= entries).drop("place")
-    return kept.join(totals, ["lang", "size"])
+    return counts.where(F.col("n") >= least).join(totals, ["lang", "size"])
 
 
 def tables_of(rows: list[tuple]) -> tuple[list, list, list]:
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, counts: DataFrame, text_col: str | tuple[str, ...]
     small_batches(docs.sparkSession)
     found = counts.select("lang", "size", "gram", "n", "total").limit(MOST_ENTRIES + 1).collect()
     if len(found) > MOST_ENTRIES:
-        raise ValueError(f"a model of more than {MOST_ENTRIES} counts; fit with fewer entries")
+        raise ValueError(f"a model of more than {MOST_ENTRIES} counts; fit with a higher least count")
     tables = tables_of([tuple(r) for r in found])
     packed = as_row(docs, "lang_pred", "score")
     schema = packed.select("row").schema.add("lang_pred", "string").add("score", "double")
