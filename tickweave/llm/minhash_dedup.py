@@ -114,6 +114,18 @@ def _sets(width: int):
     return run
 
 
+def _digests(width: int):
+    def run(batches):
+        cache = _WordHashes()
+        for batch in batches:
+            found = [shingle_set(t, width, cache) for t in _binary(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found], pa.binary())], names=["row", "digest"]
+            )
+
+    return run
+
+
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of an array column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -156,11 +168,16 @@ def _block_links(num: int, den: int):
 
 
 def _shingles(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``digest, shingles`` of the named classes, from the text of the row that stands for each."""
-    sets = (
-        texts.join(classes.select("id").distinct(), "id", "left_semi").select("text")
-        .mapInArrow(_sets(width), "digest binary, shingles array<bigint>")
-    )
+    """``digest, shingles`` of the named classes (``digest, id``), from the text of the row that stands for each.
+
+    A class that holds no id is found by its digest among the rows without id; these are read
+    only if there is such a class.
+    """
+    schema = "digest binary, shingles array<bigint>"
+    sets = texts.join(classes.where("id is not null").select("id").distinct(), "id", "left_semi").select("text").mapInArrow(_sets(width), schema)
+    nameless = classes.where("id is null").select("digest").distinct()
+    if nameless.limit(1).count():
+        sets = sets.union(texts.where("id is null").select("text").mapInArrow(_sets(width), schema).join(nameless, "digest", "left_semi"))
     return sets.groupBy("digest").agg(F.any_value("shingles").alias("shingles"))
 
 
@@ -174,7 +191,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
         .where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (same >= MATCHES))
         .select("a", "b", "n_a", "n_b", "id_a", "id_b")
     )
-    sets = cut(_shingles(likely.select(F.explode(F.array("id_a", "id_b")).alias("id")), texts, width))
+    sides = [likely.select(F.col(x).alias("digest"), F.col(f"id_{x}").alias("id")) for x in ("a", "b")]
+    sets = cut(_shingles(sides[0].union(sides[1]), texts, width))
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return (
         likely.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("s_a")), "a")
@@ -185,19 +203,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
     )
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)
-) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept, copies``.
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """``id, n, digest`` of each row, and ``digest, component_id, copies, first, members`` of each class.
 
-    Rows are linked when ``den * |A & B| >= num * |A | B|`` for their shingle sets and
-    ``similarity = (num, den)``; ``component_id`` is the least id reachable by links,
-    ``kept`` says whether the row holds it, and ``copies`` counts the rows with the same
-    set. A text without words (or null) has no shingles, is linked with nothing and is
-    kept. A row without id is judged like any other but never names a component; if all
-    rows of a component lack one, ``component_id`` is null, and such rows are not kept
-    unless they stand alone. Rows that repeat an id are each judged by their own text.
-    Other columns of ``docs`` are ignored; an empty table gives an empty result.
+    Classes are compared by their digests, whether or not a row of theirs has an id;
+    ``component_id`` is the least id of the class's component, ``first`` its least digest, ``members`` its rows.
     """
     num, den = similarity
     small_batches(docs.sparkSession)
@@ -207,7 +217,7 @@ def near_duplicates(
         rows.where("n > 0").groupBy("digest")
         .agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
     )
-    posts = classes.where("id is not null").select("digest", F.posexplode("sig").alias("at", "low")).select(
+    posts = classes.select("digest", F.posexplode("sig").alias("at", "low")).select(
         "digest", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("low").cast("long")).alias("key")
     )
     often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
@@ -256,29 +266,68 @@ def near_duplicates(
     placed = classes.select("digest", "id", "copies").join(trees.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "root", F.coalesce("component", "digest")
     )
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = placed.join(least, "root").select("digest", "component_id", "copies")
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min("digest").alias("first"), F.sum("copies").alias("members"))
+    return rows, placed.join(least, "root").select("digest", "component_id", "copies", "first", "members")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)
+) -> DataFrame:
+    """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept, copies``.
+
+    Rows are linked when ``den * |A & B| >= num * |A | B|`` for their shingle sets and
+    ``similarity = (num, den)``; ``component_id`` is the least id reachable by links,
+    ``kept`` says whether the row holds it, and ``copies`` counts the rows with the same
+    set. A text without words (or null) has no shingles, is linked with nothing and is
+    kept. A row without id is compared like any other but never names a component; if all
+    rows of a component lack one, ``component_id`` is null, and such rows are not kept
+    unless they stand alone. Rows that repeat an id are each judged by their own text.
+    Other columns of ``docs`` are ignored; an empty table gives an empty result. A text's set
+    is made as a whole in one task, in memory of about 100 bytes a word.
+    """
+    rows, named = _classes(docs, id_col, text_col, width, similarity)
     out = rows.select("id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    alone = (F.col("n") == 0) | (F.col("copies") == 1) & F.col("component_id").isNull()
+    alone = (F.col("n") == 0) | (F.col("members") == 1) & F.col("component_id").isNull()
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, alone).alias("kept"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100)
+) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, all columns kept.
 
     The row with the group's least id stays. Rows that repeat an id and its text count as
-    one; of rows that share an id but not the text each stays that its id would keep. Rows
-    without id cannot be told apart by it, so they all stay.
+    one; of rows that share an id but not the text each stays that its id would keep. A row
+    without id goes if its group holds an id; of a group without any, one row of the class
+    with the least digest stays. Texts without words all stay, and columns may have any name.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    stays = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    again = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(id_col)
+    rows, named = _classes(docs, id_col, text_col, width, similarity)
+    found = rows.join(named, "digest", "left").where("id is not null and (n = 0 or id = component_id)")
+    stays = found.select(F.col("id").alias(id_col)).distinct()
+    times, hashed = _fresh(docs, "times"), _fresh(docs, "text_hash")
+    again = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias(times)).where(f"{times} > 1").select(id_col)
     left = docs.join(stays, id_col, "left_semi")
     once = left.join(again, id_col, "left_anti")
     # only repeated ids pay for a shuffle of their texts
-    repeated = left.join(again, id_col, "left_semi").withColumn("text_hash", F.sha2(F.col(text_col).cast("binary"), 256))
-    return once.union(repeated.dropDuplicates([id_col, "text_hash"]).drop("text_hash")).union(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    repeated = left.join(again, id_col, "left_semi").withColumn(hashed, F.sha2(F.col(text_col).cast("binary"), 256))
+    kept = once.union(repeated.dropDuplicates([id_col, hashed]).drop(hashed)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    nameless = docs.where(F.col(id_col).isNull())
+    if not nameless.limit(1).count():
+        return kept
+    packed = nameless.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    told = packed.mapInArrow(_digests(width), packed.select("row").schema.add("digest", "binary"))
+    heads = named.where("component_id is null and digest = first").select("digest")
+    one = told.where("digest is not null").join(heads, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
+    return kept.union(told.where("digest is null").select("row.*")).union(one)
