@@ -91,17 +91,6 @@ def test_fixed_effects_and_clusters(spark):
     want = bread @ s.T @ s @ bread * 12 / 11 * 399 / 398
     cover, groups = fit.covariance(["a"])
     assert groups == 12 and cover == pytest.approx(want, rel=1e-6)
-    p = regression.wild_bootstrap(fit.rows, "y", ["x1", "x2"], "a", 1, draws=300, batch=100)
-    assert p.count() == 300 and p.select("draw").distinct().count() == 300
-
-
-def test_cluster_products_cut_nothing(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, float(i % 3), float(i)) for i in range(12)], "c int, x double, y double")
-    monkeypatch.setattr(regression, "MOST_CLUSTERS", 12)
-    assert len(regression.cluster_products(rows, "y", ["x"], "c")[0]) == 12
-    monkeypatch.setattr(regression, "MOST_CLUSTERS", 11)
-    with pytest.raises(ValueError):
-        regression.cluster_products(rows, "y", ["x"], "c")
 
 
 def test_registered_queries_use_the_reference_draws(spark, monkeypatch):
@@ -114,7 +103,7 @@ def test_registered_queries_use_the_reference_draws(spark, monkeypatch):
         [(i, "m", i % 5, i * 600, i * 600 // 86400, float(i % 37), i % 37 / 500, "BUY", "YES", 1 if i % 3 else -1) for i in range(1200)],
         "event_id long, market string, wallet long, sec long, dy long, value double, price double, side string, outcome string, direction int",
     ))
-    assert estimators.wild_bootstrap(spark, "").first().draws == 9_999
+    assert {r.draws for r in estimators.wild_bootstrap(spark, "").collect()} == {9_999}
     assert estimators.cluster_bootstrap(spark, "").first().draws == 4_999
     draws = []
     real = tests.permutation_p

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ..ml import evaluation as ev
 from ..ml import models
 from ..operators import aggregates as agg
 from ..operators import matching
-from ..sources.shared import cut
+from ..sources.shared import cut, new_folder
 from ..sources.tables import trades
-from ..stats import regression, tests
+from ..stats import bootstrap, regression, tests
 from ..streaming import streams
 from .binding import T
 from .panels import PANEL
@@ -38,24 +40,117 @@ def _fit(spark: S, d: str) -> regression.Fit:
     return regression.Fit(regression.demean(_panel(spark, d), ["y", "x1", "x2"], ["market", "dy"]), "y", ["x1", "x2"])
 
 
+#: Combinations of the two coefficients.
+CONTRASTS = {"x1": [1.0, 0.0], "x2": [0.0, 1.0], "x1-x2": [1.0, -1.0]}
+
+
+def _digits(values, digits: int = 6) -> list[float | None]:
+    return [None if v is None or math.isnan(v) else round(float(v), digits) for v in values]
+
+
 def fe_ols_contrast(spark: S, d: str) -> DataFrame:
     """Coefficients, their difference and the joint test under two-way effects, clustered by day and two ways."""
     fit = _fit(spark, d)
     rows = []
     for name, (cover, groups) in {"dy": fit.covariance(["dy"]), "market_dy": fit.two_way("market", "dy")}.items():
-        for term, w in {"x1": [1.0, 0.0], "x2": [0.0, 1.0], "x1-x2": [1.0, -1.0]}.items():
-            rows.append((name, term, *map(float, fit.contrast(w, cover, groups)), groups))
+        for term, w in CONTRASTS.items():
+            rows.append((name, term, *_digits(fit.contrast(w, cover, groups)), groups))
         f, p = fit.joint_test(cover, groups)
-        rows.append((name, "joint", float(f), None, None, float(p), None, None, groups))
+        rows.append((name, "joint", *_digits((f, None, None, p, None, None)), groups))
     return spark.createDataFrame(rows, "clusters string, term string, estimate double, error double, t double, p double, low double, high double, groups int")
 
 
 def wild_bootstrap(spark: S, d: str) -> DataFrame:
+    """Each coefficient and their difference against 9,999 draws under the restriction that it is 0."""
     fit = _fit(spark, d)
-    cover, _ = fit.covariance(["dy"])
-    t = abs(float(fit.beta[0] / cover[0, 0] ** 0.5))
-    drawn = regression.wild_bootstrap(fit.rows, "y", ["x1", "x2"], "dy", 0)
-    return drawn.agg(F.count("*").alias("draws"), (F.sum(F.when(F.abs("t") > t, 1).otherwise(0)) / F.count("*")).alias("p"))
+    cover, groups = fit.covariance(["dy"])
+    folder, out = new_folder(spark, "draws"), None
+    for term, w in CONTRASTS.items():
+        value, _, t, *_ = fit.contrast(w, cover, groups)
+        drawn = bootstrap.exceedance(bootstrap.contrast_draws(fit, "dy", w, folder=folder), t)
+        part = drawn.select(F.lit(term).alias("term"), F.lit(round(value, 6)).alias("estimate"), F.lit(round(t, 6)).alias("t"), "draws", "exceed", F.round("p", 6).alias("p"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _t_tail(t: str, df: str) -> str:
+    """SQL of P(|T| > t) for whole degrees of freedom, by the finite series in the angle."""
+    steps = f"greatest(0, ({df} - 2 - {df} % 2) // 2)"
+    series = (
+        f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(0, {steps}), lambda i: ({steps} - i)::DOUBLE)), "
+        f"lambda acc, j: 1 + (2 * j - 1 + {df} % 2) / (2 * j + {df} % 2) * {df} / ({df} + ({t}) * ({t})) * acc)"
+    )
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    return (
+        f"(1 - CASE WHEN {df} = 1 THEN 2 / pi() * {angle} WHEN {df} % 2 = 1 THEN 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {series}) ELSE sin({angle}) * {series} END)"
+    )
+
+
+def _t_quantile(df: str) -> str:
+    """SQL of the bound that |T| passes with probability 0.05, by halving."""
+    halves = "list_transform(range(0, 60), lambda h: 1024.0::DOUBLE / pow(2, h))"
+    return f"list_reduce(list_prepend(0.0::DOUBLE, {halves}), lambda low, step: CASE WHEN {_t_tail('(low + step)', df)} > 0.05 THEN low + step ELSE low END)"
+
+
+# Cell means swept by market and day in turn; what is left of a row is its value less its cell's mean, plus what is left of that.
+_SWEEPS = 80
+_TWO_WAY = f"""WITH RECURSIVE {T}, {PANEL},
+r AS (SELECT market, bucket // 86400 AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM p),
+c0 AS (SELECT market, dy, count(*)::DOUBLE AS n, avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2 FROM r GROUP BY ALL),
+c(step, market, dy, n, y, x1, x2) AS (
+  SELECT 0, * FROM c0 UNION ALL
+  SELECT step + 1, market, dy, n, y - sum(n * y) OVER d / sum(n) OVER d, x1 - sum(n * x1) OVER d / sum(n) OVER d, x2 - sum(n * x2) OVER d / sum(n) OVER d FROM (
+    SELECT step, market, dy, n, y - sum(n * y) OVER m / sum(n) OVER m AS y, x1 - sum(n * x1) OVER m / sum(n) OVER m AS x1, x2 - sum(n * x2) OVER m / sum(n) OVER m AS x2
+    FROM c WHERE step < {_SWEEPS} WINDOW m AS (PARTITION BY market)) WINDOW d AS (PARTITION BY dy)),
+f AS (
+  SELECT * FROM (
+    SELECT r.market, r.dy, r.y - c0.y + c.y AS y, r.x1 - c0.x1 + c.x1 AS x1, r.x2 - c0.x2 + c.x2 AS x2
+    FROM r JOIN c0 USING (market, dy) JOIN c USING (market, dy) WHERE c.step = {_SWEEPS}) WHERE abs(x1) > 1e-14 OR abs(x2) > 1e-14),
+b AS (
+  SELECT *, s22 / det AS i11, -s12 / det AS i12, s11 / det AS i22, (s22 * y1 - s12 * y2) / det AS b1, (s11 * y2 - s12 * y1) / det AS b2 FROM (
+    SELECT *, s11 * s22 - s12 * s12 AS det FROM (
+      SELECT sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS y1, sum(x2 * y) AS y2, count(*)::DOUBLE AS n FROM f))),
+e AS (SELECT f.market, f.dy, x1 * (y - b1 * x1 - b2 * x2) AS u1, x2 * (y - b1 * x1 - b2 * x2) AS u2 FROM f, b),
+m AS (
+  SELECT kind, count(*) AS g, sum(u1 * u1) AS m11, sum(u1 * u2) AS m12, sum(u2 * u2) AS m22 FROM (
+    SELECT 'dy' AS kind, sum(u1) AS u1, sum(u2) AS u2 FROM e GROUP BY dy UNION ALL SELECT 'market', sum(u1), sum(u2) FROM e GROUP BY market
+    UNION ALL SELECT 'both', sum(u1), sum(u2) FROM e GROUP BY market, dy) GROUP BY kind),
+v AS (
+  SELECT kind, g, g / (g - 1.0) * (n - 1) / (n - 2) * (i11 * (m11 * i11 + m12 * i12) + i12 * (m12 * i11 + m22 * i12)) AS v11,
+    g / (g - 1.0) * (n - 1) / (n - 2) * (i11 * (m11 * i12 + m12 * i22) + i12 * (m12 * i12 + m22 * i22)) AS v12,
+    g / (g - 1.0) * (n - 1) / (n - 2) * (i12 * (m11 * i12 + m12 * i22) + i22 * (m12 * i12 + m22 * i22)) AS v22 FROM m, b),
+k(term, r1, r2) AS (VALUES ('x1', 1.0::DOUBLE, 0.0::DOUBLE), ('x2', 0.0, 1.0), ('x1-x2', 1.0, -1.0))"""
+FE_OLS_CONTRAST = f"""{_TWO_WAY},
+w AS (
+  SELECT 'dy' AS clusters, g, v11, v12, v22 FROM v WHERE kind = 'dy' UNION ALL
+  SELECT 'market_dy', min(g) FILTER (kind <> 'both'), sum(CASE kind WHEN 'both' THEN -v11 ELSE v11 END), sum(CASE kind WHEN 'both' THEN -v12 ELSE v12 END),
+    sum(CASE kind WHEN 'both' THEN -v22 ELSE v22 END) FROM v),
+tests AS (
+  SELECT *, estimate / error AS t, g - 1 AS df FROM (
+    SELECT clusters, term, g, r1 * b1 + r2 * b2 AS estimate, CASE WHEN s > 0 THEN sqrt(s) END AS error FROM (
+      SELECT *, r1 * r1 * v11 + 2 * r1 * r2 * v12 + r2 * r2 * v22 AS s FROM w, k, b))),
+q AS (SELECT df, {_t_quantile("df")} AS q FROM (SELECT DISTINCT df FROM tests)),
+j AS (SELECT clusters, g, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) / (v11 * v22 - v12 * v12) / 2 AS f FROM w, b)
+SELECT clusters, term, round(estimate, 6) AS estimate, round(error, 6) AS error, round(t, 6) AS t, round({_t_tail("t", "tests.df")}, 6) AS p, round(estimate - q * error, 6) AS low,
+  round(estimate + q * error, 6) AS high, g::INT AS "groups" FROM tests JOIN q USING (df)
+UNION ALL SELECT clusters, 'joint', round(f, 6), NULL, NULL, round(pow(1 + 2 * f / (g - 1), -(g - 1) / 2.0), 6), NULL, NULL, g::INT FROM j"""
+WILD_BOOTSTRAP = f"""{_TWO_WAY},
+a AS (SELECT dy::VARCHAR AS dy, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * y) AS q1, sum(x2 * y) AS q2 FROM f GROUP BY ALL),
+h AS (
+  SELECT *, b1 - z1 * (r1 * b1 + r2 * b2) / (r1 * z1 + r2 * z2) AS h1, b2 - z2 * (r1 * b1 + r2 * b2) / (r1 * z1 + r2 * z2) AS h2 FROM (
+    SELECT *, i11 * r1 + i12 * r2 AS z1, i12 * r1 + i22 * r2 AS z2 FROM k, b)),
+s AS (
+  SELECT *, q1 - a11 * h1 - a12 * h2 AS s1, q2 - a12 * h1 - a22 * h2 AS s2, h1 * a11 + h2 * a12 AS f1, h1 * a12 + h2 * a22 AS f2 FROM a, h),
+d AS (SELECT i::BIGINT AS draw FROM range(9999) t(i)),
+g AS (SELECT draw, dy, CASE WHEN substr(md5((draw // 32) || ':' || dy), 1 + draw % 32, 1) < '8' THEN 1 ELSE -1 END AS sign FROM d, (SELECT dy FROM a)),
+o AS (SELECT term, draw, sum(f1 + sign * s1) AS o1, sum(f2 + sign * s2) AS o2 FROM s JOIN g USING (dy) GROUP BY ALL),
+n AS (SELECT term, draw, i11 * o1 + i12 * o2 AS d1, i12 * o1 + i22 * o2 AS d2 FROM o, b),
+u AS (
+  SELECT term, draw, any_value(r1 * d1 + r2 * d2) AS top, sum(pow(z1 * (f1 + sign * s1 - a11 * d1 - a12 * d2) + z2 * (f2 + sign * s2 - a12 * d1 - a22 * d2), 2)) AS square, count(*) AS g, any_value(n) AS n
+  FROM s JOIN g USING (dy) JOIN n USING (term, draw) GROUP BY term, draw),
+seen AS (SELECT term, r1 * b1 + r2 * b2 AS estimate, (r1 * b1 + r2 * b2) / sqrt(r1 * r1 * v11 + 2 * r1 * r2 * v12 + r2 * r2 * v22) AS t FROM k, b, v WHERE kind = 'dy'),
+x AS (SELECT term, count(*) AS draws, count(*) FILTER (abs(top / sqrt(u.g / (u.g - 1.0) * (u.n - 1) / (u.n - 2) * square)) > abs(t)) AS exceed FROM u JOIN seen USING (term) GROUP BY term)
+SELECT term, round(estimate, 6) AS estimate, round(t, 6) AS t, draws, exceed, round(exceed / draws, 6) AS p FROM x JOIN seen USING (term)"""
 
 
 def holm_adjust(spark: S, d: str) -> DataFrame:

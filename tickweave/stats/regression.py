@@ -168,49 +168,3 @@ class Fit:
         k = len(self.xs)
         f = float(self.beta @ np.linalg.pinv(covariance) @ self.beta) / k
         return f, f_upper(f, k, groups - 1)
-
-
-def cluster_products(rows: DataFrame, y: str, xs: list[str], cluster: str) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y of every cluster, the input of bootstraps; an error beyond MOST_CLUSTERS."""
-    k = len(xs)
-    found = rows.groupBy(cluster).agg(
-        *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(k)], *[F.sum(F.col(x) * F.col(y)).alias(f"q{i}") for i, x in enumerate(xs)]
-    ).orderBy(cluster).drop(cluster).limit(MOST_CLUSTERS + 1).collect()
-    if len(found) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
-    m = np.array([tuple(r) for r in found], float)
-    return m[:, : k * k].reshape(-1, k, k), m[:, k * k :]
-
-
-def wild_bootstrap(rows: DataFrame, y: str, xs: list[str], cluster: str, tested: int, draws: int = 9_999, batch: int = 250) -> DataFrame:
-    """``draw, t`` of a restricted wild cluster bootstrap (Rademacher) of one coefficient being 0.
-
-    Draws are made on executors, a batch per seed, so a repeated task gives the same draws.
-    """
-    spark = rows.sparkSession
-    xx, xy = cluster_products(rows, y, xs, cluster)
-    n, k, g = rows.count(), len(xs), len(xx)
-    keep = [i for i in range(k) if i != tested]
-    restricted = np.zeros(k)
-    if keep:
-        restricted[keep] = np.linalg.pinv(xx.sum(0)[np.ix_(keep, keep)]) @ xy.sum(0)[keep]
-    shared = spark.sparkContext.broadcast((xx, xx @ restricted, xy - xx @ restricted, n))  # k x k a cluster, at most MOST_CLUSTERS
-
-    def run(frames):
-        import pandas as pd
-
-        a, fitted, left, rows_n = shared.value
-        bread = np.linalg.pinv(a.sum(0))
-        factor = g / (g - 1) * (rows_n - 1) / (rows_n - k)
-        for frame in frames:
-            for seed in frame["id"]:
-                size = min(batch, draws - seed * batch)
-                signs = np.random.default_rng([17, int(seed)]).choice([-1.0, 1.0], (size, g))
-                own = fitted[None] + signs[:, :, None] * left[None]
-                beta = own.sum(1) @ bread
-                score = own - np.einsum("gij,bj->bgi", a, beta)
-                half = score @ bread[tested]
-                t = beta[:, tested] / np.sqrt(factor * (half * half).sum(1))
-                yield pd.DataFrame({"draw": seed * batch + np.arange(size), "t": t})
-
-    return spark.range(-(-draws // batch)).mapInPandas(run, "draw long, t double")
