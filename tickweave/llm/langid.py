@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from .common import as_row, cut, field_of, small_batches
 
 #: Most rows of a language (in expectation) that a fit reads; the sample is by hash of the id.
 SAMPLE_ROWS = 8_000
-#: Most counts of a model that is broadcast (about 100 bytes each), and most languages of a plan.
+#: Most counts of a model that is broadcast (about 150 bytes each in a worker), and most languages of a plan.
 MOST_ENTRIES, MOST_LANGUAGES = 6_000_000, 2_000
+#: Most frequencies of a size: its words or n-grams times the languages.
+MOST_CELLS = 50_000_000
 LONGEST = 5
 #: Added to each count, and the default of the count below which a word or n-gram is no entry (its occurrences still count in the total).
 SMOOTH, LEAST = 0.5, 2
@@ -103,27 +106,31 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return counts.where(F.col("n") >= least).join(totals, ["lang", "size"])
 
 
-def tables_of(rows: list[tuple]) -> tuple[list, list, list]:
-    """Languages; by size, the index of each word or n-gram; by size, log frequencies per language."""
-    langs = sorted({r[0] for r in rows})
-    at = {lang: i for i, lang in enumerate(langs)}
-    sizes = LONGEST + 1
-    totals = np.ones((sizes, len(langs)))
-    tables: list[dict[str, int]] = [{} for _ in range(sizes)]
-    for lang, size, gram, _, total in rows:
-        totals[size, at[lang]] = total
-        tables[size].setdefault(gram, len(tables[size]))
-    counts = [np.full((len(t), len(langs)), SMOOTH) for t in tables]
-    for lang, size, gram, n, _ in rows:
-        counts[size][tables[size][gram], at[lang]] += n
-    return langs, tables, [np.log(c / (totals[i] + SMOOTH * (len(c) + 1))) for i, c in enumerate(counts)]
+def tables_of(found: pa.Table) -> tuple[list, list, list]:
+    """Languages; by size, the words or n-grams; by size, log frequencies per language."""
+    langs = sorted(found.column("lang").unique().to_pylist())
+    tables, logs = [], []
+    for size in range(LONGEST + 1):
+        part = found.filter(pc.equal(found.column("size"), size)).combine_chunks()
+        lang = pc.index_in(part.column("lang"), pa.array(langs, pa.string())).to_numpy()
+        coded = part.column("gram").combine_chunks().dictionary_encode()
+        if len(coded.dictionary) * len(langs) > MOST_CELLS:
+            raise ValueError(f"a model of more than {MOST_CELLS} frequencies; fit with a higher least count")
+        totals = np.ones(len(langs))
+        totals[lang] = part.column("total").to_numpy()
+        counts = np.full((len(coded.dictionary), len(langs)), SMOOTH)
+        counts[coded.indices.to_numpy(), lang] += part.column("n").to_numpy()  # one row per gram and language
+        tables.append(coded.dictionary)
+        logs.append(np.log(counts / (totals + SMOOTH * (len(counts) + 1))))
+    return langs, tables, logs
 
 
 class Model:
     """Scores of words from the tables of a fit."""
 
     def __init__(self, langs: list, tables: list, logs: list):
-        self.langs, self.tables, self.logs = langs, tables, logs
+        self.langs, self.logs = langs, logs
+        self.tables = [{gram: at for at, gram in enumerate(t.to_pylist())} for t in tables]
 
     def word(self, word: bytes) -> np.ndarray:
         known = self.tables[0].get(word.decode("utf-8", "replace"))
@@ -182,10 +189,10 @@ def predict(docs: DataFrame, counts: DataFrame, text_col: str | tuple[str, ...]
     predicted alike; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    found = counts.select("lang", "size", "gram", "n", "total").limit(MOST_ENTRIES + 1).collect()
-    if len(found) > MOST_ENTRIES:
+    found = counts.select("lang", "size", "gram", "n", "total").limit(MOST_ENTRIES + 1).toArrow()
+    if found.num_rows > MOST_ENTRIES:
         raise ValueError(f"a model of more than {MOST_ENTRIES} counts; fit with a higher least count")
-    tables = tables_of([tuple(r) for r in found])
+    tables = tables_of(found)
     packed = as_row(docs, "lang_pred", "score")
     schema = packed.select("row").schema.add("lang_pred", "string").add("score", "double")
     return packed.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(tables), text_col), schema).select("row.*", "lang_pred", "score")
