@@ -1,40 +1,59 @@
-"""Nearest-neighbour matching without replacement."""
+"""Nearest-neighbour matching without replacement, by rounds of proposals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .temporal import interval_pairs
 
+#: Rounds after which matching is an error; each one settles at least one case.
+ROUNDS = 2_000
 
-def greedy_nearest(cases: DataFrame, controls: DataFrame, keys: list[str], at: str, name: str, caliper: int) -> DataFrame:
-    """``case_id, control_id, gap``: each case takes its nearest free control within the caliper.
 
-    Cases with the fewest candidates choose first, ties by name; so do equally near controls.
-    Candidate pairs come from a bucketed interval join. The greedy pass is sequential within a
-    group of linked time: groups are cut wherever the cases of a key are more than two
-    calipers apart, since such cases share no control.
+def candidates(cases: DataFrame, controls: DataFrame, keys: list[str], at: str, name: str, caliper: int, same_time: bool = False) -> DataFrame:
+    """``case_id, control_id, gap, turn, wish``: pairs with equal keys at most ``caliper`` apart.
+
+    ``turn`` orders cases: those with the fewest candidates first, then by time, then by name.
+    ``wish`` orders the candidates of a case: by gap, then time, then name. A control at the
+    case's own time is no candidate unless ``same_time``.
     """
-    import pandas as pd
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(at, name)
-    gap = F.col(at) - F.lag(at).over(w)
-    islands = cases.select(*keys, at, name).withColumn("_new", F.coalesce((gap > 2 * caliper).cast("long"), F.lit(1))).withColumn("island", F.sum("_new").over(w)).drop("_new")
-    right = controls.select(*keys, F.col(at).alias("r_at"), F.col(name).alias("control_id"))
-    pairs = interval_pairs(islands, right, keys, -caliper - 1, caliper, at=at, right_at="r_at").select(
-        *keys, "island", F.col(name).alias("case_id"), "control_id", F.abs(F.col("r_at") - F.col(at)).alias("gap")
+    left = cases.select(*keys, F.col(at).alias("_at"), F.col(name).alias("case_id"))
+    right = controls.select(*keys, F.col(at).alias("_r_at"), F.col(name).alias("control_id"))
+    gap = F.abs(F.col("_r_at") - F.col("_at"))
+    pairs = interval_pairs(left, right, keys, -caliper - 1, caliper, at="_at", right_at="_r_at").withColumn("gap", gap)
+    if not same_time:
+        pairs = pairs.where("gap > 0")
+    counted = pairs.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.join(counted, "case_id").select(
+        "case_id", "control_id", "gap", F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"), F.col("case_id").alias("id")).alias("turn"),
+        F.struct(F.col("gap").alias("gap"), F.col("_r_at").alias("at"), F.col("control_id").alias("id")).alias("wish"),
     )
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_n=frame.groupby("case_id")["control_id"].transform("size")).sort_values(["_n", "case_id", "gap", "control_id"])
-        used, done, out = set(), set(), []
-        for case, control, near in zip(frame["case_id"], frame["control_id"], frame["gap"]):
-            if case not in done and control not in used:
-                done.add(case)
-                used.add(control)
-                out.append((case, control, near))
-        return pd.DataFrame(out, columns=["case_id", "control_id", "gap"])
-
-    return pairs.groupBy(*keys, "island").applyInPandas(choose, "case_id long, control_id long, gap long")
+
+def greedy_nearest(cases: DataFrame, controls: DataFrame, keys: list[str], at: str, name: str, caliper: int, same_time: bool = False) -> DataFrame:
+    """``case_id, control_id, gap``: in order of ``turn`` each case takes its nearest free control within the caliper.
+
+    The result is that of the sequential rule, without running it: since all controls rank the
+    cases alike, it is the one matching in which no case and control would both rather have
+    each other, and rounds of proposals find it. In a round every case proposes to its first
+    remaining control, every control holds the case whose turn comes first, and pairs of a
+    control with later cases than that go for good. A round is two aggregations and a join
+    over the remaining pairs; when none goes, the proposals stand. There are as many rounds
+    as cases stand in line for the same controls at most.
+
+    Names are unique among cases and among controls. Rows with a null key, time or name match
+    nothing, and so do empty tables.
+    """
+    left = cut(candidates(cases, controls, keys, at, name, caliper, same_time).where("case_id is not null and control_id is not null"))
+    size = left.count()
+    for _ in range(ROUNDS):
+        asked = left.groupBy("case_id").agg(F.min_by(F.struct("control_id", "turn", "gap"), "wish").alias("p")).select("case_id", "p.*")
+        held = asked.groupBy("control_id").agg(F.min("turn").alias("best"))
+        kept = cut(left.join(held, "control_id", "left").where("best is null or turn <= best").drop("best"))
+        remain = kept.count()
+        if remain == size:
+            return asked.select("case_id", "control_id", "gap")
+        left, size = kept, remain
+    raise ArithmeticError(f"matching goes on after {ROUNDS} rounds")

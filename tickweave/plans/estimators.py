@@ -7,15 +7,17 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import market
 from ..ml import evaluation as ev
 from ..ml import models
 from ..operators import aggregates as agg
-from ..operators import matching
+from ..operators import matching, temporal
 from ..sources.shared import cut, new_folder
-from ..sources.tables import trades
+from ..sources.tables import ticks, trades
 from ..stats import bootstrap, regression, tests
 from ..streaming import streams
-from .binding import T
+from .basics import PHASE
+from .binding import K, KICKOFF, RESOLUTION, T
 from .panels import PANEL
 
 S = SparkSession
@@ -336,10 +338,41 @@ def isolation_screen(spark: S, d: str) -> DataFrame:
     return at.orderBy(F.desc("score"), "key").limit(max(1, -(-at.count() // 100)))
 
 
+#: Seconds between a case and its control, and around any case in which no row of the market is a control.
+CALIPER, BUFFER = 12 * 3_600, 60
+
+
 def matched_controls(spark: S, d: str) -> DataFrame:
-    rows = trades(spark, d).withColumn("cell", F.concat_ws("/", "side", "outcome"))
-    large, controls = rows.where("value >= 150"), rows.where("value < 100")
-    return matching.greedy_nearest(large, controls, ["market", "cell"], "sec", "event_id", 6 * 3600)
+    """For each large trade a small one of its market, direction, phase and bin of the last price before it, away from all large ones."""
+    quoted = temporal.asof(trades(spark, d).drop("price"), temporal.last_per_second(ticks(spark, d)), strict=True)
+    rows = quoted.withColumns({"phase": market.phase(F.col("sec"), KICKOFF, RESOLUTION), "bin": market.price_decile(F.col("asof_price"))})
+    large, small = rows.where("value >= 150"), rows.where("value < 100")
+    near = temporal.interval_pairs(small.select("market", "sec", "event_id"), large.select("market", F.col("sec").alias("r_sec")), ["market"], -BUFFER - 1, BUFFER)
+    free = small.join(near.select("event_id").distinct(), "event_id", "left_anti")
+    return matching.greedy_nearest(large, free, ["market", "direction", "phase", "bin"], "sec", "event_id", CALIPER)
+
+
+# The sequential rule itself: in every cell the next case in turn takes its nearest free control.
+MATCHED_CONTROLS = f"""WITH RECURSIVE {T},
+{K},
+r AS (
+  SELECT t.event_id, t.market, t.sec, t.value, t.direction, phase, least(9, greatest(0, floor(k.price * 10)))::INT AS bin
+  FROM (SELECT *, {PHASE} AS phase FROM t) t ASOF LEFT JOIN k ON t.market = k.market AND t.sec > k.sec),
+l AS (SELECT * FROM r WHERE value >= 150),
+f AS (SELECT * FROM r WHERE value < 100 AND NOT EXISTS (SELECT 1 FROM l WHERE l.market = r.market AND abs(l.sec - r.sec) <= {BUFFER})),
+p AS MATERIALIZED (
+  SELECT concat_ws('/', market, direction, phase, bin) AS cell, l.event_id AS case_id, l.sec, f.event_id AS control_id, f.sec AS r_at, abs(f.sec - l.sec) AS gap
+  FROM l JOIN f USING (market, direction, phase, bin) WHERE abs(f.sec - l.sec) BETWEEN 1 AND {CALIPER}),
+c AS MATERIALIZED (
+  SELECT cell, case_id, row_number() OVER (PARTITION BY cell ORDER BY n, sec, case_id) AS turn FROM (SELECT cell, case_id, sec, count(*) AS n FROM p GROUP BY ALL)),
+w AS MATERIALIZED (SELECT c.cell, turn, p.case_id, control_id, gap, row_number() OVER (PARTITION BY p.case_id ORDER BY gap, r_at, control_id) AS wish FROM p JOIN c USING (case_id)),
+s(cell, turn, used, case_id, control_id, gap) AS (
+  SELECT DISTINCT cell, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM c
+  UNION ALL
+  SELECT s.cell, s.turn + 1, CASE WHEN bool_or(NOT list_contains(s.used, w.control_id)) THEN list_append(s.used, arg_min(w.control_id, w.wish) FILTER (NOT list_contains(s.used, w.control_id))) ELSE s.used END,
+    any_value(w.case_id), arg_min(w.control_id, w.wish) FILTER (NOT list_contains(s.used, w.control_id)), arg_min(w.gap, w.wish) FILTER (NOT list_contains(s.used, w.control_id))
+  FROM s JOIN w ON w.cell = s.cell AND w.turn = s.turn + 1 GROUP BY s.cell, s.turn, s.used)
+SELECT case_id, control_id, gap FROM s WHERE control_id IS NOT NULL"""
 
 
 def stream_panel(spark: S, d: str) -> DataFrame:
