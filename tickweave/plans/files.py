@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.paged import cursor_pages
 from ..sources.shared import new_folder
 from ..sources.sinks import combined, manifest, scan_keys, write_by_key
 from ..sources.tables import csv_table, fixed_windows, json_pages, table, trades
-from .binding import FIRST_DAY, T
+from ..sources.windowed import windowed, write_pages
+from .binding import FIRST_DAY, KICKOFF, T
 
 S = SparkSession
 TRADE_ROWS = "event_id bigint, market string, wallet bigint, sec bigint, value double, side string"
@@ -93,24 +93,38 @@ def archived_bytes(spark: S, d: str) -> DataFrame:
 
 
 ARCHIVED_BYTES = r"""SELECT n_nationkey::INT AS key, strlen(n_name || ': ' || n_regionkey::VARCHAR || chr(10)) AS bytes, sha256(n_name || ': ' || n_regionkey::VARCHAR || chr(10)) AS digest FROM nation"""
-PAGE = 7
-
-
-def _series(chain: str, cursor: str | None):
-    """A catalogue of as many entries as the chain's name has letters, squared, seven a page."""
-    begin, size = int(cursor or 0), len(chain) ** 2
-    rows = [(i, i * i % 11) for i in range(begin, min(begin + PAGE, size))]
-    return rows, str(begin + PAGE) if begin + PAGE < size else None
-
-
-def cursor_scan(spark: S, d: str) -> DataFrame:
-    """Catalogues that hand out a page and the cursor of the next, one chain per nation."""
-    starts = table(spark, d, "nation").select("n_name")
-    return cursor_pages(starts, _series, "entry bigint, weight bigint").groupBy("chain").agg(F.count("*").alias("n"), (F.max("page") + 1).alias("pages"), F.sum("weight").alias("weight"))
-
-
-CURSOR_SCAN = f"""SELECT n_name AS chain, count(*) AS n, (max(i) // {PAGE} + 1)::INT AS pages, sum(i * i % 11)::BIGINT AS weight
-FROM (SELECT n_name, unnest(range(length(n_name) * length(n_name))) AS i FROM nation) GROUP BY ALL"""
+#: Span of the paged scan, seconds of a stored slot, rows of a page, and rows that a window may hold.
+SPAN = (FIRST_DAY * 86_400, (FIRST_DAY + 40) * 86_400)
+SLOT, PAGE, MOST = 86_400, 100, 400
+
+
+def paged_scan(spark: S, d: str) -> DataFrame:
+    """Trades behind a service that hands out at most ``MOST`` rows of a window: written as its pages, read back by
+    windows halved until they fit, under a filter on time, and counted against what was written."""
+    path = new_folder(spark, "service")
+    rows = trades(spark, d).select("event_id", "market", "wallet", "sec", "value")
+    write_pages(rows, path, "market", "sec", SLOT)
+    source = windowed(
+        spark, path=path, columns="event_id bigint, market string, wallet bigint, sec bigint, value double", key="market", time="sec", order="event_id",
+        start=SPAN[0], stop=SPAN[1], limit=PAGE, most=MOST, slot=SLOT,
+    )
+    found = source.where(F.col("sec") >= KICKOFF).withColumn("task", F.spark_partition_id()).groupBy("market").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("gross"), F.countDistinct("task").alias("windows")
+    )
+    written = rows.where(F.col("sec") >= KICKOFF).groupBy("market").agg(F.count("*").alias("n_written"))
+    return written.join(found, "market", "left")
+
+
+PAGED_SCAN = f"""WITH RECURSIVE {T}, u AS (SELECT market, sec, value FROM t WHERE sec >= {KICKOFF}),
+w(market, start, stop, n) AS (
+  SELECT market, {KICKOFF}::BIGINT, {SPAN[1]}::BIGINT, count(*) FROM u WHERE sec < {SPAN[1]} GROUP BY market
+  UNION ALL
+  SELECT h.market, h.start, h.stop, count(*) FROM (
+    SELECT market, start, start + (stop - start) // 2 AS stop FROM w WHERE n > {MOST} UNION ALL SELECT market, start + (stop - start) // 2, stop FROM w WHERE n > {MOST}) h
+  JOIN u ON u.market = h.market AND u.sec >= h.start AND u.sec < h.stop GROUP BY h.market, h.start, h.stop),
+c AS (SELECT market, count(*) AS windows FROM w WHERE n <= {MOST} GROUP BY market)
+SELECT market, count(*) AS n_written, count(*) FILTER (sec < {SPAN[1]}) AS n, round(sum(value) FILTER (sec < {SPAN[1]}), 4) AS gross, any_value(windows) AS windows
+FROM u LEFT JOIN c USING (market) GROUP BY market"""
 
 
 def windowed_counts(spark: S, d: str) -> DataFrame:
@@ -125,6 +139,6 @@ def windowed_counts(spark: S, d: str) -> DataFrame:
 WINDOWED_COUNTS = f"""WITH {T}, w AS (SELECT unnest(range({FIRST_DAY * 86_400}, {(FIRST_DAY + 31) * 86_400}, {3 * 86_400})) AS begin)
 SELECT begin, least(begin + {3 * 86_400}, {(FIRST_DAY + 31) * 86_400}) AS finish, count(sec) AS n FROM w LEFT JOIN t ON sec >= begin AND sec < begin + {3 * 86_400} GROUP BY ALL"""
 
-NAMES = "gz_csv_scan json_page_scan keyed_manifest_scan combined_parts appended_log archived_bytes cursor_scan windowed_counts".split()
+NAMES = "gz_csv_scan json_page_scan keyed_manifest_scan combined_parts appended_log archived_bytes paged_scan windowed_counts".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}
