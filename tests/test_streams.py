@@ -45,3 +45,45 @@ def test_update_mode_keeps_the_last_state_of_each_window(spark, folder, files):
     assert sorted(r.n_trades for r in panel) == [8, 8, 8, 8, 8, 9] and len({r.bucket for r in panel}) == 6
     slides = streams.run_once(streams.sliding(events, "2 days", "1 day"), spark, keys=["market", "bucket"]).collect()
     assert len(slides) == 7 and sum(r.n_trades for r in slides) == 98
+
+
+ACTIONS = "market string, wallet bigint, sec bigint, action string, direction int, gross double"
+
+
+def sequenced(spark, folder, files, gap, late):
+    from pyspark.sql import functions as F
+
+    from tickweave.streaming import sequences
+
+    for rows in [*files, [(None, None, 10**6, "", 0, 0.0)], [(None, None, 10**6 + 1, "", 0, 0.0)]]:
+        spark.createDataFrame(rows, ACTIONS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(ACTIONS).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", F.timestamp_seconds("sec"))
+    out = streams.run_once(sequences.sequences(stream, gap, f"{late} seconds"), spark, "append", settings=dict([sequences.PROVIDER]))
+    return sorted((r.market, r.wallet, r.sequence, r.begin, r.finish, r.n_actions, r.gross, r.direction) for r in out.collect())
+
+
+def test_sequences_do_not_depend_on_the_order_within_the_lateness(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.randrange(3), rng.randrange(400), f"x{i}", rng.choice([1, -1]), 1.0) for i in range(120)]
+    files = {}
+    for r in rows:
+        files.setdefault((r[2] + rng.randrange(50)) // 80, []).append(r)
+    want = []
+    for key in sorted({r[:2] for r in rows}):
+        own, number = sorted((r for r in rows if r[:2] == key), key=lambda r: r[2:]), 0
+        for at, r in enumerate(own):
+            if at and own[at - 1][4] == r[4] and r[2] - own[at - 1][2] <= 20:
+                last = want[-1]
+                want[-1] = (*last[:4], r[2], last[5] + 1, last[6] + 1.0, r[4])
+            else:
+                number += 1
+                want.append((*key, number, r[2], r[2], 1, 1.0, r[4]))
+    assert sequenced(spark, f"{tmp_path}/in", [files[k] for k in sorted(files)], 20, 50) == sorted(want)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
+
+
+def test_rows_beyond_the_lateness_are_left_out(spark, tmp_path):
+    files = [[("a", 1, 100, "x", 1, 1.0)], [("a", 1, 500, "y", 1, 1.0)], [("a", 1, 90, "late", 1, 1.0), ("a", 1, 505, "z", 1, 1.0)]]
+    assert sequenced(spark, f"{tmp_path}/in", files, 20, 50) == [("a", 1, 1, 100, 100, 1, 1.0, 1), ("a", 1, 2, 500, 505, 2, 2.0, 1)]

@@ -16,9 +16,10 @@ from ..sources.shared import cut, new_folder
 from ..sources.tables import ticks, trades
 from ..stats import bootstrap, regression, tests
 from ..streaming import streams
+from ..streaming.sequences import PROVIDER, sequences
 from .basics import PHASE
 from .binding import K, KICKOFF, RESOLUTION, T
-from .panels import PANEL
+from .panels import GAP, PANEL, SEQUENCES_60S
 
 S = SparkSession
 
@@ -409,9 +410,33 @@ STREAM_SESSIONS = """WITH g AS (SELECT user_id AS wallet, ts, CASE WHEN lag(ts)
 s AS (SELECT wallet, sum(starts) OVER (PARTITION BY wallet ORDER BY ts) AS k FROM g), c AS (SELECT wallet, k, count(*) AS n FROM s GROUP BY ALL)
 SELECT wallet, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY ALL"""
 
+#: Seconds by which an action may come late, and of a file.
+LATE, FILE = 86_400, 4 * 86_400
+_ACTIONS = "market string, wallet bigint, sec bigint, action string, direction int, gross double"
+
+
+def stream_sequences(spark: S, d: str) -> DataFrame:
+    """``sequences_60s`` over a stream: actions in files that overlap by up to a day, then marks that end the time."""
+    folder = new_folder(spark, "actions")
+    rows = cut(agg.actions(trades(spark, d)).select("market", "wallet", "sec", "action", F.col("direction").cast("int").alias("direction"), "gross"))
+    begun, ended = rows.agg(F.min("sec"), F.max("sec")).first()
+    late = F.pmod(F.xxhash64("action", "market"), F.lit(LATE))
+    files = range(begun // FILE, (ended + LATE) // FILE + 1) if begun is not None else ()  # a span of days
+    for number in files:
+        rows.where(F.floor((F.col("sec") + late) / FILE) == number).coalesce(1).write.mode("append").parquet(folder)
+    mark = (ended or 0) + 10 * LATE + 8 * GAP
+    for sec in (mark, mark + 1):  # the second batch is the one that sees the watermark of the first
+        spark.createDataFrame([(None, None, sec, "", 0, 0.0)], _ACTIONS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(_ACTIONS).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", F.timestamp_seconds("sec"))
+    out = streams.run_once(sequences(stream, 8 * GAP, f"{LATE} seconds"), spark, "append", settings=dict([PROVIDER]))
+    return out.select("market", "wallet", "sequence", "begin", "n_actions", F.round("gross", 6).alias("gross"), "direction")
+
+
+STREAM_SEQUENCES = SEQUENCES_60S
+
 NAMES = (
     "demean_one_way fe_ols_contrast wild_bootstrap holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
-    "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions"
+    "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions stream_sequences"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

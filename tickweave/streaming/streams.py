@@ -50,13 +50,14 @@ def sliding(events: DataFrame, width: str = "6 hours", step: str = "1 hour", lat
     ).select("market", F.unix_seconds("w.start").alias("bucket"), "n_trades", "gross")
 
 
-def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", keys: list[str] | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Everything there is now, through the stream and its sink, as a table.
 
     With ``keys`` the stream runs in ``update`` mode: a batch writes the rows that it changed,
     and the last one of each key counts. Without, it runs in ``mode``: ``append``, or
     ``complete`` where rows merge, as sessions do. A batch that runs again overwrites its own
     output. Output and progress go below ``spark.checkpoint.dir``, which all executors share.
+    ``settings`` hold for this stream only.
     """
     mode = "update" if keys else mode
     folder = new_folder(spark, "stream")
@@ -64,8 +65,15 @@ def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", key
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in settings or {}}
+    for name, value in (settings or {}).items():
+        spark.conf.set(name, value)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/out/*")
     if keys:
         rest = [c for c in stream.columns if c not in keys]
