@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order_statistics import exact_quantiles
 from ..operators.windows import running
 
 
@@ -84,10 +85,10 @@ def chronological_split(rows: DataFrame, group: str, at: str, share: float = 0.7
 
 def robust_scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their median over their interquartile range; nulls become 0 with a flag of their own."""
-    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns]).first()
     out = rows
-    for c, q in zip(columns, stats):
-        low, mid, high = q or (0.0, 0.0, 0.0)
+    for c in columns:
+        found = exact_quantiles(rows, c, [0.25, 0.5, 0.75]).select("q0", "q1", "q2").first()
+        low, mid, high = found or (0.0, 0.0, 0.0)
         wide = high - low if high > low else 1.0
         out = out.withColumn(f"{c}_missing", F.col(c).isNull().cast("int")).withColumn(c, (F.coalesce(F.col(c), F.lit(mid)) - mid) / wide)
     return out

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .order_statistics import expanding_quantiles
+
 
 def past_only_quantiles(
     rows: DataFrame, qs: list[float], least: int, days: int | None = None, key: str = "market", day: str = "dy", value: str = "value"
@@ -12,17 +15,15 @@ def past_only_quantiles(
     """Per key and day: ``history`` (values on earlier days) and ``q0, q1, ...`` of them.
 
     ``days`` limits the history to so many days before. Quantiles interpolate linearly and
-    are null for fewer than ``least`` values. A day's values meet the later days as counts
-    per distinct value, and each (key, day) is a group of its own, so one busy key is spread
-    over as many tasks as it has days.
+    are null for fewer than ``least`` values. An expanding history goes by running histograms,
+    which copy no row; in a limited one a day's values meet at most ``days`` later days as
+    counts per distinct value.
     """
+    if days is None:
+        return expanding_quantiles(rows, qs, least, key, day, value)
     evaluated = rows.select(key, day).distinct()
     counts = rows.groupBy(key, day, value).agg(F.count(F.lit(1)).alias("_n"))
-    if days is None:
-        later = evaluated.groupBy(key).agg(F.array_sort(F.collect_set(day)).alias("_days"))
-        spread = counts.join(later, key).withColumn("_at", F.explode(F.filter("_days", lambda d: d > F.col(day))))
-    else:
-        spread = counts.withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)))
+    spread = counts.withColumn("_at", F.explode(F.sequence(F.col(day) + 1, F.col(day) + days)))
     at = ", ".join(map(repr, qs))
     found = spread.groupBy(key, F.col("_at").alias(day)).agg(F.sum("_n").alias("history"), F.expr(f"percentile({value}, array({at}), _n)").alias("_q"))
     out = evaluated.join(found, [key, day], "left").withColumn("history", F.coalesce("history", F.lit(0)).cast("long"))
@@ -98,30 +99,95 @@ def sequences(rows: DataFrame, keys: list[str], order: list[str], sign: str, tim
     return rows.withColumn("_starts", starts.cast("long")).withColumn("sequence", F.sum("_starts").over(w)).drop("_starts")
 
 
+#: Length of a block of time in gaps.
+BLOCK_GAPS = 64
+
+
 def thinned(rows: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
     """Rows at least ``gap`` after the last one that stayed, per key, from the first on.
 
-    What stays depends on what stayed before, so the times of a key are walked in order. At
-    most one time in ``gap`` can stay, so a step looks only for the first time at or after
-    its bound: only the distinct times of a key travel, as numbers, and one pass is linear.
+    What stays depends on what stayed before. Time is cut into blocks of ``BLOCK_GAPS`` gaps;
+    a walk through a block can only begin at one of its times up to a gap after its start, or
+    at the next one, and leaves at a bound that looks up the time in a later block at which
+    the walk goes on. So each block is a table from ways in to ways out, a task holds the
+    distinct times of one block, and which ways in are taken follows from the first by
+    pointer doubling, in as many rounds as the blocks of a key have binary digits. Rows
+    without key or time are left out.
     """
     import numpy as np
     import pyarrow as pa
 
+    width = max(1, gap) * BLOCK_GAPS
+    block = F.floor(F.col("_t") / width)
+    known = F.col("_t").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    times = cut(rows.select(*keys, F.col(time).cast("long").alias("_t")).where(known).distinct().withColumn("_block", block))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def same(table: pa.Table, n: int) -> dict:
+        return {k: pa.array([table.column(k)[0].as_py()] * n, table.schema.field(k).type) for k in keys}
+
+    def ways(table: pa.Table) -> pa.Table:
+        t = np.sort(table.column("_t").to_numpy())
+        onward = np.searchsorted(t, t + gap)
+        leave = t + gap
+        for i in np.flatnonzero(onward < len(t))[::-1]:  # from the end: a way in leaves where its next time does
+            leave[i] = leave[onward[i]]
+        into = int(np.searchsorted(t, table.column("_block")[0].as_py() * width + gap, side="right")) + 1
+        return pa.table({**same(table, len(t[:into])), "_in": t[:into], "_bound": leave[:into]})
+
+    heads = times.groupBy(*keys, "_block").applyInArrow(ways, f"{kinds}, _in long, _bound long")
+    jumps = cut(_first_from(heads, times, keys, width))
+    first = times.groupBy(*keys).agg(F.min("_t").alias("_in"))
+    reached = cut(first)
+    while True:
+        step = jumps.where("_out is not null").select(*keys, "_in", "_out")
+        ahead = reached.join(step, [*keys, "_in"]).select(*keys, F.col("_out").alias("_in"))
+        more = cut(reached.unionByName(ahead).distinct())
+        if more.count() == reached.count():
+            break
+        reached = more
+        twice = step.select(*keys, F.col("_in").alias("_out"), F.col("_out").alias("_far"))
+        jumps = cut(step.join(twice, [*keys, "_out"], "left").select(*keys, "_in", F.col("_far").alias("_out")))
+
     def walk(table: pa.Table) -> pa.Table:
-        times = np.sort(table.column(time).to_numpy())
-        kept, at = [], 0
-        while at < len(times):
-            kept.append(at)
-            at = int(np.searchsorted(times, times[at] + gap))
-        first = table.slice(0, 1)
-        return pa.table({**{k: pa.array([first.column(k)[0].as_py()] * len(kept), table.schema.field(k).type) for k in keys}, time: pa.array(times[kept], pa.int64())})
-
-    times = rows.select(*keys, F.col(time).cast("long").alias(time)).where(F.col(time).isNotNull()).distinct()
-    kept = times.groupBy(*keys).applyInArrow(walk, times.schema)
+        t, at, kept = np.sort(table.column("_t").to_numpy()), table.column("_in")[0].as_py(), []
+        place = int(np.searchsorted(t, at))
+        while place < len(t):
+            kept.append(place)
+            place = int(np.searchsorted(t, t[place] + gap))
+        return pa.table({**same(table, len(kept)), time: t[kept]})
+
+    entered = times.join(reached.select(*keys, "_in", F.floor(F.col("_in") / width).alias("_block")), [*keys, "_block"])
+    kept = entered.groupBy(*keys, "_block").applyInArrow(walk, f"{kinds}, {time} long")
     return rows.join(kept, [*keys, time], "left_semi")
 
 
+def _first_from(heads: DataFrame, times: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys, _in, _out``: the key's first time at or after ``_bound``, which lies in the way in's own block or the one behind it."""
+    import numpy as np
+    import pyarrow as pa
+
+    def look_up(asked: pa.Table, there: pa.Table) -> pa.Table:
+        t, bound = np.sort(there.column("_t").to_numpy()), asked.column("_bound").to_numpy()
+        at = np.searchsorted(t, bound)
+        out = pa.array([int(t[i]) if i < len(t) else None for i in at], pa.int64())
+        return pa.table({**{k: asked.column(k) for k in keys}, "_bound": bound, "_out": out})
+
+    kinds = ", ".join(f"{k} {heads.schema[k].dataType.simpleString()}" for k in keys)
+    heads = cut(heads).withColumn("_block", F.floor(F.col("_bound") / width))
+    asked = heads.select(*keys, "_bound", "_block").distinct().groupBy(*keys, "_block")
+    found = asked.cogroup(times.groupBy(*keys, "_block")).applyInArrow(look_up, f"{kinds}, _bound long, _out long")
+    w = Window.partitionBy(*keys).orderBy("_own")  # one row per key and block
+    blocks = times.groupBy(*keys, F.col("_block").alias("_own")).agg(F.min("_t").alias("_least")).select(
+        *keys, "_own", F.lead("_own").over(w).alias("_then"), F.lead("_least").over(w).alias("_one_on"), F.lead("_least", 2).over(w).alias("_two_on")
+    )
+    at = heads.withColumn("_own", F.floor(F.col("_in") / width)).join(blocks, [*keys, "_own"]).join(found, [*keys, "_bound"])
+    behind = F.when(F.col("_then") == F.col("_block"), F.col("_two_on")).otherwise(F.col("_one_on"))
+    return at.select(*keys, "_in", F.coalesce("_out", behind).alias("_out"))
+
+
 def numbered(rows: DataFrame, blocks: list[str], order: list[str], name: str) -> DataFrame:
     """``rows`` numbered from 1 in the order of ``blocks``, then ``order``.
 

@@ -97,7 +97,7 @@ def _t_quantile(df: str) -> str:
 
 # Cell means swept by market and day in turn; what is left of a row is its value less its cell's mean, plus what is left of that.
 _SWEEPS = 80
-_TWO_WAY = f"""WITH RECURSIVE {T}, {PANEL},
+TWO_WAY = f"""WITH RECURSIVE {T}, {PANEL},
 r AS (SELECT market, bucket // 86400 AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM p),
 c0 AS (SELECT market, dy, count(*)::DOUBLE AS n, avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2 FROM r GROUP BY ALL),
 c(step, market, dy, n, y, x1, x2) AS (
@@ -105,10 +105,10 @@ c(step, market, dy, n, y, x1, x2) AS (
   SELECT step + 1, market, dy, n, y - sum(n * y) OVER d / sum(n) OVER d, x1 - sum(n * x1) OVER d / sum(n) OVER d, x2 - sum(n * x2) OVER d / sum(n) OVER d FROM (
     SELECT step, market, dy, n, y - sum(n * y) OVER m / sum(n) OVER m AS y, x1 - sum(n * x1) OVER m / sum(n) OVER m AS x1, x2 - sum(n * x2) OVER m / sum(n) OVER m AS x2
     FROM c WHERE step < {_SWEEPS} WINDOW m AS (PARTITION BY market)) WINDOW d AS (PARTITION BY dy)),
-f AS (
-  SELECT * FROM (
+left_over AS (
     SELECT r.market, r.dy, r.y - c0.y + c.y AS y, r.x1 - c0.x1 + c.x1 AS x1, r.x2 - c0.x2 + c.x2 AS x2
-    FROM r JOIN c0 USING (market, dy) JOIN c USING (market, dy) WHERE c.step = {_SWEEPS}) WHERE abs(x1) > 1e-14 OR abs(x2) > 1e-14),
+    FROM r JOIN c0 USING (market, dy) JOIN c USING (market, dy) WHERE c.step = {_SWEEPS}),
+f AS (SELECT * FROM left_over WHERE abs(x1) > 1e-14 OR abs(x2) > 1e-14),
 b AS (
   SELECT *, s22 / det AS i11, -s12 / det AS i12, s11 / det AS i22, (s22 * y1 - s12 * y2) / det AS b1, (s11 * y2 - s12 * y1) / det AS b2 FROM (
     SELECT *, s11 * s22 - s12 * s12 AS det FROM (
@@ -123,7 +123,7 @@ v AS (
     g / (g - 1.0) * (n - 1) / (n - 2) * (i11 * (m11 * i12 + m12 * i22) + i12 * (m12 * i12 + m22 * i22)) AS v12,
     g / (g - 1.0) * (n - 1) / (n - 2) * (i12 * (m11 * i12 + m12 * i22) + i22 * (m12 * i12 + m22 * i22)) AS v22 FROM m, b),
 k(term, r1, r2) AS (VALUES ('x1', 1.0::DOUBLE, 0.0::DOUBLE), ('x2', 0.0, 1.0), ('x1-x2', 1.0, -1.0))"""
-FE_OLS_CONTRAST = f"""{_TWO_WAY},
+FE_OLS_CONTRAST = f"""{TWO_WAY},
 w AS (
   SELECT 'dy' AS clusters, g, v11, v12, v22 FROM v WHERE kind = 'dy' UNION ALL
   SELECT 'market_dy', min(g) FILTER (kind <> 'both'), sum(CASE kind WHEN 'both' THEN -v11 ELSE v11 END), sum(CASE kind WHEN 'both' THEN -v12 ELSE v12 END),
@@ -137,7 +137,7 @@ j AS (SELECT clusters, g, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) /
 SELECT clusters, term, round(estimate, 6) AS estimate, round(error, 6) AS error, round(t, 6) AS t, round({_t_tail("t", "tests.df")}, 6) AS p, round(estimate - q * error, 6) AS low,
   round(estimate + q * error, 6) AS high, g::INT AS "groups" FROM tests JOIN q USING (df)
 UNION ALL SELECT clusters, 'joint', round(f, 6), NULL, NULL, round(pow(1 + 2 * f / (g - 1), -(g - 1) / 2.0), 6), NULL, NULL, g::INT FROM j"""
-WILD_BOOTSTRAP = f"""{_TWO_WAY},
+WILD_BOOTSTRAP = f"""{TWO_WAY},
 a AS (SELECT dy::VARCHAR AS dy, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * y) AS q1, sum(x2 * y) AS q2 FROM f GROUP BY ALL),
 h AS (
   SELECT *, b1 - z1 * (r1 * b1 + r2 * b2) / (r1 * z1 + r2 * z2) AS h1, b2 - z2 * (r1 * b1 + r2 * b2) / (r1 * z1 + r2 * z2) AS h2 FROM (

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
+from ..operators.order_statistics import exact_quantiles
+from ..sources.shared import cut
 from ..sources.tables import trades
 from ..stats import regression
 from .binding import KICKOFF, RESOLUTION, T
+from .estimators import TWO_WAY
 from .panels import PANEL
 
 S = SparkSession
+#: Markets that may become columns.
+MOST_DUMMIES = 50
 _FLOW = "sign(net) * ln(1 + abs(net))"
 
 
@@ -132,7 +137,7 @@ def standardised_effects(spark: S, d: str) -> DataFrame:
     fit, rows = fitted(spark, d, spec), _sample(spark, d, spec)
     out = []
     for i, x in enumerate(fit.xs):
-        sd, q = rows.agg(F.stddev_samp(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).first()
+        sd, q = rows.agg(F.stddev_samp(x)).first()[0], exact_quantiles(rows, x, [0.25, 0.75]).select("q0", "q1").first()
         out.append((x, round(fit.beta[i] * sd, 7), round(fit.beta[i] * (q[1] - q[0]), 7), round(float(fit.beta[i]) * 6.90875477931522, 7)))
     return spark.createDataFrame([(t, *map(float, v)) for t, *v in out], "term string, per_sd double, per_iqr double, per_thousand double")
 
@@ -144,30 +149,35 @@ STANDARDISED_EFFECTS = f"WITH {T}, {PANEL}, {_solved_sql('a', EXCLUSIONS['all'])
 
 
 def estimate_invariance(spark: S, d: str) -> DataFrame:
-    """One fit under several covariances: the estimates agree, the errors differ; with the spread of both."""
-    fit = fitted(spark, d, EXCLUSIONS["all"])
-    covers = {"dy": fit.covariance(["dy"]), "market": fit.covariance(["market"]), "two_way": fit.two_way("market", "dy")}
-    rows = []
-    for i, x in enumerate(fit.xs):
-        w = [float(i == j) for j in range(len(fit.xs))]
-        found = [fit.contrast(w, *c)[:2] for c in covers.values()]
-        rows.append((x, max(f[0] for f in found) - min(f[0] for f in found) <= 1e-10, len({round(f[1], 12) for f in found})))
-    return spark.createDataFrame(rows, "term string, same_estimate boolean, errors int")
+    """The same two-way model estimated three ways: by sweeps of means, from the normal equations, and with market dummies."""
+    names = ["y", "x1", "x2"]
+    rows = cut(_sample(spark, d, EXCLUSIONS["all"]).select("market", "dy", *names))
+    fits = {"sweeps": regression.demean(rows, names, ["market", "dy"]), "exact": regression.absorb_exact(rows, names, "dy", "market")}
+    out = [(kind, *map(float, regression.Fit(at, "y", ["x1", "x2"]).beta)) for kind, at in fits.items()]
+    markets = [r[0] for r in rows.select("market").distinct().orderBy("market").limit(MOST_DUMMIES + 1).collect()]
+    if len(markets) > MOST_DUMMIES:
+        raise ValueError(f"more than {MOST_DUMMIES} markets")
+    flags = [f"m{i}" for i in range(1, len(markets))]
+    marked = rows.withColumns({f: (F.col("market") == m).cast("double") for f, m in zip(flags, markets[1:])})
+    within = regression.demean(marked, [*names, *flags], ["dy"])
+    out.append(("dummies", *map(float, regression.Fit(within, "y", ["x1", "x2", *flags]).beta[:2])))
+    return spark.createDataFrame([(kind, round(a, 6), round(b, 6)) for kind, a, b in out], "estimator string, x1 double, x2 double")
 
 
-ESTIMATE_INVARIANCE = "SELECT * FROM (VALUES ('x1', true, 3::INT), ('x2', true, 3::INT)) v(term, same_estimate, errors)"
+ESTIMATE_INVARIANCE = f"{TWO_WAY} SELECT estimator, round(b1, 6) AS x1, round(b2, 6) AS x2 FROM b, (VALUES ('sweeps'), ('exact'), ('dummies')) v(estimator)"
 
 
 def absorbed_two_way(spark: S, d: str) -> DataFrame:
-    """Residuals on market and day by exact absorption, held to their normal equations: sums of 0 in every level."""
+    """Residuals on market and day by exact absorption: rows and squares of every level, and its sum, which must be 0."""
     spec = EXCLUSIONS["all"]
-    at = regression.absorb_exact(_sample(spark, d, spec), ["y"], "dy", "market")
-    off = lambda k: at.groupBy(k).agg(F.sum("y").alias("s"), F.count("*").alias("n")).select(F.lit(k).alias("effect"), F.col(k).cast("string").alias("level"), "n", (F.abs("s") < 1e-6).alias("balanced"))
-    return off("market").unionByName(off("dy"))
+    at = cut(regression.absorb_exact(_sample(spark, d, spec), ["y"], "dy", "market"))
+    total = F.round(F.abs(F.sum("y")), 6).alias("off")
+    by = lambda k: at.groupBy(k).agg(F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("y")), 6).alias("squares"), total).select(F.lit(k).alias("effect"), F.col(k).cast("string").alias("level"), "n", "squares", "off")
+    return by("market").unionByName(by("dy"))
 
 
-ABSORBED_TWO_WAY = f"""WITH {T}, {PANEL} SELECT 'market' AS effect, market AS level, count(*) AS n, true AS balanced FROM p GROUP BY ALL
-UNION ALL SELECT 'dy', (bucket // 86400)::VARCHAR, count(*), true FROM p GROUP BY ALL"""
+ABSORBED_TWO_WAY = f"""{TWO_WAY} SELECT 'market' AS effect, market AS level, count(*) AS n, round(sum(y * y), 6) AS squares, round(abs(sum(y)), 6) AS "off" FROM left_over GROUP BY market
+UNION ALL SELECT 'dy', dy::VARCHAR, count(*), round(sum(y * y), 6), round(abs(sum(y)), 6) FROM left_over GROUP BY dy"""
 
 NAMES = "interaction_models two_part_models exclusion_models sensitivity_models standardised_effects estimate_invariance absorbed_two_way".split()
 QUERIES = {n: globals()[n] for n in NAMES}

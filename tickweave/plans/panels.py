@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import windows as win
+from ..operators.order_statistics import exact_quantiles
+from ..sources.shared import cut
 from ..sources.sinks import manifest
 from ..sources.tables import table, trades
 from .binding import KICKOFF, LEAST_HISTORY, RESOLUTION, A, T
@@ -334,9 +336,9 @@ SELECT market, bucket, array_to_string(list_sort(list(DISTINCT reason)), '+') AS
 
 
 def winsorised(spark: S, d: str) -> DataFrame:
-    p = agg.panel(trades(spark, d))
-    low, high = p.agg(F.percentile("net", F.array(F.lit(0.005), F.lit(0.995)))).first()[0]
-    return p.select("market", "bucket", F.round(F.greatest(F.lit(low), F.least(F.lit(high), F.col("net"))) / 1000, 9).alias("net"))
+    p = cut(agg.panel(trades(spark, d)))  # read for the bounds and for the rows
+    bounds = exact_quantiles(p, "net", [0.005, 0.995]).select("q0", "q1")
+    return p.join(F.broadcast(bounds)).select("market", "bucket", F.round(F.greatest("q0", F.least("q1", "net")) / 1000, 9).alias("net"))  # one row of bounds
 
 
 WINSORISED = f"""WITH {T}, {PANEL}, q AS (SELECT quantile_cont(net, 0.005) AS a, quantile_cont(net, 0.995) AS b FROM p)
