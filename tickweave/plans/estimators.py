@@ -14,7 +14,7 @@ from ..operators import aggregates as agg
 from ..operators import matching, temporal
 from ..sources.shared import cut, new_folder
 from ..sources.tables import ticks, trades
-from ..stats import bootstrap, regression, tests
+from ..stats import bootstrap, metric_bootstrap, regression, tests
 from ..streaming import streams
 from ..streaming.sequences import PROVIDER, sequences
 from .basics import PHASE
@@ -410,6 +410,34 @@ STREAM_SESSIONS = """WITH g AS (SELECT user_id AS wallet, ts, CASE WHEN lag(ts)
 s AS (SELECT wallet, sum(starts) OVER (PARTITION BY wallet ORDER BY ts) AS k FROM g), c AS (SELECT wallet, k, count(*) AS n FROM s GROUP BY ALL)
 SELECT wallet, count(*) AS n_sessions, max(n) AS longest, sum(n)::BIGINT AS n_events FROM c GROUP BY ALL"""
 
+def metric_increments(spark: S, d: str) -> DataFrame:
+    """What the size of the net flow adds to a score of quiet hours from gross flow alone, over 4,999 draws of whole days."""
+    share = lambda x: F.floor(1000 / (1 + x / 50)) / 1000
+    rows = _samples(spark, d).select("dy", "label", share(F.col("gross")).alias("base"), share(0.5 * F.col("gross") + 0.5 * F.col("size")).alias("full"))
+    found = metric_bootstrap.increments(rows, "dy", "label", "base", "full", 0.4)
+    return found.select("metric", *[F.round(c, 6).alias(c) for c in ("base", "full", "increment", "low", "high", "error", "p")])
+
+
+METRIC_INCREMENTS = f"""WITH {T}, {_SAMPLES},
+r AS (SELECT dy, label, floor(1000 / (1 + gross / 50)) / 1000 AS base, floor(1000 / (1 + (0.5 * gross + 0.5 * size) / 50)) / 1000 AS "full" FROM s),
+l AS (SELECT dy, label, 'base' AS model, base AS score FROM r UNION ALL SELECT dy, label, 'full', "full" FROM r),
+g AS (SELECT dy, row_number() OVER (ORDER BY dy) - 1 AS cluster, count(*) OVER () AS m FROM (SELECT DISTINCT dy FROM r)),
+c AS (SELECT model, score, cluster, count(*) AS n, sum(label) AS pos FROM l JOIN g USING (dy) GROUP BY ALL),
+k AS (SELECT draw, ('0x' || substr(md5(draw || ':' || slot // 4), 1 + 8 * (slot % 4)::INT, 8))::BIGINT % m AS cluster FROM range(4999) d(draw), (SELECT cluster AS slot, m FROM g)),
+w AS (SELECT draw, cluster, count(*) AS times FROM k GROUP BY ALL UNION ALL SELECT -1, cluster, 1 FROM g),
+v AS (SELECT draw, model, score, sum(n * times) AS n, sum(pos * times) AS pos FROM c JOIN w USING (cluster) GROUP BY ALL),
+prec AS (SELECT *, sum(pos) OVER o / sum(n) OVER o AS seen FROM v WINDOW o AS (PARTITION BY draw, model ORDER BY score DESC)),
+e AS (
+  SELECT draw, model, sum(seen * pos) / sum(pos) AS average_precision, 2 * sum(pos) FILTER (score >= 0.4) / (sum(n) FILTER (score >= 0.4) + sum(pos)) AS f1,
+    sum(pos * (1 - score) * (1 - score) + (n - pos) * score * score) / sum(n) AS brier FROM prec GROUP BY ALL),
+u AS (UNPIVOT e ON average_precision, f1, brier INTO NAME metric VALUE x),
+y AS (SELECT draw, metric, max(x) FILTER (model = 'base') AS base, max(x) FILTER (model = 'full') AS "full" FROM u GROUP BY ALL),
+z AS (SELECT *, CASE metric WHEN 'brier' THEN base - "full" ELSE "full" - base END AS gain FROM y)
+SELECT metric, round(any_value(base) FILTER (draw = -1), 6) AS base, round(any_value("full") FILTER (draw = -1), 6) AS "full", round(any_value(gain) FILTER (draw = -1), 6) AS increment,
+  round(quantile_cont(gain, 0.025) FILTER (draw >= 0), 6) AS low, round(quantile_cont(gain, 0.975) FILTER (draw >= 0), 6) AS high, round(stddev_samp(gain) FILTER (draw >= 0), 6) AS error,
+  round((1 + count(*) FILTER (draw >= 0 AND gain <= 0)) / (1 + count(*) FILTER (draw >= 0)), 6) AS p FROM z GROUP BY metric"""
+
+
 #: Seconds by which an action may come late, and of a file.
 LATE, FILE = 86_400, 4 * 86_400
 _ACTIONS = "market string, wallet bigint, sec bigint, action string, direction int, gross double"
@@ -436,7 +464,7 @@ STREAM_SEQUENCES = SEQUENCES_60S
 
 NAMES = (
     "demean_one_way fe_ols_contrast wild_bootstrap holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
-    "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions stream_sequences"
+    "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions stream_sequences metric_increments"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}
