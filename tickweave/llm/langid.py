@@ -11,9 +11,12 @@ anything out.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +24,19 @@ from .common import as_row, cut, field_of, small_batches
 
 #: Most rows of a language (in expectation) that a fit reads; the sample is by hash of the id.
 SAMPLE_ROWS = 8_000
-#: Most counts of a model that is broadcast (about 150 bytes each in a worker), and most languages of a plan.
+#: Most counts of a model that is broadcast (about 40 bytes each in a worker), and most languages of a plan.
 MOST_ENTRIES, MOST_LANGUAGES = 6_000_000, 2_000
 #: Most frequencies of a size: its words or n-grams times the languages.
 MOST_CELLS = 50_000_000
 LONGEST = 5
 #: Added to each count, and the default of the count below which a word or n-gram is no entry (its occurrences still count in the total).
 SMOOTH, LEAST = 0.5, 2
+#: Seed of Spark's ``xxhash64``.
+HASH_SEED = 42
 #: Bytes of known words' scores, and counts, that a task holds.
 CACHE_BYTES, CACHE_COUNTS = 16 << 20, 60_000
+#: Words that are looked up at once.
+PIECE_WORDS = 40_000
 UNKNOWN = "und"
 
 #: ASCII marks, digits and controls become spaces; letters and all longer characters stay.
@@ -40,11 +47,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
 
 
-def grams_of(word: bytes, size: int) -> list[str]:
-    padded = f" {word.decode('utf-8', 'replace')} "
-    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
-
-
 def _count_words(batches):
     """``lang, word, n`` of a batch."""
     from collections import Counter
@@ -100,27 +102,29 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30))
     own = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), spot.alias("spot"))
     sample = own.join(F.broadcast(shares), "lang").where("spot < share").select("text", "lang")  # one row per language
-    words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # few bytes but much work, which adaptive execution would put into one task
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = sample.mapInArrow(_count_words, "lang string, word string, n bigint").repartition(tasks, "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = cut(words.mapInArrow(_count_grams, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     return counts.where(F.col("n") >= least).join(totals, ["lang", "size"])
 
 
 def tables_of(found: pa.Table) -> tuple[list, list, list]:
-    """Languages; by size, the words or n-grams; by size, log frequencies per language."""
+    """Languages; by size, the sorted hashes of words or n-grams; by size, their log frequencies per language."""
     langs = sorted(found.column("lang").unique().to_pylist())
     tables, logs = [], []
     for size in range(LONGEST + 1):
-        part = found.filter(pc.equal(found.column("size"), size)).combine_chunks()
+        part = found.filter(pc.equal(found.column("size"), size))
         lang = pc.index_in(part.column("lang"), pa.array(langs, pa.string())).to_numpy()
-        coded = part.column("gram").combine_chunks().dictionary_encode()
-        if len(coded.dictionary) * len(langs) > MOST_CELLS:
+        keys, at = np.unique(part.column("hash").to_numpy().view(np.uint64), return_inverse=True)
+        if len(keys) * len(langs) > MOST_CELLS:
             raise ValueError(f"a model of more than {MOST_CELLS} frequencies; fit with a higher least count")
         totals = np.ones(len(langs))
         totals[lang] = part.column("total").to_numpy()
-        counts = np.full((len(coded.dictionary), len(langs)), SMOOTH)
-        counts[coded.indices.to_numpy(), lang] += part.column("n").to_numpy()  # one row per gram and language
-        tables.append(coded.dictionary)
+        counts = np.full((len(keys), len(langs)), SMOOTH)
+        np.add.at(counts, (at, lang), part.column("n").to_numpy())
+        tables.append(keys)
         logs.append(np.log(counts / (totals + SMOOTH * (len(counts) + 1))))
     return langs, tables, logs
 
@@ -129,19 +133,52 @@ class Model:
     """Scores of words from the tables of a fit."""
 
     def __init__(self, langs: list, tables: list, logs: list):
-        self.langs, self.logs = langs, logs
-        self.tables = [{gram: at for at, gram in enumerate(t.to_pylist())} for t in tables]
-
-    def word(self, word: bytes) -> np.ndarray:
-        known = self.tables[0].get(word.decode("utf-8", "replace"))
-        if known is not None:
-            return self.logs[0][known]
+        self.langs, self.tables, self.logs = langs, tables, logs
+
+    def _known(self, size: int, grams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of them are entries, and where these are."""
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(HASH_SEED)), np.uint64, len(grams))
+        table = self.tables[size]
+        at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+        known = table[at] == keys if len(table) else np.zeros(len(grams), bool)
+        return known, at[known]
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Scores per language of each word: its own, or the mean of its known n-grams of the greatest length that has any."""
+        out = np.zeros((len(words), len(self.langs)))
+        texts = [w.decode("utf-8", "replace") for w in words]
+        known, at = self._known(0, [t.encode() for t in texts])
+        out[known] = self.logs[0][at]
+        left = np.flatnonzero(~known)
         for size in range(LONGEST, 0, -1):
-            table = self.tables[size]
-            found = [table[g] for g in grams_of(word, size) if g in table]
-            if found:
-                return self.logs[size][found].mean(axis=0)
-        return np.zeros(len(self.langs))
+            grams = [[p[i : i + size].encode() for i in range(len(p) - size + 1)] for p in (f" {texts[i]} " for i in left.tolist())]
+            owner = np.repeat(np.arange(len(left)), list(map(len, grams)))
+            known, at = self._known(size, [g for own in grams for g in own])
+            counts = np.bincount(owner[known], minlength=len(left))
+            sums = np.zeros((len(left), len(self.langs)))
+            np.add.at(sums, owner[known], self.logs[size][at])
+            some = counts > 0
+            out[left[some]] = sums[some] / counts[some, None]
+            left = left[~some]
+            if not len(left):
+                break
+        return out
+
+
+def _pieces(texts: list, most: int):
+    """Lists of ``(text's place, words)`` with at most ``most`` words in all; long texts come in parts."""
+    group, held = [], 0
+    for at, text in enumerate(texts):
+        words = words_of(text)
+        for begin in range(0, len(words), most):
+            part = words[begin : begin + most]
+            if held + len(part) > most:
+                yield group
+                group, held = [], 0
+            group.append((at, part))
+            held += len(part)
+    if group:
+        yield group
 
 
 def _predict(tables, text_col):
@@ -151,30 +188,30 @@ def _predict(tables, text_col):
         rows = np.zeros((most, max(1, len(own.langs))))
         seen: dict[bytes, int] = {}
         for batch in batches:
-            langs, scores = [], []
-            for text in field_of(batch, text_col).to_pylist():
-                words = words_of(text)
-                if not own.langs or not any(map(str.isalpha, text or "")):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(own.langs))
-                for begin in range(0, len(words), most // 2):
-                    part = words[begin : begin + most // 2]
-                    new = [w for w in set(part) if w not in seen]
-                    if len(seen) + len(new) > most:
-                        seen.clear()
-                        new = set(part)
-                    for w in new:
-                        rows[len(seen)] = own.word(w)
-                        seen[w] = len(seen)
-                    total += rows[[seen[w] for w in part]].sum(axis=0)
-                share = total / max(1.0, len(words) ** 0.5)
-                share = np.exp(share - share.max())
-                best = int(share.argmax())
-                langs.append(own.langs[best])
-                scores.append(float(share[best] / share.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+            texts = field_of(batch, text_col).to_pylist()
+            total, sizes = np.zeros((len(texts), max(1, len(own.langs)))), np.zeros(len(texts))
+            for group in _pieces(texts, min(PIECE_WORDS, most // 2)) if own.langs else ():
+                words = [w for _, part in group for w in part]
+                new = list(set(words).difference(seen))
+                if len(seen) + len(new) > most:
+                    seen.clear()
+                    new = list(set(words))
+                if new:
+                    rows[len(seen) : len(seen) + len(new)] = own.words(new)
+                    seen.update(zip(new, range(len(seen), len(seen) + len(new))))
+                at = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+                lengths = np.fromiter((len(part) for _, part in group), np.int64, len(group))
+                places = np.fromiter((i for i, _ in group), np.int64, len(group))
+                np.add.at(total, places, np.add.reduceat(rows[at], np.cumsum(lengths) - lengths, axis=0))
+                np.add.at(sizes, places, lengths)
+            share = total / np.maximum(1.0, np.sqrt(sizes))[:, None]
+            share = np.exp(share - share.max(axis=1, keepdims=True))
+            best = share.argmax(axis=1)
+            score = share[np.arange(len(texts)), best] / share.sum(axis=1)
+            told = [bool(own.langs) and any(map(str.isalpha, t or "")) for t in texts]
+            langs = [own.langs[b] if t else UNKNOWN for b, t in zip(best.tolist(), told)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(np.where(told, score, 0.0), pa.float64())], names=["row", "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()  # what follows in this worker has the room
 
     return run
 
@@ -189,7 +226,8 @@ def predict(docs: DataFrame, counts: DataFrame, text_col: str | tuple[str, ...]
     predicted alike; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    found = counts.select("lang", "size", "gram", "n", "total").limit(MOST_ENTRIES + 1).toArrow()
+    # n-grams travel as hashes of 64 bits: what is not known is taken for known once in some 10 ** 13 look-ups
+    found = counts.select("lang", "size", F.xxhash64("gram").alias("hash"), "n", "total").limit(MOST_ENTRIES + 1).toArrow()
     if found.num_rows > MOST_ENTRIES:
         raise ValueError(f"a model of more than {MOST_ENTRIES} counts; fit with a higher least count")
     tables = tables_of(found)
