@@ -51,8 +51,11 @@ def roc_auc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame
     Rows are first counted per distinct score, so the window holds one row per score.
     """
     cells = rows.groupBy(*by, score).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = cells.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    if by:
+        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        run = cells.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    else:
+        run = running(cells, score, {"_below": "_n"})
     return run.groupBy(*by).agg((F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)) / (F.sum("_p") * F.sum("_n"))).alias("auc"))
 
 
@@ -99,35 +102,59 @@ def rule_score(rules: dict[str, Column]) -> Column:
 
 
 def isolation_scores(rows: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 3) -> DataFrame:
-    """``key, score`` by an isolation forest; each tree splits a bounded hash sample of the rows.
+    """``key, score`` by an isolation forest of ``trees``, each grown by a task from at most ``sample`` rows.
 
-    Trees are grown on the driver from at most ``trees * sample`` rows and broadcast; scoring
-    runs over all rows on executors.
+    Rows are dealt to trees by hash, as often as it takes to fill them, and a tree takes those
+    of its least hashes. What comes back and is broadcast are the trees' nodes, fewer than
+    ``2 * sample`` each whatever the table holds. Columns must not hold nulls.
     """
     import math
 
     import numpy as np
+    import pandas as pd
 
     spark = rows.sparkSession
-    wanted = trees * sample
     n = rows.count()
-    spot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30))
-    drawn = rows.where(spot < int(min(1.0, wanted / max(n, 1)) * (1 << 30))).orderBy(spot, key).limit(wanted).select(*columns).collect()
-    data = np.array([tuple(r) for r in drawn], float)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(data))
+    size = min(sample, n)
     deep = math.ceil(math.log2(max(2, size)))
+    dealt_share, copies = 1.5 * trees * sample / max(n, 1), max(1, math.ceil(1.5 * trees * sample / max(n, 1)))
+    copy = rows.select(key, *columns, F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("_copy"))
+    spot = F.pmod(F.xxhash64(F.col(key), F.col("_copy"), F.lit(seed)), F.lit(1 << 40))
+    drawn = copy.withColumn("_spot", spot).where(F.col("_spot") < int(min(1.0, dealt_share / copies) * (1 << 40)))
+    tree = F.pmod(F.xxhash64(F.col(key), F.col("_copy"), F.lit(seed + 1)), F.lit(trees)).cast("int")
+    place = F.row_number().over(Window.partitionBy("_tree").orderBy("_spot", key))  # about one and a half times ``sample`` rows
+    own = drawn.withColumn("_tree", tree).withColumn("_place", place).where(F.col("_place") <= size)
     mean_path = lambda m: 0.0 if m < 2 else 1.0 if m == 2 else 2 * (math.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m
 
-    def grow(part, depth):
-        span = part.max(0) - part.min(0) if len(part) else np.zeros(len(columns))
-        if depth >= deep or len(part) < 2 or not span.any():
-            return depth + mean_path(len(part))
-        c = int(rng.choice(np.flatnonzero(span)))
-        cut = float(rng.uniform(part[:, c].min(), part[:, c].max()))
-        return c, cut, grow(part[part[:, c] < cut], depth + 1), grow(part[part[:, c] >= cut], depth + 1)
-
-    forest = spark.sparkContext.broadcast([grow(data[rng.choice(len(data), size, replace=False)], 0) for _ in range(trees)])
+    def grow(frame: pd.DataFrame) -> pd.DataFrame:
+        number = int(frame["_tree"].iloc[0])
+        data, rng, nodes = frame.sort_values("_place")[columns].to_numpy(float), np.random.default_rng([seed, number]), []
+
+        def part(at, depth):
+            here = len(nodes)
+            span = np.ptp(data[at], axis=0)
+            if depth >= deep or len(at) < 2 or not span.any():
+                nodes.append((here, -1, depth + mean_path(len(at)), -1, -1))
+                return here
+            nodes.append(None)
+            c = int(rng.choice(np.flatnonzero(span)))
+            bound = float(rng.uniform(data[at, c].min(), data[at, c].max()))
+            below = data[at, c] < bound
+            nodes[here] = (here, c, bound, part(at[below], depth + 1), part(at[~below], depth + 1))
+            return here
+
+        part(np.arange(len(data)), 0)
+        return pd.DataFrame(nodes, columns=["node", "col", "bound", "low", "high"]).assign(tree=number)[["tree", "node", "col", "bound", "low", "high"]]
+
+    grown = own.groupBy("_tree").applyInPandas(grow, "tree int, node int, col int, bound double, low int, high int").toPandas()
+    if grown.empty:
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+
+    def nested(part, node):
+        r = part[node]
+        return float(r[1]) if r[0] < 0 else (int(r[0]), float(r[1]), nested(part, int(r[2])), nested(part, int(r[3])))
+
+    forest = spark.sparkContext.broadcast([nested(part.sort_values("node")[["col", "bound", "low", "high"]].to_numpy(), 0) for _, part in grown.groupby("tree")])
     scale = mean_path(size) or 1.0
 
     def run(frames):

@@ -11,7 +11,7 @@ from ..functions import market
 from ..ml import evaluation as ev
 from ..ml import models
 from ..operators import aggregates as agg
-from ..operators import matching, temporal
+from ..operators import matching, temporal, windows
 from ..sources.shared import cut, new_folder
 from ..sources.tables import ticks, trades
 from ..stats import bootstrap, metric_bootstrap, regression, tests
@@ -63,6 +63,16 @@ def fe_ols_contrast(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "clusters string, term string, estimate double, error double, t double, p double, low double, high double, groups int")
 
 
+def feols_singletons(spark: S, d: str) -> DataFrame:
+    """Effects of market and hour, without rows that are alone in a level of one (again and again): rows gone, coefficients, errors."""
+    rows = _panel(spark, d).where("x2 > 0").select("market", "bucket", "y", "x1", "x2")
+    kept = cut(regression.without_singletons(rows, ["market", "bucket"]))
+    fit = regression.Fit(regression.demean(kept, ["y", "x1", "x2"], ["market", "bucket"]), "y", ["x1", "x2"])
+    cover, groups = fit.covariance(["bucket"])
+    sizes = (rows.count(), kept.count(), groups)
+    return spark.createDataFrame([(term, *_digits(fit.contrast(w, cover, groups)[:2]), *sizes) for term, w in CONTRASTS.items()], "term string, estimate double, error double, n_rows long, n_kept long, clusters long")
+
+
 def wild_bootstrap(spark: S, d: str) -> DataFrame:
     """Each coefficient and their difference against 9,999 draws under the restriction that it is 0."""
     fit = _fit(spark, d)
@@ -97,8 +107,12 @@ def _t_quantile(df: str) -> str:
 
 # Cell means swept by market and day in turn; what is left of a row is its value less its cell's mean, plus what is left of that.
 _SWEEPS = 80
-TWO_WAY = f"""WITH RECURSIVE {T}, {PANEL},
-r AS (SELECT market, bucket // 86400 AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM p),
+_ROWS = "SELECT market, bucket // 86400 AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM p"
+
+
+def _two_way(rows: str = _ROWS) -> str:
+    return f"""WITH RECURSIVE {T}, {PANEL},
+r AS ({rows}),
 c0 AS (SELECT market, dy, count(*)::DOUBLE AS n, avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2 FROM r GROUP BY ALL),
 c(step, market, dy, n, y, x1, x2) AS (
   SELECT 0, * FROM c0 UNION ALL
@@ -123,6 +137,9 @@ v AS (
     g / (g - 1.0) * (n - 1) / (n - 2) * (i11 * (m11 * i12 + m12 * i22) + i12 * (m12 * i12 + m22 * i22)) AS v12,
     g / (g - 1.0) * (n - 1) / (n - 2) * (i12 * (m11 * i12 + m12 * i22) + i22 * (m12 * i12 + m22 * i22)) AS v22 FROM m, b),
 k(term, r1, r2) AS (VALUES ('x1', 1.0::DOUBLE, 0.0::DOUBLE), ('x2', 0.0, 1.0), ('x1-x2', 1.0, -1.0))"""
+
+
+TWO_WAY = _two_way()
 FE_OLS_CONTRAST = f"""{TWO_WAY},
 w AS (
   SELECT 'dy' AS clusters, g, v11, v12, v22 FROM v WHERE kind = 'dy' UNION ALL
@@ -137,6 +154,11 @@ j AS (SELECT clusters, g, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) /
 SELECT clusters, term, round(estimate, 6) AS estimate, round(error, 6) AS error, round(t, 6) AS t, round({_t_tail("t", "tests.df")}, 6) AS p, round(estimate - q * error, 6) AS low,
   round(estimate + q * error, 6) AS high, g::INT AS "groups" FROM tests JOIN q USING (df)
 UNION ALL SELECT clusters, 'joint', round(f, 6), NULL, NULL, round(pow(1 + 2 * f / (g - 1), -(g - 1) / 2.0), 6), NULL, NULL, g::INT FROM j"""
+_HOURS = """SELECT market, bucket AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM (
+  SELECT * FROM (SELECT * FROM p WHERE n_trades > 1 QUALIFY count(*) OVER (PARTITION BY bucket) > 1) QUALIFY count(*) OVER (PARTITION BY market) > 1)"""
+FEOLS_SINGLETONS = f"""{_two_way(_HOURS)}
+SELECT term, round(r1 * b1 + r2 * b2, 6) AS estimate, round(sqrt(r1 * r1 * v11 + 2 * r1 * r2 * v12 + r2 * r2 * v22), 6) AS error, (SELECT count(*) FROM p WHERE n_trades > 1) AS n_rows,
+  (SELECT count(*) FROM r) AS n_kept, g AS clusters FROM k, b, v WHERE kind = 'dy'"""
 WILD_BOOTSTRAP = f"""{TWO_WAY},
 a AS (SELECT dy::VARCHAR AS dy, sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * y) AS q1, sum(x2 * y) AS q2 FROM f GROUP BY ALL),
 h AS (
@@ -297,9 +319,9 @@ FAMILIES = {"volume": ["gross"], "flow": ["size"], "breadth": ["n_wallets"]}
 
 def _judged(out: DataFrame) -> DataFrame:
     """Average precision, ROC-AUC, and the metrics at the thresholds that the training folds chose."""
-    out = out.select("score", "label", "cut").cache()
+    out = cut(out.select("score", "label", "cut"))
     ap = ev.average_precision(out, "score", "label").select(F.lit("average_precision").alias("metric"), F.col("ap").alias("value"))
-    auc = ev.roc_auc(out.withColumn("_all", F.lit(0)), "score", "label", ["_all"]).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    auc = ev.roc_auc(out, "score", "label", []).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
     rest = ev.metrics(out, "score", "label", F.col("cut")).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("precision", "recall", "f1", "brier"))), F.array("precision", "recall", "f1", "brier"))).alias("metric", "value"))
     return ap.unionByName(auc).unionByName(rest)
 
@@ -335,8 +357,8 @@ def family_ablation(spark: S, d: str) -> DataFrame:
 def isolation_screen(spark: S, d: str) -> DataFrame:
     """The highest percent of hours by isolation score, over robustly scaled features."""
     at = ev.isolation_scores(ev.robust_scaled(_samples(spark, d), FEATURES), "key", FEATURES, trees=500)
-    at = cut(at)  # scored once: counted, then ranked
-    return at.orderBy(F.desc("score"), "key").limit(max(1, -(-at.count() // 100)))
+    at = cut(at).withColumn("_all", F.lit(0))  # scored once: for the bound, then for the ranks
+    return windows.top_percent(at, 1, "score", "key", ["_all"]).select("key", "score")
 
 
 #: Seconds between a case and its control, and around any case in which no row of the market is a control.
@@ -463,7 +485,7 @@ def stream_sequences(spark: S, d: str) -> DataFrame:
 STREAM_SEQUENCES = SEQUENCES_60S
 
 NAMES = (
-    "demean_one_way fe_ols_contrast wild_bootstrap holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
+    "demean_one_way fe_ols_contrast feols_singletons wild_bootstrap holm_adjust paired_tests paired_statistics smd permutation_p cluster_bootstrap rule_score robust_scale average_precision classification_metrics "
     "group_folds oof_audit chrono_split nested_cv_logistic nested_cv_forest boosted_holdout family_ablation isolation_screen matched_controls stream_panel stream_sliding stream_dedupe stream_sessions stream_sequences metric_increments"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -128,12 +128,18 @@ SELECT "column", count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x),
   round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS most FROM l GROUP BY ALL"""
 
 
+MATRIX = ("gross", "net", "buy_value", "n_trades", "n_wallets")
+_PAIRS = [(a, b) for i, a in enumerate(MATRIX) for b in MATRIX[i:]]
+
+
 def correlations(spark: S, d: str) -> DataFrame:
-    p = agg.panel(trades(spark, d))
-    return p.groupBy("market").agg(F.round(F.corr("gross", "net"), 8).alias("gross_net"), F.round(F.corr("gross", "n_wallets"), 8).alias("gross_wallets"))
+    """The correlation matrix of the panel's columns per market, each pair once, from one aggregation."""
+    wide = agg.panel(trades(spark, d)).groupBy("market").agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(_PAIRS)])
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 8).alias("r")) for i, (a, b) in enumerate(_PAIRS)]))
+    return wide.select("market", cells.alias("c")).select("market", "c.*")
 
 
-CORRELATIONS = f"WITH {T}, {PANEL} SELECT market, round(corr(gross, net), 8) AS gross_net, round(corr(gross, n_wallets), 8) AS gross_wallets FROM p GROUP BY ALL"
+CORRELATIONS = f"WITH {T}, {PANEL} " + " UNION ALL ".join(f"SELECT market, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM p GROUP BY market" for a, b in _PAIRS)
 
 
 def category_share(spark: S, d: str) -> DataFrame:
@@ -345,15 +351,21 @@ WINSORISED = f"""WITH {T}, {PANEL}, q AS (SELECT quantile_cont(net, 0.005) AS a,
 SELECT market, bucket, round(greatest(a, least(b, net)) / 1000, 9) AS net FROM p, q"""
 
 
+#: Markets that must trade in an hour.
+SUPPORT = (2, 4, 5)
+
+
 def cell_support(spark: S, d: str) -> DataFrame:
-    """Hours in which at least four markets trade, and markets whose direction varies in them."""
-    at = agg.with_bucket(trades(spark, d))
-    wide = at.groupBy("bucket").agg(F.countDistinct("market").alias("markets")).where("markets >= 4")
-    return at.join(wide, "bucket").groupBy("bucket", "market").agg(F.count("*").alias("n"), (F.min("direction") != F.max("direction")).alias("varies"))
+    """Hours in which enough markets trade, by how many that is: hours, rows, and markets' hours whose direction varies."""
+    at = agg.with_bucket(trades(spark, d)).groupBy("bucket", "market").agg(F.count("*").alias("n"), (F.min("direction") != F.max("direction")).cast("int").alias("varies"))
+    hours = at.groupBy("bucket").agg(F.count("*").alias("markets"), F.sum("n").alias("n"), F.sum("varies").alias("varies"))
+    least = F.explode(F.filter(F.array(*map(F.lit, SUPPORT)), lambda k: k <= F.col("markets")))
+    return hours.withColumn("least", least).groupBy("least").agg(F.count("*").alias("hours"), F.sum("n").alias("n"), F.sum("varies").alias("varying"))
 
 
-CELL_SUPPORT = f"""WITH {T}, b AS (SELECT *, sec - sec % 3600 AS bucket FROM t), w AS (SELECT bucket FROM b GROUP BY ALL HAVING count(DISTINCT market) >= 4)
-SELECT bucket, market, count(*) AS n, min(direction) <> max(direction) AS varies FROM b JOIN w USING (bucket) GROUP BY ALL"""
+CELL_SUPPORT = f"""WITH {T}, c AS (SELECT sec - sec % 3600 AS bucket, market, count(*) AS n, (min(direction) <> max(direction))::INT AS varies FROM t GROUP BY ALL),
+h AS (SELECT bucket, count(*) AS markets, sum(n) AS n, sum(varies) AS varies FROM c GROUP BY ALL)
+SELECT least, count(*) AS hours, sum(n)::BIGINT AS n, sum(varies)::BIGINT AS varying FROM h JOIN (VALUES {", ".join(f"({k}::INT)" for k in SUPPORT)}) l(least) ON markets >= least GROUP BY least"""
 
 
 def reconcile_counts(spark: S, d: str) -> DataFrame:

@@ -75,18 +75,28 @@ BOUNDARY_FLAGS = f"""WITH {T}, {K}, {PANEL} SELECT p.market, p.bucket, p.bucket
 
 
 def z_weighted_flow(spark: S, d: str) -> DataFrame:
-    """Flow per market and hour, weighted by how far a wallet's log volume is from the wallets' mean."""
-    rows = trades(spark, d)
-    volume = rows.groupBy("wallet").agg(F.log1p(F.sum("value")).alias("v"))
-    mean, sd = volume.agg(F.avg("v"), F.stddev_samp("v")).first()
-    z = volume.select("wallet", ((F.col("v") - F.lit(mean)) / F.lit(sd)).alias("z"))
-    return agg.with_bucket(rows).join(z, "wallet").groupBy("market", "bucket").agg(
-        F.round(F.sum(F.col("z") * F.col("value")), 5).alias("z_gross"), F.round(F.sum(F.col("z") * F.col("value") * F.col("direction")), 5).alias("z_net")
-    )
+    """Flow per market and hour, weighted by how far a wallet's log volume of earlier days is from that of all wallets known by then.
 
-
-Z_WEIGHTED_FLOW = f"""WITH {T}, v AS (SELECT wallet, ln(1 + sum(value)) AS v FROM t GROUP BY ALL), z AS (SELECT wallet, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z FROM v)
-SELECT market, sec - sec % 3600 AS bucket, round(sum(z * value), 5) AS z_gross, round(sum(z * value * direction), 5) AS z_net FROM t JOIN z USING (wallet) GROUP BY ALL"""
+    Large and ordinary trades apart; trades of wallets without earlier volume have no weight and are counted.
+    """
+    rows = trades(spark, d)
+    past = windows.daily_past_totals(rows, None).select("dy", "wallet", F.log1p("past").alias("v"))
+    spread = past.groupBy("dy").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    z = past.join(F.broadcast(spread), "dy").select("dy", "wallet", ((F.col("v") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"))  # one row per day
+    at = agg.with_bucket(rows).join(z, ["dy", "wallet"], "left")
+    sums = []
+    for name, kind in (("large", F.col("value") >= 150), ("ordinary", F.col("value") < 150)):
+        pick = lambda x: F.round(F.coalesce(F.sum(F.when(kind, F.col("z") * x)), F.lit(0.0)), 5)  # noqa: B023, E731
+        sums += [pick(F.col("value")).alias(f"{name}_z_gross"), pick(F.col("value") * F.col("direction")).alias(f"{name}_z_net")]
+    return at.groupBy("market", "bucket").agg(*sums, F.sum(F.when(F.col("z").isNull(), 1).otherwise(0)).alias("unscored"))
+
+
+Z_WEIGHTED_FLOW = f"""WITH {T}, w AS (SELECT wallet, dy, sum(value) AS v FROM t GROUP BY ALL), s AS (SELECT wallet, v, unnest(range(dy + 1, (SELECT max(dy) FROM t) + 1)) AS later FROM w),
+p AS (SELECT wallet, later AS dy, ln(1 + sum(v)) AS v FROM s GROUP BY ALL),
+z AS (SELECT dy, wallet, (v - avg(v) OVER d) / nullif(stddev_pop(v) OVER d, 0) AS z FROM p WINDOW d AS (PARTITION BY dy))
+SELECT market, sec - sec % 3600 AS bucket, """ + ", ".join(
+    f"round(coalesce(sum(z * {x}) FILTER (value {op} 150), 0), 5) AS {n}_z_{k}" for n, op in (("large", ">="), ("ordinary", "<")) for k, x in (("gross", "value"), ("net", "value * direction"))
+) + " , count(*) FILTER (z IS NULL) AS unscored FROM t LEFT JOIN z USING (dy, wallet) GROUP BY ALL"
 
 
 def median_split(spark: S, d: str) -> DataFrame:
