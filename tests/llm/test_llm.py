@@ -113,6 +113,31 @@ def test_url_filter(spark):
         assert (out[i].host, out[i].path, out[i].rule, out[i].verdict) == (host, path, best[3], best[4]), u
 
 
+def test_links_between_shards_alone_are_audited(spark, monkeypatch):
+    """No shard holds a link of its own, and the walk is as narrow as it gets."""
+    for name, value in (("SHARD_ROWS", 150), ("QUERY_ROWS", 100), ("FIRST_BEAM", 1), ("DEGREE", 2), ("BUILD_BEAM", 2)):
+        monkeypatch.setattr(hnsw_dedup, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(900, 12))
+    near = base + rng.normal(size=base.shape) * 0.05
+    both = [(2 * i + k, [float(x) for x in v], 1) for i, pair in enumerate(zip(base, near)) for k, v in enumerate(pair)]
+    table = spark.createDataFrame(both, VECTORS)
+    for kept in range(3):  # the number of shards follows the rows that stay
+        shards = -(-table.count() // 150)
+        at = {r.vec_id: r.s for r in table.select("vec_id", F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("s")).collect()}
+        table = table.where(F.col("vec_id").isin([i for i in at if at.get(i - i % 2) is not None and at.get(i - i % 2) != at.get(i - i % 2 + 1, at[i])]))
+        table = spark.createDataFrame(table.collect(), VECTORS)
+    rows = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in table.collect()}
+    ids = sorted(rows)
+    unit = np.array([rows[i] for i in ids])
+    close = unit @ unit.T >= 0.93
+    out = {r.vec_id: r.n_links for r in hnsw_dedup.near_duplicates(table).collect()}
+    found, true = sum(out.values()), int(close.sum() - len(ids))
+    assert true > 300 and found >= 0.99 * true
+    monkeypatch.setattr(hnsw_dedup, "foreign_beam", lambda graph, threshold, queries, beam: beam)
+    assert sum(r.n_links for r in hnsw_dedup.near_duplicates(table).collect()) < found
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece
 

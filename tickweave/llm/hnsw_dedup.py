@@ -5,7 +5,9 @@ dealt over shards of at most about ``SHARD_ROWS`` by a hash. Each shard builds a
 audits it: a sample of its own classes is searched with the beam and by brute force, and the
 beam is widened until the recall of links to other classes reaches ``AUDIT_RECALL`` among the
 rows of every order of link count that the graph's walk answers (a beam as wide as the shard
-finds everything). Then every class queries every shard of its group; a query
+finds everything). Then every class queries every shard of its group. A task that asks a shard
+audits it again with a sample of its own queries from other shards, so links that no shard
+holds inside itself are measured too, and widens the beam for its queries; a query
 whose beam is full of links goes on with a wider one. Links are verified by cosine in double
 precision. A task returns the number of links per class and a spanning forest of what it
 found, never all pairs, and the forests' components are united at the end.
@@ -30,6 +32,8 @@ DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 48, 32
 #: Classes with other links that are audited in a shard, least of them of each order of link count met (as
 #: far as the shard has them), and the mean recall of links of a class that passes.
 AUDIT_ROWS, AUDIT_LEAST, AUDIT_RECALL = 128, 32, 0.995
+#: Queries from other shards that a task compares with the whole shard to find ``AUDIT_ROWS`` with links.
+AUDIT_SEEN = 1024
 #: Rows inserted, and queries searched, side by side.
 STEP = 256
 
@@ -231,13 +235,34 @@ def audit_sample(graph: Graph, threshold: float) -> tuple[np.ndarray, list[np.nd
 
 
 def audited_beam(graph: Graph, threshold: float) -> int:
-    """The least beam, doubling from FIRST_BEAM, whose walks pass the audit at every order of link count."""
-    rows = len(graph.unit)
+    """The least beam, doubling from FIRST_BEAM, whose walks pass the audit of the shard's own rows."""
     sample, true = audit_sample(graph, threshold)
+    return passing_beam(graph, threshold, graph.unit[sample], true, FIRST_BEAM)
+
+
+def foreign_beam(graph: Graph, threshold: float, queries: np.ndarray, beam: int) -> int:
+    """``beam``, or the next doubling of it whose walks pass the audit of queries from other shards.
+
+    Up to ``AUDIT_SEEN`` of them are compared with the whole shard until ``AUDIT_ROWS`` have links.
+    """
+    order = np.random.default_rng(13).permutation(len(queries))[:AUDIT_SEEN]
+    sample, true = [], []
+    for begin in range(0, len(order), STEP):
+        part = order[begin : begin + STEP]
+        for i, line in zip(part.tolist(), queries[part] @ graph.unit.T):
+            if len(found := np.flatnonzero(line >= threshold)):
+                sample.append(i)
+                true.append(found)
+        if len(sample) >= AUDIT_ROWS:
+            break
+    return passing_beam(graph, threshold, queries[sample], true, beam)
+
+
+def passing_beam(graph: Graph, threshold: float, queries: np.ndarray, true: list[np.ndarray], beam: int) -> int:
+    """The least beam, doubling from the given one, whose walks find enough of the true links at every order of link count."""
     level = np.array([len(t).bit_length() for t in true], int)
-    beam = FIRST_BEAM
-    while beam < rows and len(sample):
-        found, walked = graph.links(graph.unit[sample], beam, threshold)
+    while beam < len(graph.unit) and len(true):
+        found, walked = graph.links(queries, beam, threshold)
         recall = np.array([len(np.intersect1d(a, b, assume_unique=True)) / len(b) for a, b in zip(found, true)])
         # rows compared with the whole shard say nothing about the graph
         if all(recall[own].mean() >= AUDIT_RECALL for k in set(level[walked].tolist()) if (own := walked & (level == k)).any()):
@@ -267,7 +292,8 @@ def _query(threshold: float):
         graph.unit, graph.layers = unit, layers
         own = left.column("id").to_numpy()
         queries = _units(left.column("vector"))
-        found, _ = graph.links(queries, right.column("beam")[0].as_py(), threshold - 1e-9)
+        beam = foreign_beam(graph, threshold - 1e-9, queries[~np.isin(own, ids)], right.column("beam")[0].as_py())
+        found, _ = graph.links(queries, beam, threshold - 1e-9)
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
