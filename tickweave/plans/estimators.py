@@ -154,8 +154,10 @@ j AS (SELECT clusters, g, (b1 * b1 * v22 - 2 * b1 * b2 * v12 + b2 * b2 * v11) /
 SELECT clusters, term, round(estimate, 6) AS estimate, round(error, 6) AS error, round(t, 6) AS t, round({_t_tail("t", "tests.df")}, 6) AS p, round(estimate - q * error, 6) AS low,
   round(estimate + q * error, 6) AS high, g::INT AS "groups" FROM tests JOIN q USING (df)
 UNION ALL SELECT clusters, 'joint', round(f, 6), NULL, NULL, round(pow(1 + 2 * f / (g - 1), -(g - 1) / 2.0), 6), NULL, NULL, g::INT FROM j"""
-_HOURS = """SELECT market, bucket AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM (
-  SELECT * FROM (SELECT * FROM p WHERE n_trades > 1 QUALIFY count(*) OVER (PARTITION BY bucket) > 1) QUALIFY count(*) OVER (PARTITION BY market) > 1)"""
+_KEPT = "SELECT * FROM p WHERE n_trades > 1"
+for _effect in ("bucket", "market") * 8:  # what one pass takes away may leave others alone
+    _KEPT = f"SELECT * FROM ({_KEPT}) QUALIFY count(*) OVER (PARTITION BY {_effect}) > 1"
+_HOURS = f"SELECT market, bucket AS dy, ln(1 + gross) AS y, sign(net) * ln(1 + abs(net)) AS x1, ln(n_trades) AS x2 FROM ({_KEPT})"
 FEOLS_SINGLETONS = f"""{_two_way(_HOURS)}
 SELECT term, round(r1 * b1 + r2 * b2, 6) AS estimate, round(sqrt(r1 * r1 * v11 + 2 * r1 * r2 * v12 + r2 * r2 * v22), 6) AS error, (SELECT count(*) FROM p WHERE n_trades > 1) AS n_rows,
   (SELECT count(*) FROM r) AS n_kept, g AS clusters FROM k, b, v WHERE kind = 'dy'"""
