@@ -390,10 +390,50 @@ def aliased_teams(spark: S, d: str) -> DataFrame:
 ALIASED_TEAMS = f"""SELECT CASE upper(n_name) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())} ELSE upper(n_name) END AS team, count(*) AS n,
   coalesce(min(c_custkey) FILTER (c_acctbal >= 0), min(c_custkey)) AS preferred FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"""
 
+def nearest_fixtures(spark: S, d: str) -> DataFrame:
+    """Listings of two teams in either order, resolved to the fixture of the pair whose day is nearest (ties to the earlier), per pair.
+
+    Orders stand for fixtures, lines for listings; team names go through the alias table.
+    """
+    alias = spark.createDataFrame(list(ALIASES.items()), "name string, short string")
+    teams = table(spark, d, "nation").select("n_nationkey", F.upper(F.trim("n_name")).alias("name")).join(F.broadcast(alias), "name", "left")
+    teams = F.broadcast(teams.select("n_nationkey", F.coalesce("short", "name").alias("team")))  # one row per nation
+    named = lambda rows, key, to: rows.join(teams.select(F.col("n_nationkey").alias(key), F.col("team").alias(to)), key).drop(key)
+    pair = F.array_join(F.array_sort(F.array("a", "b")), " v ")
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    orders = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("ka")), "o_custkey")
+    orders = orders.select("ka", (F.col("o_orderkey") % 25).cast("int").alias("kb"), day("o_orderdate").alias("sec"), "o_orderkey")
+    fixtures = named(named(orders, "ka", "a"), "kb", "b").where("a <> b").groupBy(pair.alias("market"), "sec").agg(F.min("o_orderkey").cast("double").alias("price"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("ka")), "l_suppkey")
+    lines = lines.select("ka", (F.col("l_partkey") % 25).cast("int").alias("kb"), day("l_shipdate").alias("sec"))
+    listings = named(named(lines, "ka", "a"), "kb", "b").where("a <> b").select(pair.alias("market"), "sec")
+    at = temporal.asof(temporal.asof(listings, fixtures, prefix="before", bucket=180), fixtures, prefix="after", forward=True, bucket=180)
+    early = F.col("after_sec").isNull() | (F.col("sec") - F.col("before_sec") <= F.col("after_sec") - F.col("sec"))
+    best = F.when(F.col("before_sec").isNotNull() & early, F.struct(F.col("before_price").alias("id"), (F.col("sec") - F.col("before_sec")).alias("gap"))).otherwise(
+        F.struct(F.col("after_price").alias("id"), (F.col("after_sec") - F.col("sec")).alias("gap"))
+    )
+    return at.select("market", best.alias("f")).groupBy(F.col("market").alias("pair")).agg(
+        F.count("*").alias("listings"), F.count("f.id").alias("resolved"), F.sum("f.gap").alias("days_off"), F.sum(F.col("f.id").cast("long")).alias("id_sum")
+    )
+
+
+_TEAM = f"CASE upper(trim(n_name)) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items())} ELSE upper(trim(n_name)) END"
+NEAREST_FIXTURES = f"""WITH n AS (SELECT n_nationkey AS k, {_TEAM} AS team FROM nation),
+f AS (
+  SELECT least(x.team, y.team) || ' v ' || greatest(x.team, y.team) AS pair, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS d, min(o_orderkey) AS id
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN n x ON x.k = c_nationkey JOIN n y ON y.k = o_orderkey % 25 WHERE x.team <> y.team GROUP BY ALL),
+l AS (
+  SELECT least(x.team, y.team) || ' v ' || greatest(x.team, y.team) AS pair, datediff('day', DATE '1970-01-01', l_shipdate::DATE) AS d
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN n x ON x.k = s_nationkey JOIN n y ON y.k = l_partkey % 25 WHERE x.team <> y.team),
+m AS (
+  SELECT l.pair, l.d, b.d AS bd, b.id AS bid, a.d AS ad, a.id AS aid FROM l ASOF LEFT JOIN f b ON b.pair = l.pair AND l.d >= b.d ASOF LEFT JOIN f a ON a.pair = l.pair AND l.d <= a.d),
+r AS (SELECT pair, CASE WHEN bd IS NOT NULL AND (ad IS NULL OR d - bd <= ad - d) THEN bid ELSE aid END AS id, CASE WHEN bd IS NOT NULL AND (ad IS NULL OR d - bd <= ad - d) THEN d - bd ELSE ad - d END AS gap FROM m)
+SELECT pair, count(*) AS listings, count(id) AS resolved, sum(gap)::BIGINT AS days_off, sum(id)::BIGINT AS id_sum FROM r GROUP BY pair"""
+
 NAMES = (
     "two_threshold_panel executed_price_asof boundary_flags z_weighted_flow median_split paired_cells version_rewrite whole_join cluster_representatives numbered_cases planted_reconciliation "
     "count_conservation fingerprint_gate dict_remap link_functions roc_auc case_audit disposition_rollup prioritised_union set_scores reversal_fraction band_dummies varied_groups tagged_samples "
-    "saturated_windows aliased_teams"
+    "saturated_windows aliased_teams nearest_fixtures"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}
