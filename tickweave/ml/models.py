@@ -57,7 +57,7 @@ def tuned(train: DataFrame, kind: str, grid: list[dict], features: list[str], la
         with ThreadPool(AT_A_TIME) as pool:
             parts = pool.map(lambda ij: _fit_scores(dealt.where(F.col("fold") != ij[1]), dealt.where(F.col("fold") == ij[1]), kind, grid[ij[0]], features, label), jobs)
             whole = [reduce(DataFrame.unionByName, parts[i * inner : (i + 1) * inner]).select(label, "score") for i in range(len(grid))]
-            value = pool.map(lambda rows: average_precision(rows, "score", label).first()[0] or 0.0, whole)
+            value = [v if v is not None and v == v else 0.0 for v in pool.map(lambda rows: average_precision(rows, "score", label).first()[0], whole)]
         best = max(range(len(grid)), key=lambda i: (value[i], -i))
         return grid[best], f1_threshold(whole[best], "score", label)
     finally:
