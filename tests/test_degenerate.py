@@ -15,3 +15,14 @@ def test_metrics_of_groups_without_calls_or_labels(spark):
     ap = {r.g: r.ap for r in ev.average_precision(rows, "s", "y", ["g"]).collect()}
     assert ap[1] == 1 and math.isnan(ap[2]) and math.isnan(ev.average_precision(rows.where("y = 0"), "s", "y").first().ap)
     assert math.isnan({r.g: r.auc for r in ev.roc_auc(rows, "s", "y", ["g"]).collect()}[2])
+
+
+def _of(rows):
+    return lambda spark, d, spec: spark.createDataFrame(rows, "market string, dy long, y double, x1 double, x2 double")
+
+
+def test_models_whose_second_regressor_is_constant(spark, monkeypatch):
+    monkeypatch.setattr(model_specs, "_sample", _of([(m, i % 3, float(i * i % 7), float(i), 0.0) for m in "ab" for i in range(9)]))
+    out = model_specs._family({"one": model_specs.SENSITIVITY["80_log"]})(spark, "").collect()
+    assert [r.term for r in out] == ["x1", "x2", "sum"]
+    assert all(math.isnan(r.estimate) and math.isnan(r.error) and r.n == 18 and r.clusters == 3 for r in out)

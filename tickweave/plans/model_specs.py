@@ -85,14 +85,14 @@ def fitted(spark: S, d: str, spec: Spec) -> regression.Fit:
 
 
 def _family(specs: dict[str, Spec]):
-    """Terms of every model of a family: both slopes and their sum, with clustered errors."""
+    """Terms of every model of a family: both slopes and their sum, with clustered errors; NaN where the two slopes have no one solution."""
     def query(spark: S, d: str) -> DataFrame:
         rows = []
         for name, spec in specs.items():
             fit = fitted(spark, d, spec)
             cover, groups = fit.covariance(["dy"])
             for term, w in (("x1", [1.0, 0.0]), ("x2", [0.0, 1.0]), ("sum", [1.0, 1.0])):
-                estimate, error = fit.contrast(w, cover, groups)[:2]
+                estimate, error = fit.contrast(w, cover, groups)[:2] if fit.identified else (float("nan"), float("nan"))
                 rows.append((name, term, round(estimate, 7), round(error, 7), fit.n, groups))
         return spark.createDataFrame(rows, "model string, term string, estimate double, error double, n bigint, clusters int")
 

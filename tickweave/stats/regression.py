@@ -135,6 +135,9 @@ class Fit:
         self.n = self.rows.count()
         self.bread = np.linalg.pinv(both[:-1, :-1])
         self.beta = self.bread @ both[:-1, -1]
+        size = np.sqrt(np.diag(both)[:-1])
+        #: Whether the regressors have one solution: none is constant within the effects, or a sum of others.
+        self.identified = bool((size > 0).all() and np.linalg.matrix_rank(both[:-1, :-1] / np.outer(size, size), hermitian=True) == len(xs))
 
     def residual(self) -> Column:
         return F.col(self.y) - sum((float(b) * F.col(x) for b, x in zip(self.beta, self.xs)), F.lit(0.0))
@@ -157,9 +160,11 @@ class Fit:
         return a + b - ab, min(ga, gb)
 
     def contrast(self, weights: list[float], covariance: np.ndarray, groups: int) -> tuple[float, float, float, float, float, float]:
-        """Estimate, standard error, t, p, and the bounds of the 95 % interval."""
+        """Estimate, standard error, t, p, and the bounds of the 95 % interval; an error of 0 (a perfect fit) has no t."""
         w = np.array(weights)
         value, error = float(w @ self.beta), float(np.sqrt(w @ covariance @ w))
+        if error == 0:
+            return value, error, float("nan"), float("nan"), value, value
         t, wide = value / error, t_quantile(0.05, groups - 1) * error
         return value, error, t, t_two_sided(t, groups - 1), value - wide, value + wide
 
