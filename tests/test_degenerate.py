@@ -26,3 +26,11 @@ def test_models_whose_second_regressor_is_constant(spark, monkeypatch):
     out = model_specs._family({"one": model_specs.SENSITIVITY["80_log"]})(spark, "").collect()
     assert [r.term for r in out] == ["x1", "x2", "sum"]
     assert all(math.isnan(r.estimate) and math.isnan(r.error) and r.n == 18 and r.clusters == 3 for r in out)
+
+
+def test_models_of_an_outcome_that_does_not_vary(spark, monkeypatch):
+    monkeypatch.setattr(model_specs, "_sample", _of([(m, i % 3, 1.0, float(i), float(i * i % 5)) for m in "ab" for i in range(9)]))
+    out = model_specs._family({"one": model_specs.TWO_PART["any"]})(spark, "").collect()
+    assert [(r.term, r.estimate, r.error) for r in out] == [("x1", 0, 0), ("x2", 0, 0), ("sum", 0, 0)]
+    fit = regression.Fit(model_specs._sample(spark, "", None), "y", ["x1", "x2"])
+    assert fit.identified and math.isnan(fit.contrast([1.0, 0.0], fit.bread * 0, 3)[2])
