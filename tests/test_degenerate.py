@@ -34,3 +34,12 @@ def test_models_of_an_outcome_that_does_not_vary(spark, monkeypatch):
     assert [(r.term, r.estimate, r.error) for r in out] == [("x1", 0, 0), ("x2", 0, 0), ("sum", 0, 0)]
     fit = regression.Fit(model_specs._sample(spark, "", None), "y", ["x1", "x2"])
     assert fit.identified and math.isnan(fit.contrast([1.0, 0.0], fit.bread * 0, 3)[2])
+
+
+def test_increments_without_a_score_at_the_threshold(spark):
+    rows = spark.createDataFrame([(i % 5, i % 2, i / 40, (i * 7 % 20) / 40) for i in range(20)], "c int, y int, a double, b double")
+    assert {r.metric for r in metric_bootstrap.increments(rows, "c", "y", "a", "b", 0.9, draws=9).collect()} == {"average_precision", "brier"}
+    few = spark.createDataFrame([(i % 5, i % 2, 0.95 if i == 0 else i / 40, 0.95 if i < 5 else 0.1) for i in range(20)], "c int, y int, a double, b double")
+    found = metric_bootstrap.draws_of(few, "c", "y", {"base": "a", "full": "b"}, 0.9, draws=9).collect()
+    without = {r.draw for r in found if r.model == "base" and r.f1 is None}
+    assert without == {k for k in range(9) if metric_bootstrap.times_drawn(k, 5)[0] == 0} and without
