@@ -49,3 +49,15 @@ def test_scaling_of_a_column_without_values(spark):
     rows = spark.createDataFrame([("a", None, 1.0), ("b", None, None), ("c", None, 3.0)], "key string, u double, v double")
     got = sorted((r.key, r.u, r.u_missing, r.v) for r in ev.robust_scaled(rows, ["u", "v"]).collect())
     assert got == [("a", None, 1, -1.0), ("b", None, 1, 0.0), ("c", None, 1, 1.0)]
+
+
+def test_cell_support_lists_every_market_of_an_hour(spark):
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        return
+    found = panels.cell_support(spark, folder).collect()
+    four = {(r.bucket, r.market) for r in found if r.least == 4}
+    assert len(four) > 4 and len(four) == sum(r.least == 4 for r in found)
+    assert {r.least for r in found} <= set(panels.SUPPORT) and four <= {(r.bucket, r.market) for r in found if r.least == 2}

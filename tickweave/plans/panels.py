@@ -356,16 +356,16 @@ SUPPORT = (2, 4, 5)
 
 
 def cell_support(spark: S, d: str) -> DataFrame:
-    """Hours in which enough markets trade, by how many that is: hours, rows, and markets' hours whose direction varies."""
-    at = agg.with_bucket(trades(spark, d)).groupBy("bucket", "market").agg(F.count("*").alias("n"), (F.min("direction") != F.max("direction")).cast("int").alias("varies"))
-    hours = at.groupBy("bucket").agg(F.count("*").alias("markets"), F.sum("n").alias("n"), F.sum("varies").alias("varies"))
+    """For each least number of markets the hours in which so many trade: rows of every market's hour, and whether its direction varies."""
+    at = agg.with_bucket(trades(spark, d)).groupBy("bucket", "market").agg(F.count("*").alias("n"), (F.min("direction") != F.max("direction")).alias("varies"))
+    hours = at.groupBy("bucket").agg(F.count("market").alias("markets"))
     least = F.explode(F.filter(F.array(*map(F.lit, SUPPORT)), lambda k: k <= F.col("markets")))
-    return hours.withColumn("least", least).groupBy("least").agg(F.count("*").alias("hours"), F.sum("n").alias("n"), F.sum("varies").alias("varying"))
+    return at.join(hours.select("bucket", least.alias("least")), "bucket").select("least", "bucket", "market", "n", "varies")
 
 
-CELL_SUPPORT = f"""WITH {T}, c AS (SELECT sec - sec % 3600 AS bucket, market, count(*) AS n, (min(direction) <> max(direction))::INT AS varies FROM t GROUP BY ALL),
-h AS (SELECT bucket, count(*) AS markets, sum(n) AS n, sum(varies) AS varies FROM c GROUP BY ALL)
-SELECT least, count(*) AS hours, sum(n)::BIGINT AS n, sum(varies)::BIGINT AS varying FROM h JOIN (VALUES {", ".join(f"({k}::INT)" for k in SUPPORT)}) l(least) ON markets >= least GROUP BY least"""
+CELL_SUPPORT = f"""WITH {T}, c AS (SELECT sec - sec % 3600 AS bucket, market, count(*) AS n, min(direction) <> max(direction) AS varies FROM t GROUP BY ALL),
+h AS (SELECT bucket, count(market) AS markets FROM c GROUP BY ALL)
+SELECT least, bucket, market, n, varies FROM c JOIN h USING (bucket) JOIN (VALUES {", ".join(f"({k}::INT)" for k in SUPPORT)}) l(least) ON markets >= least"""
 
 
 def reconcile_counts(spark: S, d: str) -> DataFrame:
