@@ -61,3 +61,14 @@ def test_cell_support_lists_every_market_of_an_hour(spark):
     four = {(r.bucket, r.market) for r in found if r.least == 4}
     assert len(four) > 4 and len(four) == sum(r.least == 4 for r in found)
     assert {r.least for r in found} <= set(panels.SUPPORT) and four <= {(r.bucket, r.market) for r in found if r.least == 2}
+
+
+def test_a_small_table_for_models_has_few_partitions(spark, monkeypatch):
+    from tickweave.ml import models
+
+    seen = []
+    fit = models._fit_scores
+    monkeypatch.setattr(models, "_fit_scores", lambda train, *more: (seen.append(train.rdd.getNumPartitions()), fit(train, *more))[1])
+    rows = spark.range(240).selectExpr("id % 8 AS dy", "id AS at", "cast(id * 7 % 3 = 0 AS int) AS label", "cast(id % 11 AS double) AS x").repartition(64)
+    out = models.holdout_scores(rows, "logistic", models.LOGISTIC[:1], ["x"], "label", "dy", "at")
+    assert out.count() == 60 and max(seen) == 1

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import sized
 from .evaluation import average_precision, chronological_split, f1_threshold, group_folds
 
 LOGISTIC = [{"regParam": r, "elasticNetParam": e} for r in (0.01, 0.1) for e in (0.0, 0.5)]
@@ -51,7 +51,7 @@ def tuned(train: DataFrame, kind: str, grid: list[dict], features: list[str], la
     """
     from multiprocessing.pool import ThreadPool
 
-    dealt = group_folds(train, group, label, inner).cache()
+    dealt = sized(group_folds(train, group, label, inner)).cache()
     try:
         jobs = [(i, j) for i in range(len(grid)) for j in range(inner)]
         with ThreadPool(AT_A_TIME) as pool:
@@ -66,7 +66,7 @@ def tuned(train: DataFrame, kind: str, grid: list[dict], features: list[str], la
 
 def nested_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, outer: int = 5, inner: int = 3) -> DataFrame:
     """Out-of-fold ``score`` of every row, with its fold's threshold ``cut``; both that and the grid point come from inner folds of the training groups."""
-    dealt = cut(group_folds(rows, group, label, outer))  # read by every fit
+    dealt = sized(group_folds(rows, group, label, outer))  # read by every fit
     parts = []
     for k in range(outer):
         train, test = dealt.where(F.col("fold") != k).drop("fold"), dealt.where(F.col("fold") == k)
@@ -77,7 +77,7 @@ def nested_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[s
 
 def holdout_scores(rows: DataFrame, kind: str, grid: list[dict], features: list[str], label: str, group: str, at: str, inner: int = 3) -> DataFrame:
     """Scores of the latest groups by a model of the earlier ones, tuned and cut on inner folds of those alone."""
-    dealt = cut(chronological_split(rows, group, at))  # read by every fit
+    dealt = sized(chronological_split(rows, group, at))  # read by every fit
     train, test = dealt.where("is_train").drop("is_train"), dealt.where("not is_train")
     best, threshold = tuned(train, kind, grid, features, label, group, inner)
     return _fit_scores(train, test, kind, best, features, label).withColumn("cut", F.lit(float(threshold)))

@@ -33,6 +33,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a partition of a table that is read over and over.
+PART_ROWS = 50_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``cut``, then in no more partitions than the rows need.
+
+    A small table made from a large one keeps the large one's partitions; whatever goes over it
+    in hundreds of passes would start as many tasks each time, and every task answers to the
+    driver and shuffles its share.
+    """
+    found = cut(df)
+    return found.coalesce(max(1, -(-found.count() // PART_ROWS)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage there."""
     shared_folder(df.sparkSession)
