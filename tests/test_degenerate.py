@@ -72,3 +72,20 @@ def test_a_small_table_for_models_has_few_partitions(spark, monkeypatch):
     rows = spark.range(240).selectExpr("id % 8 AS dy", "id AS at", "cast(id * 7 % 3 = 0 AS int) AS label", "cast(id % 11 AS double) AS x").repartition(64)
     out = models.holdout_scores(rows, "logistic", models.LOGISTIC[:1], ["x"], "label", "dy", "at")
     assert out.count() == 60 and max(seen) == 1
+
+
+def test_the_index_of_stages_is_not_made_in_one_task_of_many_partitions(spark, tmp_path):
+    from tickweave.sources import stages
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        spark.range(40).selectExpr("cast(id % 2 AS string) AS k", "id").write.partitionBy("k").parquet(f"{tmp_path}/in")
+        store = spark._jvm.org.apache.spark.sql.classic.SparkSession.active().sharedState().statusStore()
+        known = store.executionsCount()
+        stages.staged(spark, f"{tmp_path}/store", "s", "1", f"{tmp_path}/in", "k", lambda rows: rows.groupBy("k").count()).collect()
+        plans = [store.execution(i).get().physicalPlanDescription() for i in range(known, store.executionsCount()) if store.execution(i).isDefined()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    index = [p for p in plans if "InsertIntoHadoopFs" in p and "/index" in p]
+    assert index and not any("Coalesce (" in p for p in index)

@@ -56,7 +56,7 @@ def staged(spark: SparkSession, store: str, name: str, version: str, folder: str
             rows = rows.join(F.broadcast(stale), rows[key].cast("string") == F.col("_part"), "left_semi")
             build(rows).write.partitionBy(key).parquet(path)
             made = stale.join(now, F.col("_part") == F.col("part")).select(F.lit(name).alias("stage"), "part", "print", F.lit(path).alias("path"), F.lit(run).cast("long").alias("run"))
-            made.coalesce(1).write.mode("append").parquet(f"{store}/index")
+            made.repartition(1).write.mode("append").parquet(f"{store}/index")
             index = _committed(spark, store).where(F.col("stage") == name)
         valid = index.join(now, ["part", "print"]).groupBy("part").agg(F.max_by(F.struct("path", "run"), "run").alias("at")).select("part", "at.*")
         out = None
