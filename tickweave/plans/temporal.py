@@ -57,14 +57,22 @@ def _others(spark: S, d: str) -> DataFrame:
 def follower_window(spark: S, d: str) -> DataFrame:
     """Other wallets' trades in ``(t, t + h]`` after each large trade, by direction; none gives nulls."""
     large = trades(spark, d).where("value >= 150").select("event_id", "market", "wallet", "sec", "direction")
-    found = temporal.interval_pairs(large, _others(spark, d), ["market"], 0, HORIZON).where("wallet <> r_wallet")
-    same = F.col("direction") == F.col("r_direction")
-    sums = found.groupBy("event_id").agg(
-        F.sum(F.when(same, F.col("r_value")).otherwise(0.0)).alias("same"), F.sum(F.when(same, 0.0).otherwise(F.col("r_value"))).alias("opposite"),
-        F.countDistinct("r_wallet").alias("n_followers"),
+    rows = _others(spark, d).withColumnRenamed("r_wallet", "wallet").where("wallet is not null")
+    by = {f"{n}": F.when(F.col("r_direction") == s, F.col("r_value")).otherwise(0.0) for n, s in (("up", 1), ("down", -1))}
+    rows = rows.withColumns({**by, "one": F.lit(1)})
+    found = temporal.interval_sums(large, rows, ["market"], 0, HORIZON, {"all_up": "up", "all_down": "down", "all_n": "one"})
+    found = temporal.interval_sums(found, rows, ["market", "wallet"], 0, HORIZON, {"own_up": "up", "own_down": "down", "own_n": "one"})
+    found = temporal.distinct_within(found, rows, ["market"], "wallet", HORIZON, "wallets")
+    up, down = (F.round(F.col(f"all_{n}") - F.col(f"own_{n}"), 9) for n in ("up", "down"))
+    any_ = F.col("wallet").isNotNull() & (F.col("all_n") > F.col("own_n"))
+    rises = F.col("direction") > 0
+    found = found.select(
+        "event_id", F.when(any_, F.when(rises, up).otherwise(down)).alias("same"), F.when(any_, F.when(rises, down).otherwise(up)).alias("opposite"),
+        F.when(any_, F.col("wallets") - F.when(F.col("own_n") > 0, 1).otherwise(0)).alias("n_followers"),
     )
-    balance = (F.col("same") - F.col("opposite")) / (F.col("same") + F.col("opposite"))
-    return large.select("event_id").join(sums, "event_id", "left").select("event_id", F.round("same", 6).alias("same"), F.round("opposite", 6).alias("opposite"), "n_followers", F.round(balance, 9).alias("balance"))
+    total = F.col("same") + F.col("opposite")
+    balance = F.when(total == 0, F.lit(float("nan"))).otherwise((F.col("same") - F.col("opposite")) / total)
+    return found.select("event_id", F.round("same", 6).alias("same"), F.round("opposite", 6).alias("opposite"), "n_followers", F.round(balance, 9).alias("balance"))
 
 
 FOLLOWER_WINDOW = f"""WITH {T}, s AS (
@@ -77,13 +85,13 @@ FROM t LEFT JOIN s USING (event_id) WHERE t.value >= 150"""
 
 def prepost_open_window(spark: S, d: str) -> DataFrame:
     """Others' signed value in the open windows ``(t - h, t)`` and ``(t, t + h)``."""
-    large = trades(spark, d).where("value >= 150").select("event_id", "market", "wallet", "sec")
-    found = temporal.interval_pairs(large, _others(spark, d), ["market"], -HORIZON, HORIZON - 1).where("wallet <> r_wallet and r_sec <> sec")
-    signed = F.col("r_value") * F.col("r_direction")
-    before = F.col("r_sec") < F.col("sec")
-    sums = found.groupBy("event_id").agg(F.sum(F.when(before, signed).otherwise(0.0)).alias("pre"), F.sum(F.when(before, 0.0).otherwise(signed)).alias("post"))
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
-    return large.select("event_id").join(sums, "event_id", "left").select("event_id", zero("pre"), zero("post"))
+    found = trades(spark, d).where("value >= 150").select("event_id", "market", "wallet", "sec")
+    rows = _others(spark, d).withColumnRenamed("r_wallet", "wallet").where("wallet is not null").withColumn("signed", F.col("r_value") * F.col("r_direction"))
+    for name, after, until in (("pre", -HORIZON, -1), ("post", 0, HORIZON - 1)):
+        found = temporal.interval_sums(found, rows, ["market"], after, until, {f"all_{name}": "signed"})
+        found = temporal.interval_sums(found, rows, ["market", "wallet"], after, until, {f"own_{name}": "signed"})
+    others = lambda c: F.round(F.when(F.col("wallet").isNull(), 0.0).otherwise(F.col(f"all_{c}") - F.col(f"own_{c}")), 6).alias(c)
+    return found.select("event_id", others("pre"), others("post"))
 
 
 PREPOST_OPEN_WINDOW = f"""WITH {T}, s AS (
