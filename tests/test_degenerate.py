@@ -36,6 +36,15 @@ def test_models_of_an_outcome_that_does_not_vary(spark, monkeypatch):
     assert fit.identified and math.isnan(fit.contrast([1.0, 0.0], fit.bread * 0, 3)[2])
 
 
+def test_models_of_a_single_day(spark, monkeypatch):
+    monkeypatch.setattr(model_specs, "_sample", _of([(m, 0, float(i * i % 7), float(i), float(i * i % 5)) for m in "ab" for i in range(9)]))
+    out = model_specs._family({"one": model_specs.TWO_PART["size"]})(spark, "").collect()
+    assert [r.term for r in out] == ["x1", "x2", "sum"]
+    assert all(math.isfinite(r.estimate) and not math.isfinite(r.error) and r.clusters == 1 for r in out)
+    fit = regression.Fit(model_specs._sample(spark, "", None), "y", ["x1", "x2"])
+    assert all(map(math.isnan, fit.contrast([1.0, 0.0], fit.bread, 1)[2:]))
+
+
 def test_increments_without_a_score_at_the_threshold(spark):
     rows = spark.createDataFrame([(i % 5, i % 2, i / 40, (i * 7 % 20) / 40) for i in range(20)], "c int, y int, a double, b double")
     assert {r.metric for r in metric_bootstrap.increments(rows, "c", "y", "a", "b", 0.9, draws=9).collect()} == {"average_precision", "brier"}

@@ -160,11 +160,14 @@ class Fit:
         return a + b - ab, min(ga, gb)
 
     def contrast(self, weights: list[float], covariance: np.ndarray, groups: int) -> tuple[float, float, float, float, float, float]:
-        """Estimate, standard error, t, p, and the bounds of the 95 % interval; an error of 0 (a perfect fit) has no t."""
+        """Estimate, standard error, t, p, and the bounds of the 95 % interval; an error of 0 (a perfect fit) has no t, a single cluster neither t nor bounds."""
         w = np.array(weights)
-        value, error = float(w @ self.beta), float(np.sqrt(w @ covariance @ w))
+        used = np.flatnonzero(w)  # a covariance of one cluster is not finite, and 0 times that is no number
+        value, error = float(w @ self.beta), float(np.sqrt(w[used] @ covariance[np.ix_(used, used)] @ w[used]))
         if error == 0:
             return value, error, float("nan"), float("nan"), value, value
+        if groups < 2:
+            return value, error, float("nan"), float("nan"), float("nan"), float("nan")
         t, wide = value / error, t_quantile(0.05, groups - 1) * error
         return value, error, t, t_two_sided(t, groups - 1), value - wide, value + wide
 
