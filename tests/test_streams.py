@@ -87,3 +87,33 @@ def test_sequences_do_not_depend_on_the_order_within_the_lateness(spark, tmp_pat
 def test_rows_beyond_the_lateness_are_left_out(spark, tmp_path):
     files = [[("a", 1, 100, "x", 1, 1.0)], [("a", 1, 500, "y", 1, 1.0)], [("a", 1, 90, "late", 1, 1.0), ("a", 1, 505, "z", 1, 1.0)]]
     assert sequenced(spark, f"{tmp_path}/in", files, 20, 50) == [("a", 1, 1, 100, 100, 1, 1.0, 1), ("a", 1, 2, 500, 505, 2, 2.0, 1)]
+
+
+def test_state_of_sequences_is_kept_by_groups_and_an_arrival_is_one_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tickweave.streaming import sequences
+
+    def put(*files):
+        def write():
+            for rows in files:
+                spark.createDataFrame(rows, ACTIONS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        return write
+
+    wallets = range(500)
+    put([])()
+    # the second file of the first arrival is older than the lateness allows after the first file
+    arrivals = [put([("a", w, 500, "y", 1, 1.0) for w in wallets], [("a", w, 100, "x", 1, 1.0) for w in wallets]), put([(None, None, 10**6, "", 0, 0.0)]), put([(None, None, 10**6 + 1, "", 0, 0.0)])]
+    stream = spark.readStream.schema(ACTIONS).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_seconds("sec"))
+    timed = sequences.sequences(stream, 20, "50 seconds")
+    out = streams.run_once(timed, spark, "append", settings=dict([sequences.PROVIDER]), arrivals=arrivals)
+    assert sorted((r.wallet, r.sequence, r.begin, r.n_actions) for r in out.collect()) == [(w, k + 1, at, 1) for w in wallets for k, at in enumerate((100, 500))]
+    spark.conf.set(*sequences.PROVIDER)
+    try:
+        query = timed.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").start()
+        query.processAllAvailable()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        query.stop()
+    finally:
+        spark.conf.unset(sequences.PROVIDER[0])
+    assert kept and 0 < max(kept) <= 4 * sequences.GROUPS  # actions, open sequences and a timer with its index

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -50,14 +52,15 @@ def sliding(events: DataFrame, width: str = "6 hours", step: str = "1 hour", lat
     ).select("market", F.unix_seconds("w.start").alias("bucket"), "n_trades", "gross")
 
 
-def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", keys: list[str] | None = None, settings: dict[str, str] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", keys: list[str] | None = None, settings: dict[str, str] | None = None, arrivals: Iterable[Callable[[], None]] | None = None) -> DataFrame:
     """Everything there is now, through the stream and its sink, as a table.
 
     With ``keys`` the stream runs in ``update`` mode: a batch writes the rows that it changed,
     and the last one of each key counts. Without, it runs in ``mode``: ``append``, or
     ``complete`` where rows merge, as sessions do. A batch that runs again overwrites its own
     output. Output and progress go below ``spark.checkpoint.dir``, which all executors share.
-    ``settings`` hold for this stream only.
+    ``settings`` hold for this stream only. ``arrivals`` put more of the input in place, one
+    after another; the stream goes on after each, with the files that are there by then.
     """
     mode = "update" if keys else mode
     folder = new_folder(spark, "stream")
@@ -69,8 +72,10 @@ def run_once(stream: DataFrame, spark: SparkSession, mode: str = "complete", key
     for name, value in (settings or {}).items():
         spark.conf.set(name, value)
     try:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
-        query.awaitTermination()
+        for arrive in [lambda: None] if arrivals is None else arrivals:
+            arrive()
+            query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+            query.awaitTermination()
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
