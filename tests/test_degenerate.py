@@ -98,3 +98,15 @@ def test_the_index_of_stages_is_not_made_in_one_task_of_many_partitions(spark, t
         spark.conf.set("spark.sql.shuffle.partitions", before)
     index = [p for p in plans if "InsertIntoHadoopFs" in p and "/index" in p]
     assert index and not any("Coalesce (" in p for p in index)
+
+
+def test_nested_folds_of_a_small_table_have_few_partitions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tickweave.ml import models
+
+    seen = []
+    monkeypatch.setattr(models, "_fit_scores", lambda train, test, *more: (seen.append((train.rdd.getNumPartitions(), test.rdd.getNumPartitions())), test.withColumn("score", F.col("x") / 11))[1])
+    rows = spark.range(240).selectExpr("id % 8 AS dy", "cast(id * 7 % 3 = 0 AS int) AS label", "cast(id % 11 AS double) AS x").repartition(64)
+    out = models.nested_scores(rows, "forest", models.FOREST[:1], ["x"], "label", "dy", outer=2, inner=2)
+    assert out.count() == 240 and len(seen) == 2 * 3 and set(seen) == {(1, 1)}
