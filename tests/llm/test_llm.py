@@ -293,6 +293,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(df.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_keeps_no_shuffle_of_all_payloads(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {f.getPath(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    pages = spark.range(2_000).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "array_join(transform(sequence(1, 30), i -> sha2(concat(id, '-', i), 256)), '') AS html")
+    known, folder = set(shuffles()), f"file://{tmp_path}/w"
+    index = warc.write(pages, folder)
+    left = sum(n for f, n in shuffles().items() if f not in known)  # removal goes on after the write, so the last turn's may be there
+    records = sum(r.length for r in index.select("length").collect())
+    assert records > 3_000_000 and left < records / 2
+    assert spark.conf.get(warc.REMOVE_SHUFFLES) == "false"
+    got = warc.read_records(index, folder)
+    assert (got.count(), got.where("sha2(payload, 256) = payload_digest").count(), got.agg({"payload_bytes": "sum"}).first()[0]) == (2_000, 2_000, 2_000 * 30 * 64)
+
+
 def test_warc_paths_and_openers(spark, tmp_path):
     from pyarrow import fs
 

@@ -2,7 +2,8 @@
 
 ``write`` lays records out before any archive exists: equal payloads are found by digest,
 every record's length is known from its text, and a running sum per archive gives offsets.
-Payloads are shuffled once, when records go to their archives.
+Payloads are shuffled once, when records go to their archives, a share of the archives at a
+time, so the disk holds the shuffle files of that share and not of the whole table.
 That index is written as Parquet, then the archives are, by Spark's own text writer with the
 record separator as line end, so its commit protocol covers lost executors and any file
 system Spark can write. ``read_records`` takes index rows, sorts them by archive and offset,
@@ -21,6 +22,8 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 64 << 20, 4 << 20, 64 << 10
 #: Most repeated payloads whose table (about 100 bytes each) is broadcast; more of them are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Turns in which archives are written, each by a scan of the pages; and what makes Spark remove the shuffle files of a turn when it ends.
+TURNS, REMOVE_SHUFFLES = 4, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
 HTTP = "HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF
@@ -92,20 +95,27 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     # rows go to archives by a hash of all that tells them apart, so one digest or site is no hot spot
     repeated(pages).write.parquet(f"{folder}/repeated")
     first = spark.read.parquet(f"{folder}/repeated")
-    # a broadcast of checked size keeps payloads in place; both passes derive the same records from the same rows
+    # a broadcast of checked size keeps payloads in place; all passes derive the same records from the same rows
     laid = layout(pages, F.broadcast(first) if first.count() <= BROADCAST_ROWS else first).withColumn("length", F.octet_length("record").cast("long"))
     total = laid.agg(F.sum("length")).first()[0] or 0
-    archives = max(8, -(-total // ARCHIVE_BYTES))
+    archives = int(max(8, -(-total // ARCHIVE_BYTES)))
     key = F.xxhash64("page_id", "url", "payload_digest")
     laid = laid.withColumn("archive", F.pmod(key, F.lit(archives)).cast("int"))
     order = ["archive", "page_id", "url", "payload_digest"]
     before = Window.partitionBy("archive").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     index = laid.drop("record").withColumn("offset", F.coalesce(F.sum(F.col("length") + len(SEPARATOR)).over(before), F.lit(0)).cast("long"))
     index.write.parquet(f"{folder}/index")
-    (
-        laid.select("archive", "page_id", "url", "payload_digest", "record").repartition(int(archives), "archive").sortWithinPartitions(*order)
-        .select("archive", "record").write.partitionBy("archive").option("lineSep", SEPARATOR).text(f"{folder}/archives")
-    )
+    records = laid.select("archive", "page_id", "url", "payload_digest", "record")
+    setting = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        for turn in range(TURNS):
+            (
+                records.where(F.col("archive") % TURNS == turn).repartition(-(-archives // TURNS), "archive").sortWithinPartitions(*order)
+                .select("archive", "record").write.mode("append").partitionBy("archive").option("lineSep", SEPARATOR).text(f"{folder}/archives")
+            )
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, setting)
     return spark.read.parquet(f"{folder}/index")
 
 
