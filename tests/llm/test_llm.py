@@ -98,6 +98,25 @@ def test_components(spark):
     assert all(out[i] == 1 for i in range(1, 61)) and out[101] == 100 and out[259] == 200 and len(out) == 122
 
 
+def test_components_of_few_links_are_short_jobs(spark):
+    setting, context = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("components", "")
+    try:
+        out = graph.connected_components(chain).collect()
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(s.numTasks for s in map(tracker.getStageInfo, stages) if s and s.numCompletedTasks)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 201 and {c for _, c in out} == {0}
+    assert tasks < 400  # a table of 64 partitions a step made some thousands
+
+
 def test_url_filter(spark):
     rules = [*queries.URL_RULES, ("a.com", "allow"), ("a.com/", "block"), ("b.com/x", "allow"), ("b.com/x", "block")]
     urls = [

@@ -58,6 +58,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows (a few numbers or digests each) of a partition of a table that later steps go over.
+PART_ROWS = 50_000
+
+
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, in no more partitions than the rows need, and the number of rows.
+
+    A small table made by a shuffle keeps the shuffle's partitions; each step over it would
+    start as many tasks, and write as many files, again. What fits one partition is joined and
+    grouped there without a shuffle. For tables of narrow rows only.
+    """
+    found = cut(df)
+    rows = found.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)).count()
+    return found.coalesce(max(1, -(-rows // PART_ROWS))), rows
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own, not yet made, below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, words_of
+from .common import cut, sized, small_batches, words_of
 from .graph import connected_components
 
 COORDINATES = 48
@@ -186,7 +186,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: in
     a = classes.select(F.col("digest").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("id").alias("id_a"))
     b = classes.select(F.col("digest").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("id").alias("id_b"))
     same = F.size(F.filter(F.arrays_zip("sig_a", "sig_b"), lambda z: z["sig_a"] == z["sig_b"]))
-    likely = cut(
+    likely, _ = sized(
         pairs.join(a, "a").join(b, "b")
         .where((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")) & (same >= MATCHES))
         .select("a", "b", "n_a", "n_b", "id_a", "id_b")
@@ -226,20 +226,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
         .agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
         .where(F.size("keys") >= MATCHES)
     )
-    prefix = cut(
+    prefix, _ = sized(
         ordered.select("digest", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (MATCHES - 1))).alias("k"))
         .select("digest", F.col("k.key").alias("key"))
     )
-    heads = cut(prefix.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("length")).where("length > 1"))
+    heads, _ = sized(prefix.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("length")).where("length > 1"))
     first = prefix.join(heads, "key").where("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct()
-    links = cut(_confirmed(first, classes, texts, width, num, den))
-    trees = cut(connected_components(links))
+    links, _ = sized(_confirmed(first, classes, texts, width, num, den))
+    trees, _ = sized(connected_components(links))
 
     rooted = prefix.join(heads, "key").join(trees.select(F.col("node").alias("digest"), F.col("component")), "digest", "left").select(
         "key", "length", "head", "digest", F.coalesce("component", "digest").alias("root")
     )
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    open_lists = cut(rooted.join(mixed, "key", "left_semi"))
+    open_lists, _ = sized(rooted.join(mixed, "key", "left_semi"))
     short = open_lists.where((F.col("length") <= SHORT_LIST) & (F.col("digest") != F.col("head")))
     joined = (
         short.select("key", F.col("digest").alias("a"), F.col("root").alias("ra"))
@@ -260,7 +260,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
         .select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "digest", "root", "sig", "shingles")
         .groupBy("key", "lo", "hi").applyInArrow(_block_links(num, den), "a binary, b binary")
     )
-    more = cut(_confirmed(joined.distinct(), classes, texts, width, num, den).union(long).distinct())
+    more, _ = sized(_confirmed(joined.distinct(), classes, texts, width, num, den).union(long).distinct())
     trees = connected_components(links.union(more))
 
     placed = classes.select("digest", "id", "copies").join(trees.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
